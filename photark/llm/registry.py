@@ -1,11 +1,16 @@
 """The registered queries of this subpackage and their SQL."""
 
-from photark.llm import mixing, packing, token_store
+from photark.llm import mixing, packing, simhash, suffix_dedup, token_store, topk, toxicity, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op3_token_store": token_store.op3_token_store,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_packing": packing.op5_packing,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op8_mixing": mixing.op8_mixing,
+    "op9_simhash": simhash.op9_simhash,
+    "op10_topk": topk.op10_topk,
 }
 
-SQL = {"op8_mixing": mixing.OP8_SQL}
+SQL = {"op8_mixing": mixing.OP8_SQL, "op10_topk": topk.OP10_SQL}
