@@ -119,7 +119,6 @@ def batch_rows(docs: DataFrame) -> DataFrame:
         def emit(docs_: list[int], nths: list[int], texts: list[bytes]) -> pa.RecordBatch:
             number, pos, key, ctx = anchors(texts)
             doc, nth = np.array(docs_, np.int64)[number], np.array(nths, np.int32)[number]
-            order, first = first_of_each([key, ctx], [pos, nth, doc])
             order, first = first_of_each([key, ctx], [doc, nth, pos])
             keep, gone = np.sort(order[first]), np.sort(order[~first])
             start, stop = np.maximum(pos[gone] - REACH, 0), pos[gone] + SPAN
@@ -233,8 +232,6 @@ def compare(around: DataFrame) -> DataFrame:
             key, doc, nth, pos, old = (t.column(n).to_numpy() for n in names[:5])
             group = np.cumsum(np.append(True, key[1:] != key[:-1])).astype(U64)
             low, high = np.full(len(key), -1), np.full(len(key), -1)
-            for at in range(0, len(key), 20_000):  # rows' hashes in parts, kept by group and offset
-                pass
             left, right = t.column("left").to_pylist(), t.column("right").to_pylist()
             width = REACH + SPAN
             text = np.frombuffer(b"".join(l.rjust(REACH, b"\0") + r.ljust(SPAN, b"\0") for l, r in zip(left, right, strict=True)), np.uint8).reshape(-1, width)
