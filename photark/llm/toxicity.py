@@ -44,50 +44,55 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, folds: int) ->
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < kept).dropDuplicates(["doc_id"])
     rows = docs.select(F.col("doc_id").alias("d"), "text").join(F.broadcast(chosen), F.col("d") == F.col("doc_id"))
     kept_columns = [c for c in labels.columns if c != "doc_id"]
-    schema = T.StructType([T.StructField("fold", T.IntegerType()), T.StructField("features", VectorUDT()), *[T.StructField(c, T.DoubleType()) for c in kept_columns]])
-
-    def made(batches):
-        for pdf in batches:
-            out = pdf[["fold", *kept_columns]].copy()
-            out.insert(1, "features", [SparseVector(BUCKETS + len(kept_columns), (f := features(t)), np.ones(len(f))) for t in pdf["text"]])
-            yield out
-
     fold = F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int")
     picked = rows.select(fold.alias("fold"), "text", *[F.col(c).cast("double").alias(c) for c in kept_columns])
-    return materialise(picked.mapInPandas(made, schema), "toxicity-sample")
+    shape = "fold int, at array<int>, x array<double>, " + ", ".join(f"`{c}` double" for c in kept_columns)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [features(t.as_py()) for t in batch.column("text")]
+            columns = [batch.column("fold"), pa.array(at, pa.list_(pa.int32())), pa.array([[1.0] * len(f) for f in at], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*columns, *[batch.column(c) for c in kept_columns]], names=["fold", "at", "x", *kept_columns])
+
+    return materialise(picked.mapInArrow(made, shape), "toxicity-sample")
 
 
 def fit_chain(rows: DataFrame, categories: tuple[str, ...], folds: int, regularization: float = 1e-3) -> list[tuple[np.ndarray, float]]:
     """(weights, intercept) of each category's model, in order. A category whose labels all agree
-    gets zero weights and that answer. Weights over BUCKETS are the earlier categories' ones."""
+    gets zero weights and that answer. Weights from BUCKETS on are the earlier categories' ones."""
+    size = BUCKETS + len(categories)
     models = []
-    for c in categories:
-        last = c == categories[-1]
-        fold_models = [fit(rows.where(F.col("fold") != f), c, regularization) for f in range(folds)] if not last else []
-        models.append(fit(rows, c, regularization))
-        if not last:
-            at = BUCKETS + len(models) - 1
-
-            def extended(batches, at=at, fold_models=fold_models):
-                for pdf in batches:
-                    out = []
-                    for v, f in zip(pdf["features"], pdf["fold"], strict=True):
-                        w, b = fold_models[f]
-                        p = sigmoid(w[v.indices] @ v.values + b)
-                        out.append(SparseVector(v.size, np.append(v.indices, at), np.append(v.values, p)))
-                    pdf["features"] = out
-                    yield pdf
-
-            rows = materialise(rows.mapInPandas(extended, rows.schema), "toxicity-chain")
+    for n, c in enumerate(categories):
+        models.append(fit(rows, c, size, regularization))
+        if c != categories[-1]:
+            by_fold = [fit(rows.where(F.col("fold") != f), c, size, regularization) for f in range(folds)]
+            rows = materialise(rows.mapInArrow(out_of_fold(by_fold, BUCKETS + n), rows.schema), "toxicity-chain")
     return models
 
 
-def fit(rows: DataFrame, label: str, regularization: float) -> tuple[np.ndarray, float]:
+def out_of_fold(models: list[tuple[np.ndarray, float]], at: int):
+    """Adds to each row, as feature ``at``, the probability by the model that was not trained on the row's fold."""
+
+    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ats, xs = batch.column("at").to_pylist(), batch.column("x").to_pylist()
+            for a, x, fold in zip(ats, xs, batch.column("fold").to_pylist(), strict=True):
+                w, b = models[fold]
+                x.append(sigmoid(w[a] @ np.array(x) + b))
+                a.append(at)
+            columns = {"at": pa.array(ats, pa.list_(pa.int32())), "x": pa.array(xs, pa.list_(pa.float64()))}
+            yield pa.RecordBatch.from_arrays([columns.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
+
+    return extended
+
+
+def fit(rows: DataFrame, label: str, size: int, regularization: float) -> tuple[np.ndarray, float]:
     seen = [r[0] for r in rows.select(label).distinct().collect()]
-    size = rows.first()["features"].size if seen else BUCKETS
     if len(seen) < 2:
         return np.zeros(size), 20.0 if seen and seen[0] == 1 else -20.0
-    model = LogisticRegression(labelCol=label, maxIter=40, regParam=regularization, elasticNetParam=1.0, maxBlockSizeInMB=4.0).fit(rows)
+    vector = F.udf(lambda at, x: SparseVector(size, at, x), VectorUDT())
+    train = rows.select(vector("at", "x").alias("features"), F.col(label).alias("label"))
+    model = LogisticRegression(maxIter=40, regParam=regularization, elasticNetParam=1.0, maxBlockSizeInMB=4.0).fit(train)
     return model.coefficients.toArray(), float(model.intercept)
 
 
