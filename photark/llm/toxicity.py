@@ -1,14 +1,14 @@
 """Toxicity by a classifier chain of sparse linear models.
 
-Categories are predicted in turn; each model sees the hashed words and word beginnings of a text
-and the probabilities of the earlier categories. In training these probabilities are out of fold:
+Categories are predicted in turn; each model sees which of a vocabulary of words and word beginnings
+a text holds, and the probabilities of the earlier categories. The vocabulary is that of the training
+sample's terms which tell most about some category. In training these probabilities are out of fold:
 each comes from a model that has not seen the text (copies of a text share a fold).
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,23 +21,37 @@ from pyspark.sql import types as T
 
 from photark.llm.common import materialise, read
 
-BUCKETS = 1 << 16
 WORDS = re.compile(r"[^\W\d_]+|[^\w\s]{2,}")
 CATEGORIES = ("low_quality", "toxic")
 
 
-def word_features(word: str) -> tuple[int, ...]:
-    """Buckets of a lower-case word, and of its first four and five letters."""
-    return tuple({zlib.crc32(x.encode()) % BUCKETS for x in (word, "4" + word[:4], "5" + word[:5])})
+def word_terms(word: str) -> tuple[str, ...]:
+    """Terms of a lower-case word: itself, its first four and its first five letters."""
+    return word, "4" + word[:4], "5" + word[:5]
 
 
-def features(text: str | None) -> list[int]:
-    """Sorted buckets present in the whole text; null counts as empty."""
-    return sorted({f for w in set(WORDS.findall((text or "").lower())) for f in word_features(w)})
+def terms(text: str | None) -> list[str]:
+    """Terms of the whole text; null counts as empty."""
+    return sorted({t for w in set(WORDS.findall((text or "").lower())) for t in word_terms(w)})
+
+
+def vocabulary(rows: DataFrame, categories: tuple[str, ...], most: int, least_rows: int = 5) -> dict[str, int]:
+    """For each category the ``most`` terms with the greatest chi-square, of those in ``least_rows`` rows; numbered."""
+    totals = rows.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
+    counts = rows.select(F.explode("terms").alias("term"), *categories).groupBy("term").agg(F.count("*").alias("df"), *[F.sum(c).alias(c) for c in categories])
+    counts = materialise(counts.where(F.col("df") >= least_rows), "terms")
+    chosen: set[str] = set()
+    for c in categories:
+        n, k = float(totals["n"]), float(totals[c] or 0)
+        if 0 < k < n:
+            off = F.col(c) - F.col("df") * (k / n)
+            chi = off * off / (F.col("df") * F.greatest(n - F.col("df"), F.lit(1.0)))
+            chosen.update(r[0] for r in counts.orderBy(chi.desc(), "term").limit(most).select("term").collect())
+    return {t: i for i, t in enumerate(sorted(chosen))}
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int, folds: int) -> DataFrame:
-    """(fold, present, one 0/1 column a category) of at most about ``most`` labelled documents, by hash of doc_id.
+    """(fold, terms, one 0/1 column a category) of at most about ``most`` labelled documents, by hash of doc_id.
     The chosen labels are bounded by ``most``, so they are broadcast to the one scan of the documents."""
     known = labels.where("doc_id is not null and " + " and ".join(f"{c} is not null" for c in labels.columns if c != "doc_id"))
     kept = int((1 << 30) * min(1.0, most / max(known.count(), 1)))
@@ -46,28 +60,41 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, folds: int) ->
     kept_columns = [c for c in labels.columns if c != "doc_id"]
     fold = F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int")
     picked = rows.select(fold.alias("fold"), "text", *[F.col(c).cast("double").alias(c) for c in kept_columns])
-    shape = "fold int, at array<int>, x array<double>, " + ", ".join(f"`{c}` double" for c in kept_columns)
+    shape = "fold int, terms array<string>, " + ", ".join(f"`{c}` double" for c in kept_columns)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [features(t.as_py()) for t in batch.column("text")]
-            columns = [batch.column("fold"), pa.array(at, pa.list_(pa.int32())), pa.array([[1.0] * len(f) for f in at], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*columns, *[batch.column(c) for c in kept_columns]], names=["fold", "at", "x", *kept_columns])
+            found = pa.array([terms(t.as_py()) for t in batch.column("text")], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("fold"), found, *[batch.column(c) for c in kept_columns]], names=["fold", "terms", *kept_columns])
 
     return materialise(picked.mapInArrow(made, shape), "toxicity-sample")
 
 
-def fit_chain(rows: DataFrame, categories: tuple[str, ...], folds: int, regularization: float = 1e-3) -> list[tuple[np.ndarray, float]]:
-    """(weights, intercept) of each category's model, in order. A category whose labels all agree
-    gets zero weights and that answer. Weights from BUCKETS on are the earlier categories' ones."""
-    size = BUCKETS + len(categories)
+Chain = tuple[dict[str, int], list[tuple[np.ndarray, float]]]
+
+
+def fit_chain(rows: DataFrame, categories: tuple[str, ...], folds: int, regularization: float = 2e-4, most_terms: int = 4096) -> Chain:
+    """The vocabulary, and (weights, intercept) of each category's model, in order. A category whose
+    labels all agree gets zero weights and that answer. After the vocabulary's weights come those
+    of the earlier categories."""
+    known = vocabulary(rows, categories, most_terms)
+    size = len(known) + len(categories)
+
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [sorted(known[t] for t in ts if t in known) for ts in batch.column("terms").to_pylist()]
+            columns = [batch.column("fold"), pa.array(at, pa.list_(pa.int32())), pa.array([[1.0] * len(a) for a in at], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*columns, *[batch.column(c) for c in categories]], names=["fold", "at", "x", *categories])
+
+    shape = "fold int, at array<int>, x array<double>, " + ", ".join(f"`{c}` double" for c in categories)
+    rows = materialise(rows.select("fold", "terms", *categories).mapInArrow(indexed, shape), "toxicity-rows")
     models = []
     for n, c in enumerate(categories):
         models.append(fit(rows, c, size, regularization))
         if c != categories[-1]:
             by_fold = [fit(rows.where(F.col("fold") != f), c, size, regularization) for f in range(folds)]
-            rows = materialise(rows.mapInArrow(out_of_fold(by_fold, BUCKETS + n), rows.schema), "toxicity-chain")
-    return models
+            rows = materialise(rows.mapInArrow(out_of_fold(by_fold, len(known) + n), rows.schema), "toxicity-chain")
+    return known, models
 
 
 def out_of_fold(models: list[tuple[np.ndarray, float]], at: int):
@@ -100,12 +127,13 @@ def sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
-def score(docs: DataFrame, models: list[tuple[np.ndarray, float]], categories: tuple[str, ...]) -> DataFrame:
+def score(docs: DataFrame, chain: Chain, categories: tuple[str, ...]) -> DataFrame:
     """docs (any columns with text) and p_<category> for each category. Null and empty texts have no words."""
+    known, models = chain
     names = [f"p_{c}" for c in categories]
     shape = T.StructType([*docs.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
-    sparse = [({int(i): float(w[i]) for i in np.flatnonzero(w[:BUCKETS])}, w[BUCKETS:].tolist(), b) for w, b in models]
-    used = {i for w, _, _ in sparse for i in w}
+    sparse = [({int(i): float(w[i]) for i in np.flatnonzero(w[: len(known)])}, w[len(known) :].tolist(), b) for w, b in models]
+    used = {t: i for t, i in known.items() if any(i in w for w, _, _ in sparse)}
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, frozenset[int]] = {}
@@ -115,7 +143,7 @@ def score(docs: DataFrame, models: list[tuple[np.ndarray, float]], categories: t
             if found is None:
                 if len(cache) >= 200_000:
                     cache.clear()
-                found = cache[word] = frozenset(f for f in word_features(word) if f in used)
+                found = cache[word] = frozenset(used[t] for t in word_terms(word) if t in used)
             return found
 
         for batch in batches:
