@@ -103,6 +103,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2, level: i
 
         part = TaskContext.get().partitionId()
         kwargs = {"dict_data": dictionary(shared)} if shared else {}
+        if shared:
+            kwargs["dict_data"].precompute_compress(level=level)
         writer = zstandard.ZstdCompressor(level=level, **kwargs)
         entries, held, number = [], 0, 0
 

@@ -3,27 +3,37 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
+from unicodedata import is_normalized
 
 import pyarrow as pa
 
 
+TAIL = re.compile(r"(.*[^\W\d_İ])([!-/:-@\[-`{-~]+)", re.S)  # punctuation after a letter
+ODD = re.compile(r"\s\s|[^\S \n]")
+#: How byte-level vocabularies write bytes: visible ones of Latin-1 as themselves, others from 256 on.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+VISIBLE = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
+
+
 class Encoder:
     """Ids of a text as little-endian uint32 bytes, equal to those of encoding it whole.
 
     A cut between a character that is no white space and a space or line end after it is always
     a boundary of the pre-tokenizer, so the pieces between such cuts are encoded by themselves
-    and kept. ``.`` and ``,`` after a letter are split off likewise. The cache is bounded: once
-    it holds ``keep`` pieces it becomes the older generation, and pieces not met again go.
+    and kept. A run of ASCII punctuation at a piece's end, after a letter, is split off likewise.
+    The cache is bounded: once it holds ``keep`` pieces it becomes the older generation, and
+    pieces not met again go.
     """
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
+        self.lowers = "Lowercase" in str(self.tokenizer.normalizer)  # and drops white space
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         self.keep = keep
@@ -31,39 +41,63 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _base(self, piece: str) -> str:
-        return piece.lower() if self.lowers and piece.isascii() else piece
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.young) + len(pieces) > self.keep:
-            self.old, self.young = self.young, {"": b""}
-        stems = {p: (p[:-1], p[-1]) if len(p) > 1 and p[-1] in ".," and p[-2].isalpha() else (p,) for p in pieces}
-        bases = {b for s in stems.values() for b in map(self._base, s)}
-        new = [b for b in bases if b not in self.young and b not in self.old]
-        known = dict(zip(new, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        for b in bases:
-            self.young[b] = known[b] if b in known else self.young[b] if b in self.young else self.old[b]
-        for p, s in stems.items():
-            self.young[p] = b"".join([self.young[self._base(x)] for x in s])
+    def _parts(self, piece: str) -> tuple[str, ...]:
+        """What a piece is encoded as: without the leading white space that counts for itself or not at
+        all, in lower case if that is all the same, and without punctuation at its end."""
+        lead = ""
+        if self.lowers:
+            piece = piece.lstrip(" \n")
+            if piece.isascii():
+                piece = piece.lower()
+            elif "İ" not in piece and is_normalized("NFC", piece):  # each character's lower case is one character
+                piece = "".join(map(str.lower, piece))
+        elif len(piece) > 1 and piece[0] == "\n" and not piece[1].isspace():
+            lead, piece = "\n", piece[1:]
+        tail = TAIL.fullmatch(piece)
+        parts = tail.groups() if tail else (piece,)
+        return (lead, *parts) if lead else parts
+
+    def _learn(self, pieces: list[str]) -> None:
+        young, old = self.young, self.old
+        parts = [self._parts(p) for p in pieces]
+        new = list({b for bs in parts for b in bs if b not in young and b not in old})
+        tokenize = self.tokenizer.model.tokenize
+        rest = []
+        for b in new:
+            if b.lstrip(" ").isalpha() and b[:2] != "  " and (b.isascii() or not self.lowers or b == "".join(map(str.lower, b)) and is_normalized("NFC", b)):
+                word = "".join(map(VISIBLE.__getitem__, b.encode()))  # one word of the pre-tokenizer
+                young[b] = array("I", [t.id for t in tokenize(word)]).tobytes()
+            else:
+                rest.append(b)
+        for b, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            young[b] = array("I", e.ids).tobytes()
+        for p, bs in zip(pieces, parts, strict=True):
+            young[p] = b"".join([young[b] if b in young else old[b] for b in bs])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [None if t is None or "\0" in t else _pieces(t) for t in texts]
-        missing: set[str] = set()
+        if len(self.young) > self.keep:
+            self.old, self.young = self.young, {"": b""}
+        young, old = self.young, self.old
+        needed: set[str] = set()
         for p in split:
             if p:
-                missing.update(p)
-        missing.difference_update(self.young)
+                needed.update(p)
+        missing = []
+        for p in needed.difference(young):
+            if p in old:
+                young[p] = old[p]
+            else:
+                missing.append(p)
         if missing:
             self._learn(missing)
-            if any(p not in self.young for ps in split if ps for p in ps):
-                self._learn({p for ps in split if ps for p in ps})
-        get = self.young.__getitem__
+        get = young.__getitem__
         return [b"".join(map(get, p)) if p is not None else self.whole(t or "") for p, t in zip(split, texts, strict=True)]
 
 
 def _pieces(text: str) -> list[str]:
     pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-    if not any(p[-1:].isspace() for p in set(pieces)):
+    if not ODD.search(text):
         return pieces
     out, open_ = [], ""  # runs of white space stay with what follows them
     for p in pieces:
@@ -84,7 +118,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(batch: pa.RecordBatch, path: str, step: int = 128):
+def encoded(batch: pa.RecordBatch, path: str, step: int = 512):
     """(row, id bytes) of each text in the batch, a few texts at a time."""
     enc, column = encoder(path), batch.column("text")
     for at in range(0, batch.num_rows, step):
