@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
-from photark.llm import mixing, packing, simhash, suffix_dedup, token_store, topk, toxicity, url_filter
+from photark.llm import line_dedup, mixing, packing, simhash, suffix_dedup, token_store, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_token_store": token_store.op3_token_store,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_packing": packing.op5_packing,
