@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from photark.llm import line_dedup, mixing, packing, simhash, suffix_dedup, token_store, topk, toxicity, url_filter
+from photark.llm import line_dedup, media_chunks, mixing, packing, simhash, suffix_dedup, token_store, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_packing": packing.op5_packing,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+    "op7_media_chunks": media_chunks.op7_media_chunks,
     "op8_mixing": mixing.op8_mixing,
     "op9_simhash": simhash.op9_simhash,
     "op10_topk": topk.op10_topk,

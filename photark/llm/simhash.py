@@ -43,14 +43,16 @@ def fingerprint(text: bytes, k: int, block: int = 1 << 16) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, fp) of docs (doc_id, text, any more columns), one row a row; null text has no shingle."""
+    """(doc_id, version, fp) of docs (doc_id, text, any more columns), one row a row; version is the text's
+    hash; null text has no shingle."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t, k) for t in binary(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(fps, pa.int64())], names=["doc_id", "version", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    return materialise(rows.mapInArrow(made, "doc_id long, version long, fp long"), "fingerprints")
 
 
 def bit_moments(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -192,21 +194,42 @@ def links(distinct: DataFrame, distance: int, hot: int = 2000) -> DataFrame:
     return a.join(b, condition).select("a", "b").distinct()
 
 
+def rooted(fps: DataFrame, distance: int) -> DataFrame:
+    """(fp, first, root) of each distinct fingerprint: the least doc_id that has it, and its component."""
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    roots = components(links(distinct.select("fp"), distance))
+    owned = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return materialise(owned, "roots")
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 2) -> DataFrame:
     """One row a row of docs (doc_id, text, any more columns): doc_id, fp, component_id, the least
     doc_id reachable over links. Null and empty texts share the fingerprint zero, which links like
     any other; rows without doc_id belong to a component but do not name it (one of such rows alone
     has none); repeated rows repeat their result; no rows give none."""
-    fps = materialise(fingerprints(docs, k), "fingerprints")
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), distance))
-    owned = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    owned = materialise(owned, "roots")
+    fps = fingerprints(docs, k)
+    owned = rooted(fps, distance)
     least = owned.groupBy("root").agg(F.min("first").alias("component_id"))
     named = owned.join(least, "root").select(F.col("fp").alias("of"), "component_id")
     return fps.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, k: int, distance: int) -> DataFrame:
+    """The rows of docs (doc_id, text, any more columns) that come first in their component, by doc_id
+    (null first) and the text's hash; of equal rows one."""
+    fps = fingerprints(docs, k)
+    owned = rooted(fps, distance).select(F.col("fp").alias("of"), "root")
+    rows = fps.join(owned, F.col("fp") == F.col("of")).select("root", F.struct("doc_id", "version").alias("row"))
+    first = rows.groupBy("root").agg(F.min("row").alias("first"))
+    later = materialise(rows.join(first, "root").where("not (row <=> first)").select("row.doc_id", "row.version").distinct(), "near-copies")
+    later = later.select(F.col("doc_id").alias("l_doc"), F.col("version").alias("l_version"))
+    version = F.xxhash64("text")
+    kept = docs.join(later, F.col("doc_id").cast("long").eqNullSafe(F.col("l_doc")) & (version == F.col("l_version")), "left_anti")
+    if fps.groupBy("doc_id", "version").count().where("count > 1").isEmpty():
+        return kept
+    return kept.withColumn("l_version", version).dropDuplicates(["doc_id", "l_version"]).select(docs.columns)
+
+
 def op9_simhash(spark, sf_dir) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"), k=3, distance=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

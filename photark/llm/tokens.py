@@ -11,20 +11,22 @@ import pyarrow as pa
 
 
 TAIL = re.compile(r"(.*[^\W\d_İ])([!-/:-@\[-`{-~]+)", re.S)  # punctuation after a letter
+NUL = re.compile("\0")
+SEPARATORS = re.compile("[\x1c-\x1f\x85]")  # white space to Python or to the tokenizer, but not to both
 ODD = re.compile(r"\s\s|[^\S \n]")
 #: How byte-level vocabularies write bytes: visible ones of Latin-1 as themselves, others from 256 on.
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 VISIBLE = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
 
 
-class Encoder:
+class Encoder(dict):
     """Ids of a text as little-endian uint32 bytes, equal to those of encoding it whole.
 
     A cut between a character that is no white space and a space or line end after it is always
-    a boundary of the pre-tokenizer, so the pieces between such cuts are encoded by themselves
-    and kept. A run of ASCII punctuation at a piece's end, after a letter, is split off likewise.
-    The cache is bounded: once it holds ``keep`` pieces it becomes the older generation, and
-    pieces not met again go.
+    a boundary of the pre-tokenizer, so the pieces between such cuts are encoded by themselves,
+    and this dictionary keeps their ids. A run of ASCII punctuation at a piece's end, after a
+    letter, is split off likewise. The cache is bounded: once it holds ``keep`` pieces it becomes
+    the older generation, and pieces not met again go.
     """
 
     def __init__(self, path: str, keep: int = 600_000):
@@ -34,19 +36,23 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.lowers = "Lowercase" in str(self.tokenizer.normalizer)  # and drops white space
-        self.young: dict[str, bytes] = {"": b""}
+        self.tokenize = self.tokenizer.model.tokenize
         self.old: dict[str, bytes] = {}
         self.keep = keep
 
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            parts = self.parts(piece)
+            ids = self.word(piece) if parts == (piece,) else b"".join([self[p] for p in parts])
+        self[piece] = ids
+        return ids
 
-    def _parts(self, piece: str) -> tuple[str, ...]:
+    def parts(self, piece: str) -> tuple[str, ...]:
         """What a piece is encoded as: without the leading white space that counts for itself or not at
         all, in lower case if that is all the same, and without punctuation at its end."""
         lead = ""
         if self.lowers:
-            piece = piece.lstrip(" \n")
             if piece.isascii():
                 piece = piece.lower()
             elif "İ" not in piece and is_normalized("NFC", piece):  # each character's lower case is one character
@@ -57,42 +63,31 @@ class Encoder:
         parts = tail.groups() if tail else (piece,)
         return (lead, *parts) if lead else parts
 
-    def _learn(self, pieces: list[str]) -> None:
-        young, old = self.young, self.old
-        parts = [self._parts(p) for p in pieces]
-        new = list({b for bs in parts for b in bs if b not in young and b not in old})
-        tokenize = self.tokenizer.model.tokenize
-        rest = []
-        for b in new:
-            if b.lstrip(" ").isalpha() and b[:2] != "  " and (b.isascii() or not self.lowers or b == "".join(map(str.lower, b)) and is_normalized("NFC", b)):
-                word = "".join(map(VISIBLE.__getitem__, b.encode()))  # one word of the pre-tokenizer
-                young[b] = array("I", [t.id for t in tokenize(word)]).tobytes()
-            else:
-                rest.append(b)
-        for b, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            young[b] = array("I", e.ids).tobytes()
-        for p, bs in zip(pieces, parts, strict=True):
-            young[p] = b"".join([young[b] if b in young else old[b] for b in bs])
+    def word(self, piece: str) -> bytes:
+        plain = piece[1:] if piece[:1] == " " else piece
+        if plain.isalpha() and (not self.lowers or plain.isascii() or is_normalized("NFC", plain) and plain == "".join(map(str.lower, plain))):
+            ids = [t.id for t in self.tokenize("".join(map(VISIBLE.__getitem__, piece.encode())))]  # one word of the pre-tokenizer
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t is None or "\0" in t else _pieces(t) for t in texts]
-        if len(self.young) > self.keep:
-            self.old, self.young = self.young, {"": b""}
-        young, old = self.young, self.old
-        needed: set[str] = set()
-        for p in split:
-            if p:
-                needed.update(p)
-        missing = []
-        for p in needed.difference(young):
-            if p in old:
-                young[p] = old[p]
+        get = self.__getitem__
+        cut, odd = (_words, SEPARATORS) if self.lowers else (_pieces, NUL)
+        out = []
+        for t in texts:
+            if len(self) > self.keep:
+                self.old = dict(self)
+                self.clear()
+            if t and odd.search(t):
+                out.append(array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes())
             else:
-                missing.append(p)
-        if missing:
-            self._learn(missing)
-        get = young.__getitem__
-        return [b"".join(map(get, p)) if p is not None else self.whole(t or "") for p, t in zip(split, texts, strict=True)]
+                out.append(b"".join(map(get, cut(t))) if t else b"")
+        return out
+
+
+def _words(text: str) -> list[str]:
+    return (text.lower() if text.isascii() else text).split()
 
 
 def _pieces(text: str) -> list[str]:
