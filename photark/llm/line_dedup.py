@@ -138,7 +138,8 @@ def near_lines(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = materialise(lines.select("id", "line").join(asked, "id", "left_semi"), "candidate-lines")
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    checked = edit_distance(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), tau)
+    # written before it is filtered: a filter would be pushed down with a copy of all of the above
+    checked = materialise(edit_distance(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), tau), "line-distances")
     return checked.where(F.col("distance") <= tau).select("a", "b")
 
 
