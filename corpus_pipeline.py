@@ -14,7 +14,8 @@ from photark.llm import line_dedup, mixing, packing, simhash, toxicity
 from photark.llm.common import materialise, read
 
 TOXIC = 0.5
-SHINGLE, DISTANCE = 5, 4  # up to 4 of 64 bits differ: word shingles of an estimated similarity above 0.9
+SHINGLE, SIMILARITY = 5, 0.8
+DISTANCE = 10  # of 64 bits; about what texts of that similarity differ by
 TOKENIZER, END_ID = "byte_bpe_50k.json", 1
 
 
@@ -32,8 +33,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first row of each component of near copies, by doc_id and then text; rows without doc_id stay if alone."""
-    return simhash.keep_first(docs, SHINGLE, DISTANCE)
+    """Of near copies, found by their fingerprints and then compared by their shingles, the first by doc_id."""
+    return simhash.keep_first(docs, SHINGLE, DISTANCE, SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from photark.llm.common import binary, components, materialise, read
 
+#: A probe is written, sorted and read; a candidate is a comparison of two numbers.
+ROW_COST = 20
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -114,7 +116,7 @@ def allocate(costs: list[list[float]], distance: int) -> tuple[float, list[int]]
     return best[distance + 1]
 
 
-def plan(distinct: DataFrame, distance: int, partitions: tuple[int, ...] = (2, 3, 4)) -> list[tuple[list[int], int]]:
+def plan(distinct: DataFrame, distance: int, partitions: tuple[int, ...] = (2, 3, 4, 5, 6)) -> list[tuple[list[int], int]]:
     """The used partitions (bits, threshold) for a self-join of all distinct fingerprints."""
     n, both = bit_moments(distinct)
     layouts = {m: group_bits(n, both, m) for m in partitions}
@@ -137,7 +139,7 @@ def plan(distinct: DataFrame, distance: int, partitions: tuple[int, ...] = (2, 3
             row = [0.0]
             for t in range(distance + 1):
                 probes = n * sum(comb(len(bits), x) for x in range(t + 1))
-                row.append(probes + n + same * off[: t + 1].sum() / max(off[0], 1e-30))
+                row.append(ROW_COST * (probes + n) + same * off[: t + 1].sum() / max(off[0], 1e-30))
             costs.append(row)
         cost, ts = allocate(costs, distance)
         if best is None or cost < best[0]:
@@ -214,17 +216,52 @@ def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 2) -> DataFrame
     return fps.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, k: int, distance: int) -> DataFrame:
-    """The rows of docs (doc_id, text, any more columns) that come first in their component, by doc_id
-    (null first) and the text's hash; of equal rows one."""
+def shingle_sets(rows: DataFrame, k: int) -> DataFrame:
+    """rows (root, row, text) with the sorted hashes of the text's different shingles instead of it."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [sorted({xxhash.xxh64_intdigest(s, 42) - (1 << 63) for s in shingles(t, k)}) for t in binary(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], names=["root", "row", "has"])
+
+    return rows.select("root", "row", "text").mapInArrow(made, "root long, row struct<doc_id: long, version: long>, has array<long>")
+
+
+def keep_first(docs: DataFrame, k: int, distance: int, similarity: float) -> DataFrame:
+    """The rows of docs (doc_id, text, any more columns) without those whose shingle set has a Jaccard
+    similarity of at least ``similarity`` to that of a row that is kept.
+
+    Rows compare if links of fingerprints join them. In each component the first row, by doc_id (null
+    first) and the text's hash, stays and is compared with all others; the first of those not near
+    it is next, until none is left. So a row costs a comparison with each row kept before it in
+    its component, and never all pairs. Of equal rows one stays; texts without words are equal.
+    """
     fps = fingerprints(docs, k)
     owned = rooted(fps, distance).select(F.col("fp").alias("of"), "root")
-    rows = fps.join(owned, F.col("fp") == F.col("of")).select("root", F.struct("doc_id", "version").alias("row"))
-    first = rows.groupBy("root").agg(F.min("row").alias("first"))
-    later = materialise(rows.join(first, "root").where("not (row <=> first)").select("row.doc_id", "row.version").distinct(), "near-copies")
-    later = later.select(F.col("doc_id").alias("l_doc"), F.col("version").alias("l_version"))
+    rows = fps.join(owned, F.col("fp") == F.col("of")).select("root", F.struct("doc_id", "version").alias("row")).distinct()
+    several = rows.groupBy("root").count().where("count > 1").select(F.col("root").alias("r"))
+    members = materialise(rows.join(several, F.col("root") == F.col("r")).select("root", "row"), "members")
     version = F.xxhash64("text")
-    kept = docs.join(later, F.col("doc_id").cast("long").eqNullSafe(F.col("l_doc")) & (version == F.col("l_version")), "left_anti")
+    texts = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), version.alias("version")).alias("key"), "text")
+    left = materialise(shingle_sets(members.join(texts, F.col("row").eqNullSafe(F.col("key"))), k).dropDuplicates(["root", "row"]), "shingle-sets")
+    later = []
+    while not left.isEmpty():
+        first = left.groupBy("root").agg(F.min("row").alias("first"))
+        chosen = left.join(first.withColumnRenamed("root", "r"), (F.col("root") == F.col("r")) & F.col("row").eqNullSafe(F.col("first")))
+        chosen = chosen.select(F.col("root").alias("r"), "first", F.col("has").alias("other"))
+        both = F.size(F.array_intersect("has", "other"))
+        either = F.size("has") + F.size("other") - both
+        judged = left.join(chosen, F.col("root") == F.col("r")).where("not (row <=> first)")
+        judged = materialise(judged.select("root", "row", "has", ((either == 0) | (both >= similarity * either)).alias("near")), "judged")
+        later.append(judged.where("near").select("row"))
+        left = judged.where("not near").select("root", "row", "has")
+    kept = docs
+    if later:
+        gone = later[0]
+        for more in later[1:]:
+            gone = gone.unionByName(more)
+        gone = gone.select(F.col("row.doc_id").alias("l_doc"), F.col("row.version").alias("l_version"))
+        kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("l_doc")) & (version == F.col("l_version")), "left_anti")
     if fps.groupBy("doc_id", "version").count().where("count > 1").isEmpty():
         return kept
     return kept.withColumn("l_version", version).dropDuplicates(["doc_id", "l_version"]).select(docs.columns)
