@@ -129,10 +129,10 @@ def height(df: DataFrame) -> int:
     return (df.agg(F.max("y")).first()[0] or 0) + 1
 
 
-@query(RASTER + ", d AS (SELECT x, y, v, sqrt((x / 100.0::DOUBLE - 0.5) * 0.8 * ((x / 100.0::DOUBLE - 0.5) * 0.8) + (y / 150.0::DOUBLE - 0.5) * (y / 150.0::DOUBLE - 0.5)) AS d FROM f) SELECT x, y, round(v * (1 - " + smooth(0.3, 0.7, "d") + " * 0.7), 6) + 0.0 AS v FROM d")
+@query(RASTER + ", d AS (SELECT x, y, v, sqrt((x / 100.0::DOUBLE - 0.5) * 0.8 * ((x / 100.0::DOUBLE - 0.5) * 0.8) + (y / 150.0::DOUBLE - 0.5) * (y / 150.0::DOUBLE - 0.5)) AS d FROM f) SELECT x, y, round(v * (1 - " + smooth(0.3, 0.7, "d") + " * 0.7), 9) + 0.0 AS v FROM d")
 def px_vignette(spark, sf_dir):
     f = t.raster(spark, sf_dir)
-    return f.select("x", "y", rounded(color.vignette(F.col("v"), F.col("x"), F.col("y"), 100, 150, 0.7, roundness=0.8)).alias("v"))
+    return f.select("x", "y", rounded(color.vignette(F.col("v"), F.col("x"), F.col("y"), 100, 150, 0.7, roundness=0.8), 9).alias("v"))
 
 
 @query(RASTER + " SELECT x, y, floor(greatest(least(((x + 0.5 - 10.0) * 70.0 + (y + 0.5 - 20.0) * 40.0) / 6500.0, 1.0), 0.0) * 255)::INTEGER AS m FROM f")
@@ -175,11 +175,11 @@ def stack_render(spark, sf_dir):
     return shown(raster.render(t.pixels(spark, sf_dir), STACK))
 
 
-@query(RASTER + ", n AS (SELECT max(y) + 1 AS h FROM f), o AS (SELECT dx, dy FROM (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy)) SELECT c.x, c.y, round(avg(s.v), 6) + 0.0 AS v FROM f c, o, n JOIN f s ON s.x = least(greatest(c.x + dx, 0), 99) AND s.y = least(greatest(c.y + dy, 0), h - 1) GROUP BY 1, 2")
+@query(RASTER + ", n AS (SELECT max(y) + 1 AS h FROM f), o AS (SELECT dx, dy FROM (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy)) SELECT c.x, c.y, round(avg(s.v), 9) + 0.0 AS v FROM f c, o, n JOIN f s ON s.x = least(greatest(c.x + dx, 0), 99) AND s.y = least(greatest(c.y + dy, 0), h - 1) GROUP BY 1, 2")
 def stencil_box(spark, sf_dir):
     f = t.raster(spark, sf_dir)
     out = raster.stencil(f, raster.box(), 100, height(f), "v", "mean")
-    return out.select("x", "y", rounded(F.col("mean")).alias("v"))
+    return out.select("x", "y", rounded(F.col("mean"), 9).alias("v"))
 
 
 _taps = "(VALUES (-3, 1.0), (-2, 2.0), (-1, 3.0), (0, 4.0), (1, 3.0), (2, 2.0), (3, 1.0)) k(d, w)"
@@ -187,10 +187,10 @@ _taps = "(VALUES (-3, 1.0), (-2, 2.0), (-1, 3.0), (0, 4.0), (1, 3.0), (2, 2.0),
 
 @query(RASTER + f", n AS (SELECT max(y) + 1 AS h FROM f), a AS (SELECT c.x, c.y, sum(s.v * w::DOUBLE) / 16 AS v FROM f c, {_taps} JOIN f s ON s.x = least(greatest(c.x + d, 0), 99) AND s.y = c.y GROUP BY 1, 2), "
        f"e AS (SELECT c.x, c.y, sum(s.v * w::DOUBLE) / 16 AS v FROM a c, {_taps}, n JOIN a s ON s.x = c.x AND s.y = least(greatest(c.y + d, 0), h - 1) GROUP BY 1, 2), "
-       "m AS (SELECT f.x, f.y, f.v, f.v - e.v AS d, least(abs(f.v - e.v) / (0.1 + 0.001), 1.0) AS t FROM f JOIN e USING (x, y)) SELECT x, y, round(v + d * (t * t * (3 - 2 * t)) * 0.8, 6) + 0.0 AS v FROM m")
+       "m AS (SELECT f.x, f.y, f.v, f.v - e.v AS d, least(abs(f.v - e.v) / (0.1 + 0.001), 1.0) AS t FROM f JOIN e USING (x, y)) SELECT x, y, round(v + d * (t * t * (3 - 2 * t)) * 0.8, 9) + 0.0 AS v FROM m")
 def stencil_sharpen(spark, sf_dir):
     f = t.raster(spark, sf_dir)
-    return raster.sharpen(f, 0.8, 0.1, 100, height(f)).select("x", "y", rounded(F.col("sharp")).alias("v"))
+    return raster.sharpen(f, 0.8, 0.1, 100, height(f)).select("x", "y", rounded(F.col("sharp"), 9).alias("v"))
 
 
 @query(RASTER + """, n AS (SELECT max(y) AS bottom FROM f), g AS (SELECT (i % 40)::INTEGER AS ox, (i // 40)::INTEGER AS oy FROM range(1200) t(i)),
@@ -198,10 +198,10 @@ u AS (SELECT ox, oy, (ox + 0.5) / 40 * 60.0 - 30.0 AS u, (oy + 0.5) / 30 * 45.0
 q AS (SELECT ox, oy, greatest(least(u * cos(radians(10)) - v * sin(radians(10)) + 39.5, 99.0), 0.0) AS sx, greatest(least(u * sin(radians(10)) + v * cos(radians(10)) + 27.0, bottom::DOUBLE), 0.0) AS sy FROM u, n),
 k AS (SELECT ox, oy, floor(sx)::INTEGER AS fx, floor(sy)::INTEGER AS fy, sx - floor(sx) AS tx, sy - floor(sy) AS ty FROM q),
 c AS (SELECT ox, oy, least(fx + i, 99) AS x, least(fy + j, bottom) AS y, (CASE WHEN i = 1 THEN tx ELSE 1 - tx END) * (CASE WHEN j = 1 THEN ty ELSE 1 - ty END) AS w FROM k, n, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j))
-SELECT ox AS x, oy AS y, round(sum(w * f.v), 6) + 0.0 AS v FROM c JOIN f ON c.x = f.x AND c.y = f.y GROUP BY 1, 2""")
+SELECT ox AS x, oy AS y, round(sum(w * f.v), 9) + 0.0 AS v FROM c JOIN f ON c.x = f.x AND c.y = f.y GROUP BY 1, 2""")
 def resample_crop_rotate(spark, sf_dir):
     f = t.raster(spark, sf_dir)
-    return raster.resample(f, "v", (100, height(f)), (40, 30), (10.0, 5.0, 60.0, 45.0), 10.0).select("x", "y", rounded(F.col("v")).alias("v"))
+    return raster.resample(f, "v", (100, height(f)), (40, 30), (10.0, 5.0, 60.0, 45.0), 10.0).select("x", "y", rounded(F.col("v"), 9).alias("v"))
 
 
 @query(PIXELS + " SELECT floor(greatest(least(r * 0.2126 + g * 0.7152 + b * 0.0722, 1.0), 0.0) * 63)::INTEGER AS bin, count(*) AS n FROM p GROUP BY 1")
