@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,7 +36,15 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None,
     spark = df.sparkSession
     path = f"{scratch(spark)}/photark/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path, partitionBy=partition_by)
-    return spark.read.schema(spark.read.parquet(path).schema if partition_by else df.schema).parquet(path)
+    fields = sorted(df.schema, key=lambda f: f.name in (partition_by or ()))  # partition columns come last
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: its cleaner follows the driver's garbage collection,
+    which may be long in coming in a driver that does little."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -388,7 +388,7 @@ def test_keep_first(spark, odd):
 def test_topk(spark):
     rng = np.random.default_rng(5)
     rows = [(int(i), [float(x) for x in rng.normal(size=6) * rng.uniform(0.1, 3)]) for i in range(700)]
-    rows += [(800 + i, rows[100][1]) for i in range(15)] + [(900, None), (901, [1.0, None, 1, 1, 1, 1]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (None, [1.0] * 6)]
+    rows += [(800 + i, rows[100][1]) for i in range(15)] + [(900, None), (901, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (None, [1.0] * 6)]
     rows += [(1000, [0.5, 2.0]), (1001, [1.0, 1.0]), (1100, []), (1200, [0.0] * 6)]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, v string, part int").repartition(3)
     got = {}
