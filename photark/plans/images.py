@@ -187,10 +187,10 @@ _taps = "(VALUES (-3, 1.0), (-2, 2.0), (-1, 3.0), (0, 4.0), (1, 3.0), (2, 2.0),
 
 @query(RASTER + f", n AS (SELECT max(y) + 1 AS h FROM f), a AS (SELECT c.x, c.y, sum(s.v * w::DOUBLE) / 16 AS v FROM f c, {_taps} JOIN f s ON s.x = least(greatest(c.x + d, 0), 99) AND s.y = c.y GROUP BY 1, 2), "
        f"e AS (SELECT c.x, c.y, sum(s.v * w::DOUBLE) / 16 AS v FROM a c, {_taps}, n JOIN a s ON s.x = c.x AND s.y = least(greatest(c.y + d, 0), h - 1) GROUP BY 1, 2), "
-       "m AS (SELECT f.x, f.y, f.v, f.v - e.v AS d, least(abs(f.v - e.v) / (0.1 + 0.001), 1.0) AS t FROM f JOIN e USING (x, y)) SELECT x, y, round(v + d * (t * t * (3 - 2 * t)) * 0.8, 9) + 0.0 AS v FROM m")
+       "m AS (SELECT f.x, f.y, f.v, f.v - e.v AS d, least(abs(f.v - e.v) / (0.1 + 0.001), 1.0) AS t FROM f JOIN e USING (x, y)) SELECT x, y, round(v + d * (t * t * (3 - 2 * t)) * 0.77, 6) + 0.0 AS v FROM m")
 def stencil_sharpen(spark, sf_dir):
     f = t.raster(spark, sf_dir)
-    return raster.sharpen(f, 0.8, 0.1, 100, height(f)).select("x", "y", rounded(F.col("sharp"), 9).alias("v"))
+    return raster.sharpen(f, 0.77, 0.1, 100, height(f)).select("x", "y", rounded(F.col("sharp")).alias("v"))
 
 
 @query(RASTER + """, n AS (SELECT max(y) AS bottom FROM f), g AS (SELECT (i % 40)::INTEGER AS ox, (i // 40)::INTEGER AS oy FROM range(1200) t(i)),
