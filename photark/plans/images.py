@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photark.functions import color
+from photark.functions import color, hsl
 from photark.functions.numeric import rounded
-from photark.operators import raster, tagging
+from photark.operators import raster, tagging, tiles
 from photark.sources import tables as t
 
 QUERIES: dict = {}
@@ -122,6 +122,41 @@ def px_transform_srgb(spark, sf_dir):
     return t.pixels(spark, sf_dir).select(*KEY, rounded(color.srgb_encode(F.col("r"))).alias("r"))
 
 
+def hsl_sql(source: str, prefix: str) -> tuple[str, str]:
+    """CTEs that add hdr, hue, sat and light, and the name of the last."""
+    out = f", {prefix}0 AS (SELECT *, greatest(r, g, b, 1.0) AS hdr FROM {source}), {prefix}1 AS (SELECT *, greatest(r, g, b) / hdr AS mx, least(r, g, b) / hdr AS mn FROM {prefix}0)"
+    hue = "CASE WHEN mx = r / hdr THEN (g - b) / hdr / (mx - mn) + CASE WHEN g >= b THEN 0 ELSE 6 END WHEN mx = g / hdr THEN (b - r) / hdr / (mx - mn) + 2 ELSE (r - g) / hdr / (mx - mn) + 4 END"
+    out += f", {prefix}2 AS (SELECT *, (mx + mn) / 2 AS light, CASE WHEN mx - mn < 0.0001 THEN 0.0 WHEN (mx + mn) / 2 < 0.5 THEN (mx - mn) / (mx + mn) ELSE (mx - mn) / (2 - mx - mn) END AS sat, CASE WHEN mx - mn < 0.0001 THEN 0.0 ELSE ({hue}) / 6 END AS hue FROM {prefix}1)"
+    return out, f"{prefix}2"
+
+
+def rgb_sql(source: str, name: str) -> str:
+    span = "(CASE WHEN sat < 0.0001 THEN 0.0 ELSE sat * least(light, 1 - light) END)"
+    one = lambda n: f"(light - {span} * greatest(-1.0, least((hue * 12 + {n}) % 12 - 3, 9 - (hue * 12 + {n}) % 12, 1.0))) * hdr"
+    return f", {name} AS (SELECT {K}, {one(0)} AS r, {one(8)} AS g, {one(4)} AS b FROM {source})"
+
+
+_h, _hl = hsl_sql("p", "h")
+_share = lambda c: f"(greatest(0.0, 1 - least(abs(hue - {c}), 1 - abs(hue - {c})) * 3) * {smooth(0.0, 0.05, 'sat')})"
+_by = lambda a, b, c: f"(sr * {a} + sg * {b} + sb * {c})"
+HSL = {"red": (0.2, -0.3, 0.1), "green": (-0.4, 0.2, -0.2), "blue": (0.1, 0.4, 0.3)}
+
+
+@query(PIXELS + _h + f", s AS (SELECT *, {_share(0.0)} AS sr, {_share(1 / 3)} AS sg, {_share(2 / 3)} AS sb FROM {_hl})"
+       + f", a AS (SELECT {K}, hdr, hue + {_by(0.2, -0.4, 0.1)} * 0.5 - floor(hue + {_by(0.2, -0.4, 0.1)} * 0.5) AS hue, greatest(least(sat + {_by(-0.3, 0.2, 0.4)}, 1.0), 0.0) AS sat, greatest(least(light * pow(2.0, {_by(0.1, -0.2, 0.3)}), 1.0), 0.0) AS light FROM s)"
+       + rgb_sql("a", "o") + final("o"))
+def px_hsl(spark, sf_dir):
+    return shown(hsl.balance(t.pixels(spark, sf_dir), **HSL))
+
+
+_la = "(greatest(least(floor(light * 255), 254), 0))::INTEGER"
+
+
+@query(PIXELS + _h + f", l AS (SELECT {_table}::DOUBLE[] AS t), a AS (SELECT {K}, hdr, hue, light, greatest(least(sat * (t[{_la} + 1] + (t[{_la} + 2] - t[{_la} + 1]) * (light * 255 - {_la})), 1.0), 0.0) AS sat FROM {_hl}, l)" + rgb_sql("a", "o") + final("o"))
+def px_lscurve(spark, sf_dir):
+    return shown(hsl.saturation_curve(t.pixels(spark, sf_dir), CURVE))
+
+
 RASTER = "WITH f AS (SELECT (o_orderkey % 100)::INTEGER AS x, (o_orderkey // 100)::INTEGER AS y, o_totalprice / 500000 AS v FROM orders)"
 
 
@@ -241,3 +276,37 @@ def zero_shot_tags(spark, sf_dir):
 @query(ACCEPTED + ", o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY image) AS n FROM k) SELECT label, count(*) AS n, round(avg(score), 6) + 0.0 AS mean_score, max(score) AS max_score, string_agg(CASE WHEN n <= 3 THEN image::VARCHAR END, ',' ORDER BY image) AS examples FROM o GROUP BY 1")
 def label_statistics(spark, sf_dir):
     return tagging.label_statistics(tagging.accepted(scores(spark, sf_dir), 0.3, 3))
+
+
+def picture(spark, sf_dir):
+    """The raster as a grey picture."""
+    return t.raster(spark, sf_dir).select("x", "y", *[(F.col("v") * k).alias(c) for c, k in (("r", 1.0), ("g", 0.9), ("b", 0.8))])
+
+
+def only(f):
+    """Register a query that SQL can't express in reasonable size; its kernel has its own test."""
+    QUERIES[f.__name__] = f
+    return f
+
+
+@only
+def denoise_nlm(spark, sf_dir):
+    p = picture(spark, sf_dir)
+    return tiles.tiled(p, *tiles.non_local_means(0.5, 0.5), 100, height(p))
+
+
+@only
+def denoise_bilateral(spark, sf_dir):
+    p = picture(spark, sf_dir)
+    return tiles.tiled(p, *tiles.bilateral(0.5, 0.5, (1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 5.0, 4.0, 3.0, 2.0, 1.0)), 100, height(p))
+
+
+@only
+def glow(spark, sf_dir):
+    p = picture(spark, sf_dir)
+    return tiles.tiled(p, *tiles.glow(0.4, 150), 100, height(p))
+
+
+@only
+def grain(spark, sf_dir):
+    return tiles.grain(picture(spark, sf_dir), 0.8, 2.0, 0.5, 1.0)
