@@ -298,7 +298,7 @@ def denoise_nlm(spark, sf_dir):
 @only
 def denoise_bilateral(spark, sf_dir):
     p = picture(spark, sf_dir)
-    return tiles.tiled(p, *tiles.bilateral(0.5, 0.5, (1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 5.0, 4.0, 3.0, 2.0, 1.0)), 100, height(p))
+    return tiles.tiled(p, *tiles.bilateral(0.5, 0.5), 100, height(p))
 
 
 @only
