@@ -1,6 +1,6 @@
 """All registered queries outside the training-data subpackage."""
 
-from photark.plans import catalog, images
+from photark.plans import catalog, images, library
 
-QUERIES = catalog.QUERIES | images.QUERIES
-SQL = catalog.SQL | images.SQL
+QUERIES = catalog.QUERIES | images.QUERIES | library.QUERIES
+SQL = catalog.SQL | images.SQL | library.SQL

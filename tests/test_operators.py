@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from photark.functions import color, numeric
 from photark.functions import text as tx
-from photark.operators import catalog, fingerprints, merge, raster
+from photark.operators import catalog, fingerprints, library, merge, raster
 from photark.sources import images
 from photark.streaming import changes
 
@@ -127,3 +127,8 @@ def test_stream_tags_once(spark, tmp_path):
     spark.createDataFrame([(2, "b"), (3, "c")], "k int, v string").write.mode("append").parquet(str(src))
     run()
     assert sorted(tuple(r) for r in spark.read.parquet(str(out)).select("k", "tag").collect()) == [(1, "A"), (2, "B"), (3, "C")]
+
+
+@pytest.mark.parametrize(("start", "to", "want"), [(0, 3, "bcad"), (3, 0, "dabc"), (1, 1, "abcd"), (1, 2, "abcd"), (2, 4, "abdc")])
+def test_move(spark, start, to, want):
+    assert "".join(one(spark, library.moved(F.array(*map(F.lit, "abcd")), start, to))) == want
