@@ -15,37 +15,39 @@ from pyspark.sql import functions as F
 
 from photark.llm.common import components, materialise, read
 
-LETTERS = "etaonirs"
+LETTERS = "etaonirshdlu"
+#: Ids of candidate lines are broadcast up to this number (16 MB), and shuffled with the lines beyond it.
+MOST_BROADCAST = 2_000_000
 
 
-def segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
+def segment(length: Column, i: Column, tau: int) -> tuple[Column, Column]:
     """0-based start and length of the i-th (from 0) of tau + 1 segments, the last ones longer by one."""
     parts = tau + 1
-    short = F.floor(length / parts).cast("int")
+    short = F.call_function("div", length, F.lit(parts)).cast("int")
     longer = length - short * parts  # so many have one more
-    start = short * i + F.greatest(F.lit(0), F.lit(i - parts) + longer)
-    return start.cast("int"), (short + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)).cast("int")
+    start = short * i + F.greatest(F.lit(0), i - parts + longer)
+    return start.cast("int"), (short + F.when(i >= F.lit(parts) - longer, 1).otherwise(0)).cast("int")
 
 
-def index_keys(tau: int) -> Column:
-    out = []
-    for i in range(tau + 1):
-        start, size = segment(F.col("len"), i, tau)
-        out.append(F.xxhash64("len", F.lit(i), F.col("line").substr(start + 1, size)))
-    return F.array(*out)
+def index_rows(lines: DataFrame, tau: int) -> DataFrame:
+    """(key, a, a_len, a_c): each segment of each line. One row a segment keeps the compiled code small."""
+    each = lines.withColumn("i", F.explode(F.array(*map(F.lit, range(tau + 1)))))
+    start, size = segment(F.col("len"), F.col("i"), tau)
+    return each.select(F.xxhash64("len", "i", F.col("line").substr(start + 1, size)).alias("key"), F.col("id").alias("a"), F.col("len").alias("a_len"), F.col("c").alias("a_c"))
 
 
-def probe_keys(tau: int) -> Column:
-    """Keys of the substrings at which a segment of a line shorter by 0 to tau could stand: shifted by at
-    most its number of segments before it, and as much from the end."""
-    out = []
-    for shorter in range(tau + 1):
-        length = F.col("len") - shorter
-        for i in range(tau + 1):
-            start, size = segment(length, i, tau)
-            low, high = max(-i, shorter - (tau - i)), min(i, shorter + (tau - i))
-            out += [F.xxhash64(length, F.lit(i), F.col("line").substr(start + 1 + shift, size)) for shift in range(low, high + 1)]
-    return F.array(*out)
+def probe_rows(lines: DataFrame, tau: int) -> DataFrame:
+    """(p_key, b, b_len, b_c): the substrings of each line at which a segment of a line shorter by 0 to tau could
+    stand: shifted by at most the number of segments before it, and as much from the end."""
+    places = [
+        F.struct(F.lit(shorter).alias("shorter"), F.lit(i).alias("i"), F.lit(shift).alias("shift"))
+        for shorter in range(tau + 1) for i in range(tau + 1)
+        for shift in range(max(-i, shorter - (tau - i)), min(i, shorter + (tau - i)) + 1)
+    ]
+    each = lines.withColumn("p", F.explode(F.array(*places)))
+    each = each.select("id", "line", "len", "c", (F.col("len") - F.col("p.shorter")).alias("n"), F.col("p.i").alias("i"), F.col("p.shift").alias("shift"))
+    start, size = segment(F.col("n"), F.col("i"), tau)
+    return each.select(F.xxhash64("n", "i", F.col("line").substr(start + 1 + F.col("shift"), size)).alias("p_key"), F.col("id").alias("b"), F.col("len").alias("b_len"), F.col("c").alias("b_c"))
 
 
 def letters(line: Column) -> Column:
@@ -117,18 +119,17 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """(id, first: (doc_id, version, n), line, len) of each different line; ids are fixed once written."""
+    """(id, first: (doc_id, version, n), line, len, c: letter counts) of each different line; ids are fixed once written."""
     where = F.struct("doc_id", "version", "n", "line")
     by = lines_of(docs).groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
     found = by.agg(F.min(where).alias("m")).select(F.monotonically_increasing_id().alias("id"), F.struct("m.doc_id", "m.version", "m.n").alias("first"), F.col("m.line").alias("line"))
-    return materialise(found.withColumn("len", F.char_length("line")), "lines", compression="zstd")
+    return materialise(found.withColumns({"len": F.char_length("line"), "c": letters(F.col("line"))}), "lines", compression="zstd")
 
 
 def near_lines(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
     """All pairs (a, b) of ids of different lines of at least min_chars characters within tau edits."""
-    usable = lines.where(F.col("len") >= max(min_chars, tau + 1)).withColumn("c", letters(F.col("line")))
-    index = usable.select(F.explode(index_keys(tau)).alias("key"), F.col("id").alias("a"), F.col("len").alias("a_len"), F.col("c").alias("a_c"))
-    probe = usable.select(F.explode(F.array_distinct(probe_keys(tau))).alias("p_key"), F.col("id").alias("b"), F.col("len").alias("b_len"), F.col("c").alias("b_c"))
+    usable = lines.where(F.col("len") >= max(min_chars, tau + 1))
+    index, probe = index_rows(usable, tau), probe_rows(usable, tau)
     apart = F.lit(0)
     for i in range(len(LETTERS)):
         apart = apart + F.abs(F.col("a_c")[i] - F.col("b_c")[i])
@@ -136,6 +137,8 @@ def near_lines(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
     near = (F.col("key") == F.col("p_key")) & shorter & (apart <= 2 * tau)
     pairs = materialise(index.join(probe, near).select("a", "b").distinct(), "line-candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if 2 * pairs.count() <= MOST_BROADCAST:
+        asked = F.broadcast(asked)
     texts = materialise(lines.select("id", "line").join(asked, "id", "left_semi"), "candidate-lines")
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
     # written before it is filtered: a filter would be pushed down with a copy of all of the above
