@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from photark.llm.common import binary, materialise, partitions, read
+from photark.llm.common import binary, materialise, partitions, read, release
 
 SPAN, PREFIX = 100, 32
 REACH = SPAN - PREFIX  # bytes before a prefix, and after it, that a string around it can take
@@ -112,7 +112,7 @@ def first_of_each(keys: list[np.ndarray], place: list[np.ndarray]) -> tuple[np.n
 
 
 def batch_rows(docs: DataFrame) -> DataFrame:
-    """Of docs (doc, nth, text): the anchors (kind 'a'), and the intervals (kind 'i': pos to stop) that earlier
+    """Of docs (doc, nth, text): the anchors (stop is -1), and the intervals (pos to stop, under any key) that earlier
     anchors of the same surroundings cover within one group of texts; those anchors are left out."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +130,7 @@ def batch_rows(docs: DataFrame) -> DataFrame:
                 gone, start, stop = gone[at], start[at], stop[last]
             n, m = len(keep), len(gone)
             columns = [
-                pa.array(np.concatenate([key[keep].view(np.int64), np.zeros(m, np.int64)])), pa.array(np.concatenate([ctx[keep].view(np.int64), np.zeros(m, np.int64)])),
+                pa.array(np.concatenate([key[keep].view(np.int64), key[gone].view(np.int64)])), pa.array(np.concatenate([ctx[keep].view(np.int64), np.zeros(m, np.int64)])),
                 pa.array(np.concatenate([doc[keep], doc[gone]])), pa.array(np.concatenate([nth[keep], nth[gone]])),
                 pa.array(np.concatenate([pos[keep], start]).astype(np.int32)), pa.array(np.concatenate([np.full(n, -1), stop]).astype(np.int32)),
             ]
@@ -153,17 +153,22 @@ def batch_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(made, ANCHOR + ", stop int")
 
 
-def scan(rows: DataFrame) -> DataFrame:
-    """Merge-scan of anchors (with old: from a level) sorted by key, ctx and place. Returns kind 'i': the interval
-    (pos, stop) of a new anchor that is not the first of its surroundings; 'e': the first of each surroundings
-    of a key that has several, a new one among them; 'n': other new firsts."""
+def scan(rows: DataFrame, keep_level: bool) -> DataFrame:
+    """Merge-scan of batch_rows with levels, sorted by key, ctx and place. old: 0 the batch, 1 a level that merges with
+    it, 2 another level. Returns kind 'i': intervals (pos to stop), now also of new anchors that are not the
+    first of their surroundings; 'e': the first of each surroundings of a key that has several, a new one
+    among them; and if the level is kept 'n': other new firsts, 'o': other rows of merging levels."""
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
-        names = ["key", "ctx", "doc", "nth", "pos", "old"]
+        names = ["key", "ctx", "doc", "nth", "pos", "stop", "old"]
+
+        def output(c: list[np.ndarray], kind: np.ndarray) -> pa.RecordBatch:
+            columns = [*c[:4], c[4].astype(np.int32), c[5].astype(np.int32), c[6]]
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(kind.astype(object), pa.string())], names=[*names, "kind"])
 
         def emit(c: list[np.ndarray]) -> pa.RecordBatch:
-            key, ctx, doc, nth, pos, old = c
+            key, ctx, doc, nth, pos, stop, old = c
             new_key = np.ones(len(key), bool)
             new_key[1:] = key[1:] != key[:-1]
             first = new_key.copy()
@@ -171,15 +176,18 @@ def scan(rows: DataFrame) -> DataFrame:
             group = np.cumsum(new_key) - 1
             classes = np.bincount(group, first, minlength=group[-1] + 1)[group]
             fresh = np.bincount(group, first & (old == 0), minlength=group[-1] + 1)[group]
-            kind = np.where(~first, "i", np.where((classes > 1) & (fresh > 0), "e", np.where(old == 0, "n", "")))
-            keep = (kind != "") & ((kind != "i") | (old == 0))
+            rest = np.where(old == 0, "n", np.where(old == 1, "o", "")) if keep_level else np.full(len(key), "")
+            kind = np.where(~first, np.where(old == 0, "i", ""), np.where((classes > 1) & (fresh > 0), "e", rest))
             interval = kind == "i"
-            start, stop = np.where(interval, np.maximum(pos - REACH, 0), pos), np.where(interval, pos + SPAN, -1)
-            columns = [key, ctx, doc, nth, start.astype(np.int32), stop.astype(np.int32), old]
-            return pa.RecordBatch.from_arrays([*[pa.array(x[keep]) for x in columns], pa.array(kind[keep].astype(object), pa.string())], names=["key", "ctx", "doc", "nth", "pos", "stop", "old", "kind"])
+            c[4], c[5] = np.where(interval, np.maximum(pos - REACH, 0), pos), np.where(interval, pos + SPAN, stop)
+            return output([x[kind != ""] for x in c], kind[kind != ""])
 
         for batch in batches:
             cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+            done = cols[5] >= 0
+            if done.any():
+                yield output([c[done] for c in cols], np.full(done.sum(), "i"))
+                cols = [c[~done] for c in cols]
             if carry is not None:
                 cols = [np.concatenate([a, b]) for a, b in zip(carry, cols, strict=True)]
             if not len(cols[0]):
@@ -196,40 +204,40 @@ def scan(rows: DataFrame) -> DataFrame:
 
 
 def surroundings(edges: DataFrame, docs: DataFrame) -> DataFrame:
-    """Edges (key, doc, nth, pos, old) with the bytes before (at most REACH) and from the anchor on (at most SPAN)."""
-    per = edges.groupBy("doc", "nth").agg(F.collect_list(F.struct("key", "pos", "old")).alias("at"))
+    """Edges (key, doc, nth, pos) with the bytes before (at most REACH) and from the anchor on (at most SPAN)."""
+    per = edges.groupBy("doc", "nth").agg(F.collect_list(F.struct("key", "pos")).alias("at"))
     per = per.select(F.col("doc").alias("of"), F.col("nth").alias("of_nth"), "at")
     joined = docs.join(per, (F.col("doc") == F.col("of")) & (F.col("nth") == F.col("of_nth"))).select("doc", "nth", "text", "at")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc", "nth", "pos", "old", "left", "right"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        names = ["key", "doc", "nth", "pos", "left", "right"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         for batch in batches:
             out = []
             for d, n, t, at in zip(batch.column("doc").to_pylist(), batch.column("nth").to_pylist(), batch.column("text"), batch.column("at"), strict=True):
                 text = (t.as_py() or "").encode()
                 for a in at.as_py():
                     p = a["pos"]
-                    out.append((a["key"], d, n, p, a["old"], text[max(0, p - REACH) : p], text[p : p + SPAN]))
+                    out.append((a["key"], d, n, p, text[max(0, p - REACH) : p], text[p : p + SPAN]))
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return joined.mapInArrow(cut, "key long, doc long, nth int, pos int, old int, left binary, right binary")
+    return joined.mapInArrow(cut, "key long, doc long, nth int, pos int, left binary, right binary")
 
 
 def compare(around: DataFrame) -> DataFrame:
-    """Intervals (doc, nth, pos, stop) of new edges that earlier ones of their key cover: around an anchor the
+    """Intervals (doc, nth, pos, stop) of edges that earlier ones of their key cover: around an anchor the
     string at each offset is looked up among those of the same key and offset; covered ones overlap."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc", "nth", "pos", "old", "left", "right"]
+        names = ["key", "doc", "nth", "pos"]
         carry: pa.Table | None = None
 
         def emit(t: pa.Table) -> pa.RecordBatch:
-            key, doc, nth, pos, old = (t.column(n).to_numpy() for n in names[:5])
+            key, doc, nth, pos = (t.column(n).to_numpy() for n in names)
             group = np.cumsum(np.append(True, key[1:] != key[:-1])).astype(U64)
             low, high = np.full(len(key), -1), np.full(len(key), -1)
             left, right = t.column("left").to_pylist(), t.column("right").to_pylist()
@@ -250,7 +258,7 @@ def compare(around: DataFrame) -> DataFrame:
                 hit = rows[again]
                 low[hit] = np.where(low[hit] < 0, s, low[hit])
                 high[hit] = s
-            found = (low >= 0) & (old == 0)
+            found = low >= 0
             columns = [doc[found], nth[found], (pos - REACH + low)[found].astype(np.int32), (pos - REACH + high + SPAN)[found].astype(np.int32)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "nth", "pos", "stop"])
 
@@ -288,37 +296,34 @@ def repeats(docs: DataFrame, batches: int = 3) -> DataFrame:
     spark = docs.sparkSession
     bounds = docs.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     limits = [None, *sorted(set(bounds)), None]
-    levels: list[tuple[int, DataFrame]] = []  # (batches inside, sorted rows), largest first
-    intervals, edges = [], []
+    levels: list[tuple[int, DataFrame]] = []  # (batches inside, rows), largest first
+    scans = []
     for low, high in zip(limits, limits[1:], strict=False):
         part = docs
         if low is not None:
             part = part.where(F.col("doc") > low)
         if high is not None:
             part = part.where(F.col("doc") <= high)
-        rows = materialise(batch_rows(part), "suffixes")
-        intervals.append(rows.where("stop >= 0").select("doc", "nth", "pos", "stop"))
-        merged = rows.where("stop < 0").select("key", "ctx", "doc", "nth", "pos", F.lit(0).alias("old"))
-        for _, level in levels:
-            merged = merged.unionByName(level.withColumn("old", F.lit(1)))
-        found = materialise(scan(merged), "scan", partition_by=["kind"])
-        intervals.append(found.where("kind = 'i'").select("doc", "nth", "pos", "stop"))
-        edges.append(found.where("kind = 'e'").select("key", "doc", "nth", "pos", "old"))
-        if high is None:
-            break
-        size, level = 1, found.where("kind in ('e', 'n') and old = 0").select("key", "ctx", "doc", "nth", "pos")
-        while levels and levels[-1][0] == size:
-            size, level = 2 * size, level.unionByName(levels.pop()[1])
-        if size > 1:
-            level = level.repartition(partitions(spark), "key").sortWithinPartitions("key", "ctx")
-            level = materialise(level, "level")
-        levels.append((size, level))
-    for e in edges:
-        intervals.append(materialise(compare(materialise(surroundings(e, docs), "surroundings")), "edges"))
-    out = intervals[0]
-    for i in intervals[1:]:
-        out = out.unionByName(i)
-    return out
+        merging, size = len(levels), 1  # levels from here on merge with the batch
+        while merging and levels[merging - 1][0] == size:
+            merging, size = merging - 1, 2 * size
+        rows = batch_rows(part).withColumn("old", F.lit(0))
+        for n, (_, level) in enumerate(levels):
+            rows = rows.unionByName(level.select("*", F.lit(-1).alias("stop"), F.lit(1 if n >= merging else 2).alias("old")))
+        found = materialise(scan(rows, high is not None), "scan", partition_by=["kind"])
+        release(spark)
+        scans.append(found)
+        level = found.where("kind in ('e', 'n', 'o') and old < 2").select("key", "ctx", "doc", "nth", "pos")
+        levels = [*levels[:merging], (size, level)]
+    found = scans[0]
+    for f in scans[1:]:
+        found = found.unionByName(f)
+    edges = found.where("kind = 'e'").select("key", "doc", "nth", "pos").distinct()
+    around = materialise(surroundings(edges, docs), "surroundings")
+    release(spark)
+    compared = materialise(compare(around), "edges")
+    release(spark)
+    return found.where("kind = 'i'").select("doc", "nth", "pos", "stop").unionByName(compared)
 
 
 def covered(intervals: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
