@@ -216,52 +216,70 @@ def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 2) -> DataFrame
     return fps.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
 
 
-def shingle_sets(rows: DataFrame, k: int) -> DataFrame:
-    """rows (root, row, text) with the sorted hashes of the text's different shingles instead of it."""
+def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """texts (version, text) with the sorted hashes of the text's different shingles instead of it."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [sorted({xxhash.xxh64_intdigest(s, 42) - (1 << 63) for s in shingles(t, k)}) for t in binary(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], names=["root", "row", "has"])
-
-    return rows.select("root", "row", "text").mapInArrow(made, "root long, row struct<doc_id: long, version: long>, has array<long>")
+            yield pa.RecordBatch.from_arrays([batch.column("version"), pa.array(sets, pa.list_(pa.int64()))], names=["version", "has"])
+
+    return texts.mapInArrow(made, "version long, has array<long>")
+
+
+def dominated(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Versions that go, given edges (low, high) to compare and the sets (version, has).
+
+    In each round the versions that no undecided lower one is joined to stay, and those joined to them go if
+    they are near. Each edge is compared once at most, and a group of copies takes one round."""
+    low_sets = sets.select(F.col("version").alias("low"), F.col("has").alias("low_has"))
+    high_sets = sets.select(F.col("version").alias("high"), F.col("has").alias("high_has"))
+    gone = []
+    while not edges.isEmpty():
+        held = edges.select(F.col("high").alias("held")).distinct()
+        now = edges.join(held, F.col("low") == F.col("held"), "left_anti")
+        both = F.size(F.array_intersect("low_has", "high_has"))
+        either = F.size("low_has") + F.size("high_has") - both
+        compared = now.join(low_sets, "low").join(high_sets, "high").where((either == 0) | (both >= similarity * either))
+        near = materialise(compared.select(F.col("high").alias("near")).distinct(), "near")
+        gone.append(near)
+        left = edges.join(held, F.col("low") == F.col("held"), "left_semi")
+        left = left.join(near, F.col("low") == F.col("near"), "left_anti").join(near, F.col("high") == F.col("near"), "left_anti")
+        edges = materialise(left, "undecided")
+    out = gone[0]
+    for g in gone[1:]:
+        out = out.unionByName(g)
+    return out
 
 
 def keep_first(docs: DataFrame, k: int, distance: int, similarity: float) -> DataFrame:
-    """The rows of docs (doc_id, text, any more columns) without those whose shingle set has a Jaccard
-    similarity of at least ``similarity`` to that of a row that is kept.
+    """The rows of docs (doc_id, text, any more columns) without copies, and without those whose shingle set has a
+    Jaccard similarity of at least ``similarity`` to that of a row that is kept.
 
-    Rows compare if links of fingerprints join them. In each component the first row, by doc_id (null
-    first) and the text's hash, stays and is compared with all others; the first of those not near
-    it is next, until none is left. So a row costs a comparison with each row kept before it in
-    its component, and never all pairs. Of equal rows one stays; texts without words are equal.
+    Different texts compare if their fingerprints are equal or linked. The first, by doc_id (null first) and
+    the text's hash, stays. Of equal rows one stays; texts without words are equal.
     """
     fps = fingerprints(docs, k)
-    owned = rooted(fps, distance).select(F.col("fp").alias("of"), "root")
-    rows = fps.join(owned, F.col("fp") == F.col("of")).select("root", F.struct("doc_id", "version").alias("row")).distinct()
-    several = rows.groupBy("root").count().where("count > 1").select(F.col("root").alias("r"))
-    members = materialise(rows.join(several, F.col("root") == F.col("r")).select("root", "row"), "members")
+    nodes = materialise(fps.groupBy("version").agg(F.min("fp").alias("fp"), F.min(F.struct("doc_id", "version")).alias("first")), "texts")
+    pairs = links(nodes.select("fp").distinct(), distance).unionByName(nodes.groupBy("fp").count().where("count > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+    left = nodes.select(F.col("fp").alias("a"), F.col("version").alias("x"), F.col("first").alias("x_first"))
+    right = nodes.select(F.col("fp").alias("b"), F.col("version").alias("y"), F.col("first").alias("y_first"))
+    ends = pairs.join(left, "a").join(right, "b").where("x <> y and (a <> b or x_first < y_first)")
+    forward = F.col("x_first") < F.col("y_first")
+    edges = materialise(ends.select(F.when(forward, F.col("x")).otherwise(F.col("y")).alias("low"), F.when(forward, F.col("y")).otherwise(F.col("x")).alias("high")), "edges")
+    gone = nodes.select("version", "first")
     version = F.xxhash64("text")
-    texts = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), version.alias("version")).alias("key"), "text")
-    left = materialise(shingle_sets(members.join(texts, F.col("row").eqNullSafe(F.col("key"))), k).dropDuplicates(["root", "row"]), "shingle-sets")
-    later = []
-    while not left.isEmpty():
-        first = left.groupBy("root").agg(F.min("row").alias("first"))
-        chosen = left.join(first.withColumnRenamed("root", "r"), (F.col("root") == F.col("r")) & F.col("row").eqNullSafe(F.col("first")))
-        chosen = chosen.select(F.col("root").alias("r"), "first", F.col("has").alias("other"))
-        both = F.size(F.array_intersect("has", "other"))
-        either = F.size("has") + F.size("other") - both
-        judged = left.join(chosen, F.col("root") == F.col("r")).where("not (row <=> first)")
-        judged = materialise(judged.select("root", "row", "has", ((either == 0) | (both >= similarity * either)).alias("near")), "judged")
-        later.append(judged.where("near").select("row"))
-        left = judged.where("not near").select("root", "row", "has")
-    kept = docs
-    if later:
-        gone = later[0]
-        for more in later[1:]:
-            gone = gone.unionByName(more)
-        gone = gone.select(F.col("row.doc_id").alias("l_doc"), F.col("row.version").alias("l_version"))
-        kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("l_doc")) & (version == F.col("l_version")), "left_anti")
+    if edges.isEmpty():
+        gone = gone.withColumn("near", F.lit(None).cast("long"))
+    else:
+        asked = edges.select(F.explode(F.array("low", "high")).alias("asked")).distinct()
+        texts = docs.select(version.alias("version"), "text").join(asked, F.col("version") == F.col("asked"), "left_semi")
+        sets = materialise(shingle_sets(texts, k).dropDuplicates(["version"]), "shingle-sets")
+        gone = gone.join(dominated(edges, sets, similarity), F.col("version") == F.col("near"), "left")
+    gone = gone.select(F.col("version").alias("v"), "first", F.col("near").isNotNull().alias("near"))
+    rows = fps.join(gone, F.col("version") == F.col("v")).where("near or not (struct(doc_id, version) <=> first)")
+    later = materialise(rows.select(F.col("doc_id").alias("l_doc"), F.col("version").alias("l_version")).distinct(), "near-copies")
+    kept = docs.join(later, F.col("doc_id").cast("long").eqNullSafe(F.col("l_doc")) & (version == F.col("l_version")), "left_anti")
     if fps.groupBy("doc_id", "version").count().where("count > 1").isEmpty():
         return kept
     return kept.withColumn("l_version", version).dropDuplicates(["doc_id", "l_version"]).select(docs.columns)
