@@ -13,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photark.llm.common import components, materialise, read
+from photark.llm.common import components, materialise, read, release
 
-LETTERS = "etaonirshdlu"
+LETTERS = "etaonirshl"
+BITS = 6  # of a long, for each letter's count
 #: Ids of candidate lines are broadcast up to this number (16 MB), and shuffled with the lines beyond it.
 MOST_BROADCAST = 2_000_000
 
@@ -51,8 +52,21 @@ def probe_rows(lines: DataFrame, tau: int) -> DataFrame:
 
 
 def letters(line: Column) -> Column:
-    """Counts of frequent letters; one edit changes their sum of differences by 2 at most."""
-    return F.array(*[(F.char_length(line) - F.char_length(F.replace(line, F.lit(c)))).cast("short") for c in LETTERS])
+    """Counts of frequent letters, up to 63 each, in one long."""
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(LETTERS):
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))
+        out = out + F.shiftleft(F.least(n, F.lit((1 << BITS) - 1)).cast("long"), BITS * i)
+    return out
+
+
+def letters_apart(a: Column, b: Column) -> Column:
+    """Sum of the counts' differences; one edit changes it by 2 at most."""
+    out = F.lit(0).cast("long")
+    for i in range(len(LETTERS)):
+        at = lambda c, i=i: F.shiftright(c, BITS * i).bitwiseAND(F.lit((1 << BITS) - 1))
+        out = out + F.abs(at(a) - at(b))
+    return out
 
 
 def shared(a: Column, b: Column, end: bool) -> Column:
@@ -130,13 +144,11 @@ def near_lines(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
     """All pairs (a, b) of ids of different lines of at least min_chars characters within tau edits."""
     usable = lines.where(F.col("len") >= max(min_chars, tau + 1))
     index, probe = index_rows(usable, tau), probe_rows(usable, tau)
-    apart = F.lit(0)
-    for i in range(len(LETTERS)):
-        apart = apart + F.abs(F.col("a_c")[i] - F.col("b_c")[i])
     shorter = (F.col("a_len") < F.col("b_len")) | ((F.col("a_len") == F.col("b_len")) & (F.col("a") < F.col("b")))
-    near = (F.col("key") == F.col("p_key")) & shorter & (apart <= 2 * tau)
+    near = (F.col("key") == F.col("p_key")) & shorter & (letters_apart(F.col("a_c"), F.col("b_c")) <= 2 * tau)
     pairs = materialise(index.join(probe, near).select("a", "b").distinct(), "line-candidates")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    release(lines.sparkSession)
+    asked = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
     if 2 * pairs.count() <= MOST_BROADCAST:
         asked = F.broadcast(asked)
     texts = materialise(lines.select("id", "line").join(asked, "id", "left_semi"), "candidate-lines")
@@ -150,6 +162,7 @@ def kept_lines(docs: DataFrame, tau: int, min_chars: int) -> DataFrame:
     """(doc_id, version, kept: line numbers) of the lines that come first in their class, by doc_id, version
     and number; lines are in a class if near ones link them."""
     lines = distinct_lines(docs)
+    release(docs.sparkSession)
     roots = components(near_lines(lines, tau, min_chars))
     firsts = lines.select("id", "first")
     linked = roots.join(firsts, F.col("node") == F.col("id")).select("id", "root", "first")
