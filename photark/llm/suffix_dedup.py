@@ -310,7 +310,7 @@ def repeats(docs: DataFrame, batches: int = 3) -> DataFrame:
         rows = batch_rows(part).withColumn("old", F.lit(0))
         for n, (_, level) in enumerate(levels):
             rows = rows.unionByName(level.select("*", F.lit(-1).alias("stop"), F.lit(1 if n >= merging else 2).alias("old")))
-        found = materialise(scan(rows, high is not None), "scan", partition_by=["kind"])
+        found = materialise(scan(rows, high is not None), "scan", partition_by=["kind"], compression="zstd")
         release(spark)
         scans.append(found)
         level = found.where("kind in ('e', 'n', 'o') and old < 2").select("key", "ctx", "doc", "nth", "pos")
@@ -319,7 +319,7 @@ def repeats(docs: DataFrame, batches: int = 3) -> DataFrame:
     for f in scans[1:]:
         found = found.unionByName(f)
     edges = found.where("kind = 'e'").select("key", "doc", "nth", "pos").distinct()
-    around = materialise(surroundings(edges, docs), "surroundings")
+    around = materialise(surroundings(edges, docs), "surroundings", compression="zstd")
     release(spark)
     compared = materialise(compare(around), "edges")
     release(spark)
