@@ -216,71 +216,129 @@ def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 2) -> DataFrame
     return fps.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
 
 
-def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
-    """texts (version, text) with the sorted hashes of the text's different shingles instead of it."""
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """docs (doc_id, text) as (doc_id, version, sid, size, bits, has): has, the sorted hashes of the text's different
+    shingles; sid, a hash of these; bits, for each of 512 classes of hashes, if it has an odd number of them."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [sorted({xxhash.xxh64_intdigest(s, 42) - (1 << 63) for s in shingles(t, k)}) for t in binary(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("version"), pa.array(sets, pa.list_(pa.int64()))], names=["version", "has"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(t, k)], "<u8").view("<i8")) for t in binary(part, "text")]
+                sid = [xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63) for h in sets]
+                odd = [np.packbits(np.bincount(h & 511, minlength=512) & 1, bitorder="little").view("<i8") for h in sets]
+                columns = [part.column("doc_id"), part.column("version"), pa.array(sid, pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "sid", "size", "bits", "has"])
 
-    return texts.mapInArrow(made, "version long, has array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    return materialise(rows.mapInArrow(made, "doc_id long, version long, sid long, size int, bits array<long>, has array<long>"), "shingle-sets")
 
 
-def dominated(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Versions that go, given edges (low, high) to compare and the sets (version, has).
+def prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
+    """(v, place, sid, size): the first shingles of each set, by hash with the sorted ``common`` ones last, without which
+    fewer than ``similarity`` of the set are left: of two sets so similar, the first shared one is among both."""
 
-    In each round the versions that no undecided lower one is joined to stay, and those joined to them go if
-    they are near. Each edge is compared once at most, and a group of copies takes one round."""
-    low_sets = sets.select(F.col("version").alias("low"), F.col("has").alias("low_has"))
-    high_sets = sets.select(F.col("version").alias("high"), F.col("has").alias("high_has"))
-    gone = []
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                v = part.column("has").flatten().to_numpy()
+                size = part.column("size").to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(len(size)), size)
+                last = np.zeros(len(v), bool)
+                if len(common):
+                    last = common[np.minimum(np.searchsorted(common, v), len(common) - 1)] == v
+                order = np.argsort(2 * row + last, kind="stable")
+                place = np.arange(len(v)) - np.repeat(np.cumsum(size) - size, size)
+                chosen = place < (size - np.ceil(similarity * size - 1e-9) + 1)[row]
+                columns = [v[order][chosen], place[chosen].astype(np.int32), part.column("sid").to_numpy()[row[chosen]], size[row[chosen]].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["v", "place", "sid", "size"])
+
+    return sets.select("sid", "size", "has").mapInArrow(made, "v long, place int, sid long, size int").distinct()
+
+
+def index(sets: DataFrame, similarity: float, rounds: int = 2, often: int = 16, most: int = 200_000) -> DataFrame:
+    """The prefixes of sets. Shingles that many prefixes hold go last in the order, which any order may do; this
+    only makes fewer pairs share one."""
+    common = np.zeros(0, np.int64)
+    for _ in range(rounds):
+        counts = prefixes(sets, similarity, common).groupBy("v").count().where(F.col("count") > often)
+        found = [r["v"] for r in counts.orderBy(F.desc("count"), "v").limit(most).select("v").collect()]
+        common = np.union1d(common, np.array(found, np.int64))
+    return materialise(prefixes(sets, similarity, common), "prefixes")
+
+
+def reaches(similarity: float) -> Column:
+    """If two sets of which a shingle is the first shared one (at place and p_place) can be so similar."""
+    shared = F.least(F.col("size") - F.col("place"), F.col("p_size") - F.col("p_place"))
+    return shared + 1e-9 >= similarity / (1 + similarity) * (F.col("size") + F.col("p_size"))
+
+
+def candidates(indexed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a < b) of sets that share a shingle of their prefixes and can be so similar."""
+    other = indexed.select(F.col("v").alias("p_v"), F.col("place").alias("p_place"), F.col("sid").alias("p_sid"), F.col("size").alias("p_size"))
+    pairs = indexed.join(other, (F.col("v") == F.col("p_v")) & (F.col("sid") < F.col("p_sid")) & reaches(similarity))
+    return pairs.select(F.col("sid").alias("a"), F.col("p_sid").alias("b")).distinct()
+
+
+def near(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are so similar. What differs in bits differs in the sets: pairs with too
+    many such bits are not compared further."""
+    few = nodes.select("sid", "size", "bits")
+    left = few.select(F.col("sid").alias("a"), F.col("size").alias("a_size"), F.col("bits").alias("a_bits"))
+    right = few.select(F.col("sid").alias("b"), F.col("size").alias("b_size"), F.col("bits").alias("b_bits"))
+    differ = sum((F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(8)), F.lit(0))
+    close = differ <= (1 - similarity) / (1 + similarity) * (F.col("a_size") + F.col("b_size")) + 1e-9
+    asked = materialise(pairs.join(left, "a").join(right, "b").where(close).select("a", "b"), "asked")
+    ids = asked.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
+    held = materialise(sets.select("sid", "has").join(ids, F.col("sid") == F.col("asked"), "left_semi").dropDuplicates(["sid"]), "asked-sets")
+    compared = asked.join(held.select(F.col("sid").alias("a"), F.col("has").alias("a_has")), "a").join(held.select(F.col("sid").alias("b"), F.col("has").alias("b_has")), "b")
+    both = F.size(F.array_intersect("a_has", "b_has"))
+    return materialise(compared.where(both + 1e-9 >= similarity * (F.size("a_has") + F.size("b_has") - both)).select("a", "b"), "near")
+
+
+def dominated(edges: DataFrame) -> DataFrame:
+    """Nodes that go, given edges (low, high) of near ones: in each round the nodes that no undecided lower one is
+    joined to stay, and those joined to them go."""
+    gone = edges.select(F.col("high").alias("near")).limit(0)
     while not edges.isEmpty():
         held = edges.select(F.col("high").alias("held")).distinct()
-        now = edges.join(held, F.col("low") == F.col("held"), "left_anti")
-        both = F.size(F.array_intersect("low_has", "high_has"))
-        either = F.size("low_has") + F.size("high_has") - both
-        compared = now.join(low_sets, "low").join(high_sets, "high").where((either == 0) | (both >= similarity * either))
-        near = materialise(compared.select(F.col("high").alias("near")).distinct(), "near")
-        gone.append(near)
-        left = edges.join(held, F.col("low") == F.col("held"), "left_semi")
-        left = left.join(near, F.col("low") == F.col("near"), "left_anti").join(near, F.col("high") == F.col("near"), "left_anti")
+        near = materialise(edges.join(held, F.col("low") == F.col("held"), "left_anti").select(F.col("high").alias("near")).distinct(), "gone")
+        gone = gone.unionByName(near)
+        left = edges.join(near, F.col("low") == F.col("near"), "left_anti").join(near, F.col("high") == F.col("near"), "left_anti")
         edges = materialise(left, "undecided")
-    out = gone[0]
-    for g in gone[1:]:
-        out = out.unionByName(g)
-    return out
+    return gone
 
 
 def keep_first(docs: DataFrame, k: int, distance: int, similarity: float) -> DataFrame:
     """The rows of docs (doc_id, text, any more columns) without copies, and without those whose shingle set has a
     Jaccard similarity of at least ``similarity`` to that of a row that is kept.
 
-    Different texts compare if their fingerprints are equal or linked. The first, by doc_id (null first) and
-    the text's hash, stays. Of equal rows one stays; texts without words are equal.
+    All pairs so similar are found, by shared shingles of their prefixes; fingerprints, whose ``distance`` only
+    makes such pairs likely, are not asked. The first, by doc_id (null first) and the text's hash, stays. Of
+    equal rows one stays; texts without words are equal.
     """
-    fps = fingerprints(docs, k)
-    nodes = materialise(fps.groupBy("version").agg(F.min("fp").alias("fp"), F.min(F.struct("doc_id", "version")).alias("first")), "texts")
-    pairs = links(nodes.select("fp").distinct(), distance).unionByName(nodes.groupBy("fp").count().where("count > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-    left = nodes.select(F.col("fp").alias("a"), F.col("version").alias("x"), F.col("first").alias("x_first"))
-    right = nodes.select(F.col("fp").alias("b"), F.col("version").alias("y"), F.col("first").alias("y_first"))
-    ends = pairs.join(left, "a").join(right, "b").where("x <> y and (a <> b or x_first < y_first)")
-    forward = F.col("x_first") < F.col("y_first")
-    edges = materialise(ends.select(F.when(forward, F.col("x")).otherwise(F.col("y")).alias("low"), F.when(forward, F.col("y")).otherwise(F.col("x")).alias("high")), "edges")
-    gone = nodes.select("version", "first")
+    sets = shingle_sets(docs, k)
+    grouped = sets.groupBy("sid").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.min(F.struct("doc_id", "version")).alias("first"))
+    nodes = materialise(grouped, "sets")
+    pairs = near(candidates(index(sets, similarity), similarity), nodes, sets, similarity)
+    firsts = nodes.select("sid", "first")
+    ends = pairs.join(firsts.select(F.col("sid").alias("a"), F.col("first").alias("a_first")), "a").join(firsts.select(F.col("sid").alias("b"), F.col("first").alias("b_first")), "b")
+    forward = F.col("a_first") < F.col("b_first")
+    edges = materialise(ends.select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("high")), "edges")
+    stays = firsts.join(dominated(edges), F.col("sid") == F.col("near"), "left_anti")
+    return only(docs, sets, stays)
+
+
+def only(docs: DataFrame, sets: DataFrame, stays: DataFrame) -> DataFrame:
+    """The rows of docs that are the first of a row of stays (first), each once."""
+    rows = sets.select("doc_id", "version")
+    stays = stays.select(F.col("first.doc_id").alias("s_doc"), F.col("first.version").alias("s_version"))
+    same = F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("version") == F.col("s_version"))
+    later = materialise(rows.join(stays, same, "left_anti").distinct().select(F.col("doc_id").alias("l_doc"), F.col("version").alias("l_version")), "near-copies")
     version = F.xxhash64("text")
-    if edges.isEmpty():
-        gone = gone.withColumn("near", F.lit(None).cast("long"))
-    else:
-        asked = edges.select(F.explode(F.array("low", "high")).alias("asked")).distinct()
-        texts = docs.select(version.alias("version"), "text").join(asked, F.col("version") == F.col("asked"), "left_semi")
-        sets = materialise(shingle_sets(texts, k).dropDuplicates(["version"]), "shingle-sets")
-        gone = gone.join(dominated(edges, sets, similarity), F.col("version") == F.col("near"), "left")
-    gone = gone.select(F.col("version").alias("v"), "first", F.col("near").isNotNull().alias("near"))
-    rows = fps.join(gone, F.col("version") == F.col("v")).where("near or not (struct(doc_id, version) <=> first)")
-    later = materialise(rows.select(F.col("doc_id").alias("l_doc"), F.col("version").alias("l_version")).distinct(), "near-copies")
     kept = docs.join(later, F.col("doc_id").cast("long").eqNullSafe(F.col("l_doc")) & (version == F.col("l_version")), "left_anti")
-    if fps.groupBy("doc_id", "version").count().where("count > 1").isEmpty():
+    if rows.groupBy("doc_id", "version").count().where("count > 1").isEmpty():
         return kept
     return kept.withColumn("l_version", version).dropDuplicates(["doc_id", "l_version"]).select(docs.columns)
 

@@ -382,6 +382,26 @@ def test_keep_first(spark, odd):
     assert all(r["extra"] == "x" for r in got)
 
 
+def planted(base, changed):
+    """base with a word of each of these numbers changed."""
+    return " ".join(f"x{i}y" if i in changed else w for i, w in enumerate(base.split()))
+
+
+def test_keep_first_finds_all_near_pairs(spark):
+    rng = random.Random(8)
+    docs = []
+    for n in range(120):  # up to six neighbouring words changed: similarities of 0.81 to 0.90
+        base = " ".join(f"w{rng.randrange(5000)}" for _ in range(100))
+        start = rng.randrange(5, 80)
+        docs += [(2 * n, base), (2 * n + 1, planted(base, {start + i for i in range(n % 7)}))]
+    sets = {d: frozenset(brute.shingles(t, 5)) for d, t in docs}
+    pairs = {(d, d + 1) for d in range(0, 240, 2) if len(sets[d] & sets[d + 1]) >= 0.8 * len(sets[d] | sets[d + 1])}
+    bands = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs]
+    assert sum(0.8 <= x < 0.9 for x in bands) > 50
+    kept = {r["doc_id"] for r in simhash.keep_first(table(spark, docs), 5, 10, 0.8).collect()}
+    assert kept == set(sets) - {b for _, b in pairs}
+
+
 # 10: top-k
 
 
