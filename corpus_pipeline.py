@@ -33,7 +33,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies, found by their fingerprints and then compared by their shingles, the first by doc_id."""
+    """Of each group of near copies, joined by the similarity of their shingles, the first by doc_id."""
     return simhash.keep_first(docs, SHINGLE, DISTANCE, SIMILARITY)
 
 

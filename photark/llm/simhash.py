@@ -16,7 +16,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photark.llm.common import binary, components, materialise, read
@@ -275,9 +275,9 @@ def reaches(similarity: float) -> Column:
 
 
 def candidates(indexed: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a < b) of sets that share a shingle of their prefixes and can be so similar."""
-    other = indexed.select(F.col("v").alias("p_v"), F.col("place").alias("p_place"), F.col("sid").alias("p_sid"), F.col("size").alias("p_size"))
-    pairs = indexed.join(other, (F.col("v") == F.col("p_v")) & (F.col("sid") < F.col("p_sid")) & reaches(similarity))
+    """Pairs (a < b) of sets of different roots that share a shingle of their prefixes and can be so similar."""
+    other = indexed.select(*[F.col(c).alias("p_" + c) for c in indexed.columns])
+    pairs = indexed.join(other, (F.col("v") == F.col("p_v")) & (F.col("sid") < F.col("p_sid")) & (F.col("root") != F.col("p_root")) & reaches(similarity))
     return pairs.select(F.col("sid").alias("a"), F.col("p_sid").alias("b")).distinct()
 
 
@@ -297,37 +297,37 @@ def near(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float)
     return materialise(compared.where(both + 1e-9 >= similarity * (F.size("a_has") + F.size("b_has") - both)).select("a", "b"), "near")
 
 
-def dominated(edges: DataFrame) -> DataFrame:
-    """Nodes that go, given edges (low, high) of near ones: in each round the nodes that no undecided lower one is
-    joined to stay, and those joined to them go."""
-    gone = edges.select(F.col("high").alias("near")).limit(0)
-    while not edges.isEmpty():
-        held = edges.select(F.col("high").alias("held")).distinct()
-        near = materialise(edges.join(held, F.col("low") == F.col("held"), "left_anti").select(F.col("high").alias("near")).distinct(), "gone")
-        gone = gone.unionByName(near)
-        left = edges.join(near, F.col("low") == F.col("near"), "left_anti").join(near, F.col("high") == F.col("near"), "left_anti")
-        edges = materialise(left, "undecided")
-    return gone
+def rooted_near(sets: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(sid, root) of each set that is near another: its component over all near pairs.
+
+    First each set is compared with the next in size that shares a prefix's shingle, then all pairs that this did
+    not join: a dense group needs few of its pairs, and none that joins two components is left out."""
+    indexed = index(sets, similarity)
+    by_size = Window.partitionBy("v").orderBy("size", "sid")
+    beside = [F.lag(c).over(by_size).alias("p_" + c) for c in ("sid", "size", "place")]
+    chain = indexed.select("*", *beside).where(F.col("p_sid").isNotNull() & reaches(similarity))
+    chain = chain.select(F.least("sid", "p_sid").alias("a"), F.greatest("sid", "p_sid").alias("b")).distinct()
+    found = near(chain, nodes, sets, similarity)
+    roots = materialise(components(found), "roots")
+    named = indexed.join(roots, F.col("sid") == F.col("node"), "left").select(*indexed.columns, F.coalesce("root", "sid").alias("root"))
+    rest = near(candidates(materialise(named, "rooted-prefixes"), similarity), nodes, sets, similarity)
+    return components(found.unionByName(rest)).select(F.col("node").alias("of"), "root")
 
 
 def keep_first(docs: DataFrame, k: int, distance: int, similarity: float) -> DataFrame:
-    """The rows of docs (doc_id, text, any more columns) without copies, and without those whose shingle set has a
-    Jaccard similarity of at least ``similarity`` to that of a row that is kept.
+    """Of each group of near copies among docs (doc_id, text, any more columns) one row: groups join texts whose shingle
+    sets have a Jaccard similarity of at least ``similarity``, and what is joined to those.
 
-    All pairs so similar are found, by shared shingles of their prefixes; fingerprints, whose ``distance`` only
+    All pairs so similar count, found by shared shingles of their prefixes; fingerprints, whose ``distance`` only
     makes such pairs likely, are not asked. The first, by doc_id (null first) and the text's hash, stays. Of
     equal rows one stays; texts without words are equal.
     """
     sets = shingle_sets(docs, k)
     grouped = sets.groupBy("sid").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.min(F.struct("doc_id", "version")).alias("first"))
     nodes = materialise(grouped, "sets")
-    pairs = near(candidates(index(sets, similarity), similarity), nodes, sets, similarity)
-    firsts = nodes.select("sid", "first")
-    ends = pairs.join(firsts.select(F.col("sid").alias("a"), F.col("first").alias("a_first")), "a").join(firsts.select(F.col("sid").alias("b"), F.col("first").alias("b_first")), "b")
-    forward = F.col("a_first") < F.col("b_first")
-    edges = materialise(ends.select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("high")), "edges")
-    stays = firsts.join(dominated(edges), F.col("sid") == F.col("near"), "left_anti")
-    return only(docs, sets, stays)
+    roots = rooted_near(sets, nodes, similarity)
+    owned = nodes.select("sid", "first").join(roots, F.col("sid") == F.col("of"), "left")
+    return only(docs, sets, owned.groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("first")))
 
 
 def only(docs: DataFrame, sets: DataFrame, stays: DataFrame) -> DataFrame:

@@ -402,6 +402,15 @@ def test_keep_first_finds_all_near_pairs(spark):
     assert kept == set(sets) - {b for _, b in pairs}
 
 
+def test_keep_first_keeps_one_of_a_group(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    docs = [(50, base), (10, planted(base, range(20, 24))), (20, planted(base, range(70, 74))), (60, "other words " * 9)]
+    sets = {d: frozenset(brute.shingles(t, 5)) for d, t in docs}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert alike(50, 10) >= 0.8 and alike(50, 20) >= 0.8 and alike(10, 20) < 0.8
+    assert sorted(r["doc_id"] for r in simhash.keep_first(table(spark, docs), 5, 10, 0.8).collect()) == [10, 60]
+
+
 # 10: top-k
 
 
