@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photark.llm.common import binary, components, materialise, read
+from photark.llm.common import binary, components, materialise, partitions, read, release
 
 #: A probe is written, sorted and read; a candidate is a comparison of two numbers.
 ROW_COST = 20
@@ -236,12 +236,19 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 def prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
     """(v, place, sid, size): the first shingles of each set, by hash with the sorted ``common`` ones last, without which
-    fewer than ``similarity`` of the set are left: of two sets so similar, the first shared one is among both."""
+    fewer than ``similarity`` of the set are left: of two sets so similar, the first shared one is among both.
+    Equal sets give theirs once a task."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
+                new = []
+                for i in part.column("sid").to_pylist():
+                    new.append(i not in seen)
+                    seen.add(i)
+                part = part.filter(pa.array(new, pa.bool_()))
                 v = part.column("has").flatten().to_numpy()
                 size = part.column("size").to_numpy().astype(np.int64)
                 row = np.repeat(np.arange(len(size)), size)
@@ -254,18 +261,23 @@ def prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFram
                 columns = [v[order][chosen], place[chosen].astype(np.int32), part.column("sid").to_numpy()[row[chosen]], size[row[chosen]].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["v", "place", "sid", "size"])
 
-    return sets.select("sid", "size", "has").mapInArrow(made, "v long, place int, sid long, size int").distinct()
+    return sets.select("sid", "size", "has").mapInArrow(made, "v long, place int, sid long, size int")
 
 
 def index(sets: DataFrame, similarity: float, rounds: int = 2, often: int = 16, most: int = 200_000) -> DataFrame:
-    """The prefixes of sets. Shingles that many prefixes hold go last in the order, which any order may do; this
+    """The prefixes of sets, without shingles that only one holds. Shingles that many prefixes hold go last in the order, which any order may do; this
     only makes fewer pairs share one."""
     common = np.zeros(0, np.int64)
     for _ in range(rounds):
         counts = prefixes(sets, similarity, common).groupBy("v").count().where(F.col("count") > often)
         found = [r["v"] for r in counts.orderBy(F.desc("count"), "v").limit(most).select("v").collect()]
         common = np.union1d(common, np.array(found, np.int64))
-    return materialise(prefixes(sets, similarity, common), "prefixes")
+        release(sets.sparkSession)
+    rows = prefixes(sets, similarity, common).repartition(partitions(sets.sparkSession), "v").dropDuplicates(["v", "sid"])
+    shared = rows.withColumn("n", F.count("*").over(Window.partitionBy("v"))).where("n > 1").drop("n")
+    out = materialise(shared, "prefixes")
+    release(sets.sparkSession)
+    return out
 
 
 def reaches(similarity: float) -> Column:
@@ -292,9 +304,12 @@ def near(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float)
     asked = materialise(pairs.join(left, "a").join(right, "b").where(close).select("a", "b"), "asked")
     ids = asked.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
     held = materialise(sets.select("sid", "has").join(ids, F.col("sid") == F.col("asked"), "left_semi").dropDuplicates(["sid"]), "asked-sets")
+    release(sets.sparkSession)
     compared = asked.join(held.select(F.col("sid").alias("a"), F.col("has").alias("a_has")), "a").join(held.select(F.col("sid").alias("b"), F.col("has").alias("b_has")), "b")
     both = F.size(F.array_intersect("a_has", "b_has"))
-    return materialise(compared.where(both + 1e-9 >= similarity * (F.size("a_has") + F.size("b_has") - both)).select("a", "b"), "near")
+    out = materialise(compared.where(both + 1e-9 >= similarity * (F.size("a_has") + F.size("b_has") - both)).select("a", "b"), "near")
+    release(sets.sparkSession)
+    return out
 
 
 def rooted_near(sets: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
