@@ -257,8 +257,7 @@ def duplicate_groups(spark, sf_dir):
 @query("SELECT doc_id, sha256(encode(n || ':16384:1:0:') || encode(text)) AS fingerprint FROM (SELECT doc_id, text, octet_length(encode(text)) AS n FROM documents) WHERE n > 0 AND n <= 65536")
 def content_fingerprint(spark, sf_dir):
     d = t.table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
-    small = d.where((F.octet_length("content") > 0) & (F.octet_length("content") <= fp.WHOLE))
-    return small.select("doc_id", fp.fingerprint(F.col("content")).alias("fingerprint"))
+    return d.select("doc_id", fp.fingerprint(F.col("content")).alias("fingerprint"))
 
 
 @query("SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, CASE WHEN regexp_matches(url, '[?&]page=') THEN regexp_extract(url, '[?&]page=([^&#]*)', 1) END AS page FROM pages")

@@ -1,5 +1,7 @@
 """Edge cases of operators that the tables do not hold, against literal expectations."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from photark.functions import color, numeric
 from photark.functions import text as tx
 from photark.operators import catalog, fingerprints, library, merge, raster
+from photark.plans import catalog as plans
 from photark.sources import images
 from photark.streaming import changes
 
@@ -132,3 +135,17 @@ def test_stream_tags_once(spark, tmp_path):
 @pytest.mark.parametrize(("start", "to", "want"), [(0, 3, "bcad"), (3, 0, "dabc"), (1, 1, "abcd"), (1, 2, "abcd"), (2, 4, "abdc")])
 def test_move(spark, start, to, want):
     assert "".join(one(spark, library.moved(F.array(*map(F.lit, "abcd")), start, to))) == want
+
+
+def test_content_fingerprint_takes_every_length(spark, tmp_path):
+    texts = {0: "", 1: "a", 2: "ab" * 32768, 3: "abc" * 21845 + "de", 4: "xyz-" * 50000, 5: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["fingerprint"] for r in plans.content_fingerprint(spark, str(tmp_path)).collect()}
+
+    def want(data):
+        n = len(data)
+        at = [] if n == 0 else [(0, n)] if n <= 65536 else [(o, 16384) for o in (0, n // 3, 2 * n // 3, n - 16384)]
+        return hashlib.sha256(b"%d:16384:%d:" % (n, len(at)) + b"".join(b"%d:" % o + data[o : o + length] for o, length in at)).hexdigest()
+
+    assert [len(t) for t in texts.values() if t is not None] == [0, 1, 65536, 65537, 200000]
+    assert got == {d: None if t is None else want(t.encode()) for d, t in texts.items()}
