@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,30 +20,55 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, single machine) a local one is made and set.
+    Where the session names none, a local one is made and set on a single machine (tests); a cluster must name it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="photark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+#: Lets Spark delete the shuffle files of a written table once it is written.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None, **options: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut, and every
     executor can recompute from those files after losing another executor."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/photark/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path, partitionBy=partition_by)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.options(**options).parquet(path, partitionBy=partition_by)
+    finally:
+        spark.conf.set(CLEAN, before)
     fields = sorted(df.schema, key=lambda f: f.name in (partition_by or ()))  # partition columns come last
-    return spark.read.schema(T.StructType(fields)).parquet(path)
+    table = spark.read.schema(T.StructType(fields)).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() wrote and nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def boxed(df: DataFrame, **own: Column) -> DataFrame:
+    """df's row as the one column ``row_``, beside columns of the operator's own: no name of the input can clash."""
+    return df.select(F.struct("*").alias("row_"), *[c.alias(n) for n, c in own.items()])
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now: its cleaner follows the driver's garbage collection,
-    which may be long in coming in a driver that does little."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def unboxed(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of boxed rows, and new ones; a new one takes the place of the input's of its name."""
+    kept = [new[c].alias(c) if c in new else F.col("row_").getField(c).alias(c) for c in columns]
+    return df.select(*kept, *[v.alias(n) for n, v in new.items() if n not in columns])
 
 
 def partitions(spark: SparkSession) -> int:
@@ -97,7 +121,7 @@ def prefix_sums(df: DataFrame, order: list[Column], value: str, out: str, group:
     return local.join(offsets, on).select(*df.columns, (F.col(out) + F.col("range_start")).alias(out))
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (a, b: long) as (node, root): root is the least node reachable.
 
     Alternating large-star and small-star steps: each round joins every node to its least
@@ -120,15 +144,12 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    seen = mark(edges)
-    for _ in range(rounds):
-        edges = materialise(star(materialise(star(edges, True), "large"), False), "small")
-        now = mark(edges)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    seen, now = None, mark(edges)
+    while now != seen:  # each round takes nodes nearer to the least one of their component, so this ends
+        grown = materialise(star(edges, True), "large")
+        smaller = materialise(star(grown, False), "small")
+        discard(edges, grown)
+        edges, seen, now = smaller, now, mark(smaller)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

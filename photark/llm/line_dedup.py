@@ -3,7 +3,8 @@
 Equal lines are counted once. Of two lines within ``tau`` edits, the shorter one's tau + 1 segments
 can't all be hit, so one of them stands in the longer line, at a place that the two lengths
 bound. Segments go to an index by length, number and content; each line probes it with the
-substrings of its own that could be one. Candidates are verified by banded bit-parallel edit
+substrings of its own that could be one. A segment that many lines share is joined with segments of
+what these lines have beside it, and so on. Candidates are verified by banded bit-parallel edit
 distance: what both lines share at either end is taken off, then one word of 2 tau + 1 bits a
 column holds the differences along the band's diagonals.
 """
@@ -13,42 +14,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photark.llm.common import components, materialise, read, release
+from photark.llm.common import boxed, components, discard, materialise, read, unboxed
 
 LETTERS = "etaonirshl"
 BITS = 6  # of a long, for each letter's count
+LONGER = 1 << 61  # marks, beside the counts, a line as longer than those it is compared with
 #: Ids of candidate lines are broadcast up to this number (16 MB), and shuffled with the lines beyond it.
 MOST_BROADCAST = 2_000_000
 
 
-def segment(length: Column, i: Column, tau: int) -> tuple[Column, Column]:
-    """0-based start and length of the i-th (from 0) of tau + 1 segments, the last ones longer by one."""
-    parts = tau + 1
-    short = F.call_function("div", length, F.lit(parts)).cast("int")
-    longer = length - short * parts  # so many have one more
-    start = short * i + F.greatest(F.lit(0), i - parts + longer)
-    return start.cast("int"), (short + F.when(i >= F.lit(parts) - longer, 1).otherwise(0)).cast("int")
+def piece(length: Column, j: Column, parts: Column) -> tuple[Column, Column]:
+    """0-based start and length of the j-th (from 0) of so many segments, the last ones longer by one."""
+    short = F.call_function("div", length, parts).cast("int")
+    longer = (length - short * parts).cast("int")  # so many have one more
+    start = short * j + F.greatest(F.lit(0), j - parts + longer)
+    return start.cast("int"), (short + F.when(j >= parts - longer, 1).otherwise(0)).cast("int")
+
+
+def split(rows: DataFrame) -> DataFrame:
+    """One step of the partition, of the rows that are ``open``. Each row is a stretch of a line, from ``at`` (0-based) on, ``n`` long, that is to be
+    within ``t`` edits of a stretch ``m`` long (of the line itself where it is the shorter one, so m = n).
+
+    A shorter stretch's t + 1 segments can't all be hit. Where segment j is not, with j edits at most
+    before it and t - j after it, it stands in the longer stretch moved by at most j from the start
+    and t - j from the end. The key takes the segment in; the longer of the two stretches beside it
+    remains, with the edits of its side."""
+    each = rows.withColumn("j", F.explode(F.expr("if(open, sequence(0, t), array(0))")))
+    low, high = F.expr("greatest(-j, n - m - t + j)"), F.expr("least(j, n - m + t - j)")
+    moves = F.when(F.col("indexed") | ~F.col("open"), F.array(F.lit(0))).when(low <= high, F.sequence(low, high))
+    each = each.withColumn("e", F.explode(moves))
+    start, size = piece(F.col("m"), F.col("j"), F.col("t") + 1)
+    each = each.withColumns({"start": start, "size": size})
+    key = F.xxhash64("key", "j", F.col("line").substr(F.col("at") + F.col("start") + F.col("e") + 1, F.col("size")))
+    after = F.expr("m - start - size >= start")
+    moved = lambda name, right, left: F.when(~F.col("open"), F.col(name)).when(after, F.expr(right)).otherwise(F.expr(left)).cast("int").alias(name)
+    return each.select(
+        F.when(F.col("open"), key).otherwise(F.col("key")).alias("key"), "indexed", "open", "id", "line", "c",
+        moved("at", "at + start + e + size", "at"), moved("n", "n - start - e - size", "start + e"),
+        moved("m", "m - start - size", "start"), moved("t", "t - j", "j"),
+    )
+
+
+def stretches(lines: DataFrame, tau: int, per_edit: int, indexed: bool) -> DataFrame:
+    """Whole lines as rows of split(): each once for the index, and as the longer one for each possible difference in length."""
+    frames = []
+    for t in range(1, tau + 1):
+        most = F.lit(True) if t == tau else F.col("len") < (t + 1) * per_edit
+        if indexed:
+            own = lines.where((F.col("len") >= max(t * per_edit - t, t + 1)) & most).withColumn("m", F.col("len"))
+            frames.append(own.select(F.xxhash64(F.lit(t), "m").alias("key"), F.lit(True).alias("indexed"), F.lit(True).alias("open"), "id", "line", "c", F.lit(0).alias("at"), F.col("len").alias("n"), "m", F.lit(t).alias("t")))
+        else:
+            own = lines.where((F.col("len") >= max(t * per_edit, t + 1)) & most).withColumn("less", F.explode(F.expr(f"sequence(0, {t})")))
+            own = own.withColumn("m", F.col("len") - F.col("less"))
+            c = F.when(F.col("less") > 0, F.col("c").bitwiseOR(F.lit(LONGER))).otherwise(F.col("c"))
+            frames.append(own.where(f"m >= {t + 1}").select(F.xxhash64(F.lit(t), "m").alias("key"), F.lit(False).alias("indexed"), F.lit(True).alias("open"), "id", "line", c.alias("c"), F.lit(0).alias("at"), F.col("len").alias("n"), "m", F.lit(t).alias("t")))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
-def index_rows(lines: DataFrame, tau: int) -> DataFrame:
-    """(key, a, a_len, a_c): each segment of each line. One row a segment keeps the compiled code small."""
-    each = lines.withColumn("i", F.explode(F.array(*map(F.lit, range(tau + 1)))))
-    start, size = segment(F.col("len"), F.col("i"), tau)
-    return each.select(F.xxhash64("len", "i", F.col("line").substr(start + 1, size)).alias("key"), F.col("id").alias("a"), F.col("len").alias("a_len"), F.col("c").alias("a_c"))
+def parted(lines: DataFrame, tau: int, per_edit: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Index and probes (key, id, c). A key that over ``hot`` indexed stretches have is split further by what remains
+    of them, as often as need be, until that is too short; so no key stands for many lines that differ."""
+    index, probe = split(stretches(lines, tau, per_edit, True)), split(stretches(lines, tau, per_edit, False))
+    level = 0
+    while True:
+        frequent = index.where("open").groupBy("key").count().where(F.col("count") > hot).select(F.col("key").alias("hot_key"))
+        frequent = materialise(frequent, f"hot-segments-{level}")
+        if frequent.isEmpty():
+            return index.select("key", "id", "c"), probe.select("key", "id", "c")
 
+        def deeper(rows: DataFrame, keys: DataFrame = frequent) -> DataFrame:
+            found = rows.join(keys, (F.col("key") == F.col("hot_key")) & F.col("open") & (F.col("m") > F.col("t")), "left")
+            return split(found.withColumn("open", F.col("hot_key").isNotNull()))
 
-def probe_rows(lines: DataFrame, tau: int) -> DataFrame:
-    """(p_key, b, b_len, b_c): the substrings of each line at which a segment of a line shorter by 0 to tau could
-    stand: shifted by at most the number of segments before it, and as much from the end."""
-    places = [
-        F.struct(F.lit(shorter).alias("shorter"), F.lit(i).alias("i"), F.lit(shift).alias("shift"))
-        for shorter in range(tau + 1) for i in range(tau + 1)
-        for shift in range(max(-i, shorter - (tau - i)), min(i, shorter + (tau - i)) + 1)
-    ]
-    each = lines.withColumn("p", F.explode(F.array(*places)))
-    each = each.select("id", "line", "len", "c", (F.col("len") - F.col("p.shorter")).alias("n"), F.col("p.i").alias("i"), F.col("p.shift").alias("shift"))
-    start, size = segment(F.col("n"), F.col("i"), tau)
-    return each.select(F.xxhash64("n", "i", F.col("line").substr(start + 1 + F.col("shift"), size)).alias("p_key"), F.col("id").alias("b"), F.col("len").alias("b_len"), F.col("c").alias("b_c"))
+        index, probe, level = deeper(index), deeper(probe), level + 1
 
 
 def letters(line: Column) -> Column:
@@ -126,10 +167,14 @@ def edit_distance(pairs: DataFrame, tau: int) -> DataFrame:
     return rest.withColumn("distance", out).select(*[c for c in pairs.columns if c not in ("x", "y")], "distance")
 
 
+def blank(line: Column) -> Column:
+    return F.translate(line, " \t\r", "") == ""
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, version, n, line) of each line that is not blank; version tells texts of one doc_id apart."""
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return parts.where(F.trim("line") != "")
+    return parts.where(~blank(F.col("line")))
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
@@ -140,30 +185,32 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     return materialise(found.withColumns({"len": F.char_length("line"), "c": letters(F.col("line"))}), "lines", compression="zstd")
 
 
-def near_lines(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
-    """All pairs (a, b) of ids of different lines of at least min_chars characters within tau edits."""
-    usable = lines.where(F.col("len") >= max(min_chars, tau + 1))
-    index, probe = index_rows(usable, tau), probe_rows(usable, tau)
-    shorter = (F.col("a_len") < F.col("b_len")) | ((F.col("a_len") == F.col("b_len")) & (F.col("a") < F.col("b")))
+def near_lines(lines: DataFrame, tau: int, per_edit: int, hot: int = 500) -> DataFrame:
+    """All pairs (a, b) of ids of different lines within tau edits and within one for each per_edit characters of the longer."""
+    index, probe = parted(lines, tau, per_edit, hot)
+    index = index.select("key", F.col("id").alias("a"), F.col("c").alias("a_c"))
+    probe = probe.select(F.col("key").alias("p_key"), F.col("id").alias("b"), F.col("c").alias("b_c"))
+    shorter = (F.col("a") < F.col("b")) | (F.col("b_c").bitwiseAND(F.lit(LONGER)) != 0)
     near = (F.col("key") == F.col("p_key")) & shorter & (letters_apart(F.col("a_c"), F.col("b_c")) <= 2 * tau)
     pairs = materialise(index.join(probe, near).select("a", "b").distinct(), "line-candidates")
-    release(lines.sparkSession)
-    asked = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if 2 * pairs.count() <= MOST_BROADCAST:
         asked = F.broadcast(asked)
     texts = materialise(lines.select("id", "line").join(asked, "id", "left_semi"), "candidate-lines")
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
+    allowed = F.least(F.lit(tau), F.call_function("div", F.greatest(F.char_length("x"), F.char_length("y")), F.lit(per_edit)))
+    compared = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", allowed.alias("allowed"))
     # written before it is filtered: a filter would be pushed down with a copy of all of the above
-    checked = materialise(edit_distance(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), tau), "line-distances")
-    return checked.where(F.col("distance") <= tau).select("a", "b")
+    checked = materialise(edit_distance(compared, tau), "line-distances")
+    discard(pairs, texts)
+    return checked.where("distance <= allowed").select("a", "b")
 
 
-def kept_lines(docs: DataFrame, tau: int, min_chars: int) -> DataFrame:
+def kept_lines(docs: DataFrame, tau: int, per_edit: int) -> DataFrame:
     """(doc_id, version, kept: line numbers) of the lines that come first in their class, by doc_id, version
     and number; lines are in a class if near ones link them."""
     lines = distinct_lines(docs)
-    release(docs.sparkSession)
-    roots = components(near_lines(lines, tau, min_chars))
+    roots = components(near_lines(lines, tau, per_edit))
     firsts = lines.select("id", "first")
     linked = roots.join(firsts, F.col("node") == F.col("id")).select("id", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
@@ -172,23 +219,24 @@ def kept_lines(docs: DataFrame, tau: int, min_chars: int) -> DataFrame:
     return kept.groupBy("first.doc_id", "first.version").agg(F.collect_list("first.n").alias("kept"))
 
 
-def dedup(docs: DataFrame, tau: int = 2, min_chars: int = 20) -> DataFrame:
+def dedup(docs: DataFrame, tau: int = 2, per_edit: int = 10) -> DataFrame:
     """docs (doc_id, text, any more columns) with text without repeated lines, and n_lines, n_removed.
 
-    A line stays where it comes first in its class, over all documents by doc_id (null first). Lines of
-    under min_chars characters are in a class with equal ones only. Blank lines stay and count in
-    n_lines. A null text stays null with 0 lines. Rows equal in doc_id and text count as one
-    document and get the same result.
+    A line stays where it comes first in its class, over all documents by doc_id (null first). Two lines
+    are near if at most tau edits make one the other, and at most one for each per_edit characters of
+    the longer: so 2 edits from 20 characters on, 1 from 10 on, and shorter lines have to be equal.
+    Blank lines (only spaces, tabs or carriage returns) stay and count in n_lines. A null text stays
+    null with 0 lines. Rows equal in doc_id and text count as one document and get the same result.
+    Columns named n_lines or n_removed are replaced; any other name may occur.
     """
-    kept = kept_lines(docs.select("doc_id", "text"), tau, min_chars)
+    kept = kept_lines(docs.select("doc_id", "text"), tau, per_edit)
     kept = kept.select(F.col("doc_id").alias("k_doc"), F.col("version").alias("k_version"), "kept")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("k_doc")) & (F.xxhash64("text") == F.col("k_version"))
-    whole = F.split("text", "\n")
-    stays = F.filter(whole, lambda x, i: (F.trim(x) == "") | F.coalesce(F.array_contains("kept", i), F.lit(False)))
-    joined = docs.join(kept, on, "left").withColumn("kept_whole", stays)
-    counts = F.coalesce(F.size(whole), F.lit(0)).cast("long"), F.coalesce(F.size(whole) - F.size("kept_whole"), F.lit(0)).cast("long")
-    out = {c: F.array_join("kept_whole", "\n") if c == "text" else F.col(c) for c in docs.columns}
-    return joined.select(*[v.alias(c) for c, v in out.items()], F.when(F.col("text").isNull(), 0).otherwise(counts[0]).cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(counts[1]).cast("long").alias("n_removed"))
+    rows = boxed(docs, doc=F.col("doc_id").cast("long"), version=F.xxhash64("text"), whole=F.split("text", "\n"))
+    joined = rows.join(kept, F.col("doc").eqNullSafe(F.col("k_doc")) & (F.col("version") == F.col("k_version")), "left")
+    stays = F.filter("whole", lambda x, i: blank(x) | F.coalesce(F.array_contains("kept", i), F.lit(False)))
+    joined = joined.withColumn("kept_whole", stays)
+    count = lambda n: F.when(F.col("whole").isNull(), 0).otherwise(n).cast("long")
+    return unboxed(joined, docs.columns, text=F.array_join("kept_whole", "\n"), n_lines=count(F.size("whole")), n_removed=count(F.size("whole") - F.size("kept_whole")))
 
 
 def op2_line_dedup(spark, sf_dir) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photark.llm.common import binary, components, materialise, partitions, read, release
+from photark.llm.common import binary, components, materialise, partitions, read
 
 #: A probe is written, sorted and read; a candidate is a comparison of two numbers.
 ROW_COST = 20
@@ -272,11 +272,9 @@ def index(sets: DataFrame, similarity: float, rounds: int = 2, often: int = 16,
         counts = prefixes(sets, similarity, common).groupBy("v").count().where(F.col("count") > often)
         found = [r["v"] for r in counts.orderBy(F.desc("count"), "v").limit(most).select("v").collect()]
         common = np.union1d(common, np.array(found, np.int64))
-        release(sets.sparkSession)
     rows = prefixes(sets, similarity, common).repartition(partitions(sets.sparkSession), "v").dropDuplicates(["v", "sid"])
     shared = rows.withColumn("n", F.count("*").over(Window.partitionBy("v"))).where("n > 1").drop("n")
     out = materialise(shared, "prefixes")
-    release(sets.sparkSession)
     return out
 
 
@@ -304,11 +302,9 @@ def near(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float)
     asked = materialise(pairs.join(left, "a").join(right, "b").where(close).select("a", "b"), "asked")
     ids = asked.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
     held = materialise(sets.select("sid", "has").join(ids, F.col("sid") == F.col("asked"), "left_semi").dropDuplicates(["sid"]), "asked-sets")
-    release(sets.sparkSession)
     compared = asked.join(held.select(F.col("sid").alias("a"), F.col("has").alias("a_has")), "a").join(held.select(F.col("sid").alias("b"), F.col("has").alias("b_has")), "b")
     both = F.size(F.array_intersect("a_has", "b_has"))
     out = materialise(compared.where(both + 1e-9 >= similarity * (F.size("a_has") + F.size("b_has") - both)).select("a", "b"), "near")
-    release(sets.sparkSession)
     return out
 
 

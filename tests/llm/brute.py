@@ -60,24 +60,25 @@ def repeats(texts, span=100):
     return out
 
 
-def line_dedup(docs, tau, least):
+def line_dedup(docs, tau, per_edit):
     """doc_id -> text of (doc_id, text) rows without lines that come after another of their class."""
     lines = {}
     for d, text in sorted(docs):
         for n, line in enumerate((text or "").split("\n")):
-            if line.strip(" "):
+            if line.strip(" \t\r"):
                 lines.setdefault(line, (d, n))
     names = sorted(lines, key=lines.get)
     g = Groups(range(len(names)))
     for i, a in enumerate(names):
         for j in range(i):
             b = names[j]
-            if min(len(a), len(b)) >= max(least, tau + 1) and abs(len(a) - len(b)) <= tau and edits(a, b) <= tau:
+            allowed = min(tau, max(len(a), len(b)) // per_edit)
+            if abs(len(a) - len(b)) <= allowed and edits(a, b) <= allowed:
                 g.link(i, j)
     first = {line for i, line in enumerate(names) if g.root(i) == i}
     out = {}
     for d, text in docs:
-        out[d] = None if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if not x.strip(" ") or (x in first and lines[x] == (d, n)))
+        out[d] = None if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if not x.strip(" \t\r") or (x in first and lines[x] == (d, n)))
     return out
 
 

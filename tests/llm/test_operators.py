@@ -124,7 +124,7 @@ def test_line_dedup(spark, rows):
         own[at] = own[at][: rng.randint(0, 30)] + rng.choice(["", "q", "qq", "qqq"]) + own[at][rng.randint(30, 33) :]
         docs.append((d, "\n".join(own)))
     got = {r["doc_id"]: r for r in line_dedup.dedup(table(spark, docs)).collect()}
-    want = brute.line_dedup(docs, 2, 20)
+    want = brute.line_dedup(docs, 2, 10)
     for d, t in docs:
         assert got[d]["text"] == want[d], d
         assert got[d]["n_lines"] == (0 if t is None else t.count("\n") + 1)
@@ -132,6 +132,34 @@ def test_line_dedup(spark, rows):
     assert line_dedup.dedup(table(spark, docs).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [500, 1])
+def test_near_lines_of_frequent_segments(spark, hot):
+    """Lines that share two thirds, or all but a word, in groups; short ones, and of all lengths around the limits."""
+    rng = random.Random(11)
+    start, end = "a common beginning of lines ", " and a common end of these lines"
+    lines = {start + "".join(rng.choice("abc") for _ in range(rng.randint(3, 5))) + end for _ in range(40)}
+    lines |= {start + text(rng, 3).replace("\n", " ") for _ in range(20)} | {text(rng, 3).replace("\n", " ") + end for _ in range(20)}
+    lines |= {"".join(rng.choice("ab") for _ in range(n)) for n in range(3, 25) for _ in range(4)} | {"x" * n for n in range(3, 30)}
+    lines = sorted(lines)
+    rows = [(i, x, len(x)) for i, x in enumerate(lines)]
+    df = spark.createDataFrame(rows, "id long, line string, len int").withColumn("c", line_dedup.letters(F.col("line")))
+    want = {
+        (a, b) if (len(x), a) < (len(y), b) else (b, a)
+        for a, x in enumerate(lines) for b, y in enumerate(lines[:a])
+        if abs(len(x) - len(y)) <= 2 and brute.edits(x, y) <= min(2, max(len(x), len(y)) // 10)
+    }
+    assert len(want) > 100
+    assert {(r["a"], r["b"]) for r in line_dedup.near_lines(df, 2, 10, hot).collect()} == want
+
+
+def test_line_dedup_blank_lines_and_clashing_names(spark):
+    docs = [(1, "aaa\n\t\nbbb"), (2, "ccc\n\t\n \r\nbbb"), (3, None)]
+    df = spark.createDataFrame([(d, t, 7, "k", "v", 9) for d, t in docs], "doc_id long, text string, n_lines int, kept string, k_doc string, version int")
+    got = line_dedup.dedup(df)
+    assert got.columns == [*df.columns, "n_removed"]
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"], r["kept"]) for r in got.collect()} == {1: ("aaa\n\t\nbbb", 3, 0, "k"), 2: ("ccc\n\t\n \r", 4, 1, "k"), 3: (None, 0, 0, "k")}
+
+
 def test_line_dedup_repeated_rows(spark, odd):
     got = line_dedup.dedup(table(spark, odd)).collect()
     assert len(got) == len(odd)
