@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photark.llm.common import binary, components, materialise, partitions, read
+from photark.llm.common import binary, boxed, components, discard, materialise, partitions, read, unboxed
 
 #: A probe is written, sorted and read; a candidate is a comparison of two numbers.
 ROW_COST = 20
@@ -34,9 +34,12 @@ def shingles(text: bytes, k: int) -> Iterator[bytes]:
     return map(b" ".join, zip(*(words[i:] for i in range(k)))) if len(words) >= k else iter([b" ".join(words)])
 
 
-def fingerprint(text: bytes, k: int, block: int = 1 << 16) -> int:
+def fingerprint(text: bytes, k: int) -> int:
     """As a signed 64-bit number; the majority of each bit over the shingles' XXH64."""
-    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles(text, k)]
+    return majority([xxhash.xxh64_intdigest(s, 42) for s in shingles(text, k)])
+
+
+def majority(hashes: list[int], block: int = 1 << 16) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), block):
         part = np.array(hashes[at : at + block], "<u8").view(np.uint8).reshape(-1, 8)
@@ -154,6 +157,8 @@ def links(distinct: DataFrame, distance: int, hot: int = 2000) -> DataFrame:
     A bucket of more than ``hot`` fingerprints is probed by its other bits too: these again differ
     by at most the distance, so of distance + 1 parts of them one is equal.
     """
+    if distinct.isEmpty():
+        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
     chosen = plan(distinct, distance)
     index, probe = [], []
     for j, (bits, t) in enumerate(chosen):
@@ -197,10 +202,10 @@ def links(distinct: DataFrame, distance: int, hot: int = 2000) -> DataFrame:
 
 
 def rooted(fps: DataFrame, distance: int) -> DataFrame:
-    """(fp, first, root) of each distinct fingerprint: the least doc_id that has it, and its component."""
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    """(fp, first, n, root) of each distinct fingerprint: the least doc_id that has it, the number of rows, and its component."""
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp"), distance))
-    owned = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    owned = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     return materialise(owned, "roots")
 
 
@@ -212,26 +217,33 @@ def near_duplicates(docs: DataFrame, k: int = 3, distance: int = 2) -> DataFrame
     fps = fingerprints(docs, k)
     owned = rooted(fps, distance)
     least = owned.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = owned.join(least, "root").select(F.col("fp").alias("of"), "component_id")
-    return fps.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+    named = materialise(owned.join(least, "root").select(F.col("fp").alias("of"), "n", "component_id"), "components")
+    # a fingerprint of more than 1 row in 100,000 would crowd a task: there are under 100,000 of them, so they are broadcast
+    often = named.agg(F.sum("n")).first()[0] or 0
+    frequent = F.broadcast(named.where(F.col("n") * 100_000 > often))
+    few = fps.join(frequent, F.col("fp") == F.col("of"), "left").where("of is null").select("doc_id", "fp")
+    found = [fps.join(frequent, F.col("fp") == F.col("of")), few.join(named, F.col("fp") == F.col("of"))]
+    return found[0].select("doc_id", "fp", "component_id").unionByName(found[1].select("doc_id", "fp", "component_id"))
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """docs (doc_id, text) as (doc_id, version, sid, size, bits, has): has, the sorted hashes of the text's different
-    shingles; sid, a hash of these; bits, for each of 512 classes of hashes, if it has an odd number of them."""
+    """docs (doc_id, text) as (doc_id, version, fp, sid, size, bits, has): fp, the fingerprint; has, the sorted hashes of the
+    text's different shingles; sid, a hash of these; bits, for each of 512 classes of hashes, if it has an odd number of them."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(t, k)], "<u8").view("<i8")) for t in binary(part, "text")]
+                hashes = [[xxhash.xxh64_intdigest(s, 42) for s in shingles(t, k)] for t in binary(part, "text")]
+                fps = pa.array([majority(h) for h in hashes], pa.int64())
+                sets = [np.unique(np.array(h, "<u8").view("<i8")) for h in hashes]
                 sid = [xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63) for h in sets]
                 odd = [np.packbits(np.bincount(h & 511, minlength=512) & 1, bitorder="little").view("<i8") for h in sets]
-                columns = [part.column("doc_id"), part.column("version"), pa.array(sid, pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "sid", "size", "bits", "has"])
+                columns = [part.column("doc_id"), part.column("version"), fps, pa.array(sid, pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "fp", "sid", "size", "bits", "has"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-    return materialise(rows.mapInArrow(made, "doc_id long, version long, sid long, size int, bits array<long>, has array<long>"), "shingle-sets")
+    return materialise(rows.mapInArrow(made, "doc_id long, version long, fp long, sid long, size int, bits array<long>, has array<long>"), "shingle-sets")
 
 
 def prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
@@ -284,44 +296,98 @@ def reaches(similarity: float) -> Column:
     return shared + 1e-9 >= similarity / (1 + similarity) * (F.col("size") + F.col("p_size"))
 
 
-def candidates(indexed: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a < b) of sets of different roots that share a shingle of their prefixes and can be so similar."""
-    other = indexed.select(*[F.col(c).alias("p_" + c) for c in indexed.columns])
-    pairs = indexed.join(other, (F.col("v") == F.col("p_v")) & (F.col("sid") < F.col("p_sid")) & (F.col("root") != F.col("p_root")) & reaches(similarity))
+def alike(similarity: float) -> Column:
+    """If two sets (bits and size, p_bits and p_size) can be so similar: what differs in bits differs in the sets."""
+    differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("p_bits")[i])) for i in range(8)), F.lit(0))
+    return differ <= (1 - similarity) / (1 + similarity) * (F.col("size") + F.col("p_size")) + 1e-9
+
+
+def candidates(named: DataFrame, nodes: DataFrame, similarity: float, crowd: int = 1000) -> DataFrame:
+    """Pairs (a < b) of sets of different roots that share a shingle of their prefixes and can be so similar.
+
+    A shingle of more than ``crowd`` prefixes is dealt in blocks, and each two of these are a task's work."""
+    by = Window.partitionBy("v")
+    several = named.withColumns({"n": F.count("*").over(by), "low": F.min("root").over(by), "high": F.max("root").over(by)}).where("low < high")
+    held = several.drop("low", "high").join(nodes.select("sid", "bits"), "sid")
+    held = materialise(held.withColumn("blocks", F.expr(f"cast((n - 1) div {crowd} + 1 as int)")).drop("n"), "crowded-prefixes", compression="zstd")
+    own, every = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"), F.explode(F.expr("sequence(0, blocks - 1)"))
+    left = held.withColumn("x", own).withColumn("y", every)
+    right = held.withColumn("y", own).withColumn("x", every)
+    right = right.select(*[F.col(c).alias("p_" + c) for c in right.columns])
+    same = (F.col("v") == F.col("p_v")) & (F.col("x") == F.col("p_x")) & (F.col("y") == F.col("p_y"))
+    pairs = left.join(right, same & (F.col("sid") < F.col("p_sid")) & (F.col("root") != F.col("p_root")) & reaches(similarity) & alike(similarity))
     return pairs.select(F.col("sid").alias("a"), F.col("p_sid").alias("b")).distinct()
 
 
-def near(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are so similar. What differs in bits differs in the sets: pairs with too
-    many such bits are not compared further."""
-    few = nodes.select("sid", "size", "bits")
-    left = few.select(F.col("sid").alias("a"), F.col("size").alias("a_size"), F.col("bits").alias("a_bits"))
-    right = few.select(F.col("sid").alias("b"), F.col("size").alias("b_size"), F.col("bits").alias("b_bits"))
-    differ = sum((F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(8)), F.lit(0))
-    close = differ <= (1 - similarity) / (1 + similarity) * (F.col("a_size") + F.col("b_size")) + 1e-9
-    asked = materialise(pairs.join(left, "a").join(right, "b").where(close).select("a", "b"), "asked")
+def near(asked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the different pairs (a, b) whose sets are so similar."""
     ids = asked.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
     held = materialise(sets.select("sid", "has").join(ids, F.col("sid") == F.col("asked"), "left_semi").dropDuplicates(["sid"]), "asked-sets")
     compared = asked.join(held.select(F.col("sid").alias("a"), F.col("has").alias("a_has")), "a").join(held.select(F.col("sid").alias("b"), F.col("has").alias("b_has")), "b")
     both = F.size(F.array_intersect("a_has", "b_has"))
     out = materialise(compared.where(both + 1e-9 >= similarity * (F.size("a_has") + F.size("b_has") - both)).select("a", "b"), "near")
+    discard(held)
     return out
 
 
-def rooted_near(sets: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(sid, root) of each set that is near another: its component over all near pairs.
+def beside(named: DataFrame, nodes: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Pairs (a < b) of sets of different roots, next to each other among those that share a prefix's shingle, in an order of the turn's own."""
+    order = Window.partitionBy("v").orderBy(F.xxhash64(F.lit(turn), "sid"))
+    rows = named.select("*", *[F.lag(c).over(order).alias("p_" + c) for c in ("sid", "size", "place", "root")])
+    pairs = rows.where(F.col("p_root").isNotNull() & (F.col("root") != F.col("p_root")) & reaches(similarity))
+    pairs = pairs.select(F.least("sid", "p_sid").alias("a"), F.greatest("sid", "p_sid").alias("b")).distinct()
+    left = nodes.select(F.col("sid").alias("a"), "size", "bits")
+    right = nodes.select(F.col("sid").alias("b"), F.col("size").alias("p_size"), F.col("bits").alias("p_bits"))
+    return pairs.join(left, "a").join(right, "b").where(alike(similarity)).select("a", "b")
+
+
+def relabelled(named: DataFrame, found: DataFrame) -> DataFrame:
+    """named with, for each root that near pairs link to a lesser one, the least of these: one step towards components."""
+    label = named.select("sid", "root").distinct()
+    pairs = found.join(label.toDF("a", "a_root"), "a").join(label.toDF("b", "b_root"), "b").where("a_root <> b_root")
+    least = pairs.groupBy(F.greatest("a_root", "b_root").alias("was")).agg(F.min(F.least("a_root", "b_root")).alias("now"))
+    joined = named.join(least, F.col("root") == F.col("was"), "left")
+    return joined.select(*[F.coalesce("now", "root").alias("root") if c == "root" else F.col(c) for c in named.columns])
+
+
+def pairs_left(named: DataFrame) -> int:
+    """Number of pairs of different roots that share a shingle, counted for each shingle."""
+    per = named.groupBy("v", "root").agg(F.count("*").cast("double").alias("c")).groupBy("v").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
+    return int(per.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0)
+
+
+def fingerprint_pairs(sets: DataFrame, nodes: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """Pairs of sets whose fingerprints are equal or within the distance, one of each fingerprint, that can be so similar."""
+    owners = materialise(sets.groupBy("fp").agg(F.min("sid").alias("owner")), "fingerprint-owners")
+    same = sets.select("fp", "sid").distinct().join(owners, "fp").where("sid <> owner").select(F.least("sid", "owner").alias("a"), F.greatest("sid", "owner").alias("b"))
+    linked = links(owners.select("fp"), distance).join(owners.toDF("a", "x"), "a").join(owners.toDF("b", "y"), "b")
+    pairs = same.unionByName(linked.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+    left = nodes.select(F.col("sid").alias("a"), "size", "bits")
+    right = nodes.select(F.col("sid").alias("b"), F.col("size").alias("p_size"), F.col("bits").alias("p_bits"))
+    return pairs.join(left, "a").join(right, "b").where(alike(similarity)).select("a", "b")
+
+
+def rooted_near(sets: DataFrame, nodes: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """(of, root) of each set that is near another: its component over all near pairs.
 
-    First each set is compared with the next in size that shares a prefix's shingle, then all pairs that this did
-    not join: a dense group needs few of its pairs, and none that joins two components is left out."""
+    Pairs by fingerprints come first, then sets beside each other in the lists of shared shingles, in changing order, for as
+    long as this joins a good part of what it compares and more pairs are left than rows: a dense group needs
+    few of its pairs. Then all pairs that these did not join are compared, so none that joins two components is left out."""
+    found = near(materialise(fingerprint_pairs(sets, nodes, distance, similarity), "asked"), sets, similarity)
     indexed = index(sets, similarity)
-    by_size = Window.partitionBy("v").orderBy("size", "sid")
-    beside = [F.lag(c).over(by_size).alias("p_" + c) for c in ("sid", "size", "place")]
-    chain = indexed.select("*", *beside).where(F.col("p_sid").isNotNull() & reaches(similarity))
-    chain = chain.select(F.least("sid", "p_sid").alias("a"), F.greatest("sid", "p_sid").alias("b")).distinct()
-    found = near(chain, nodes, sets, similarity)
-    roots = materialise(components(found), "roots")
-    named = indexed.join(roots, F.col("sid") == F.col("node"), "left").select(*indexed.columns, F.coalesce("root", "sid").alias("root"))
-    rest = near(candidates(materialise(named, "rooted-prefixes"), similarity), nodes, sets, similarity)
+    named = materialise(relabelled(indexed.withColumn("root", F.col("sid")), found), "rooted-prefixes")
+    rows, turn = named.count(), 0
+    while pairs_left(named) > rows:
+        turn += 1
+        asked = materialise(beside(named, nodes, similarity, turn), "beside")
+        more = near(asked, sets, similarity)
+        found, before = found.unionByName(more), named
+        named = materialise(relabelled(named, more), "rooted-prefixes")
+        few = 4 * more.count() < asked.count()
+        discard(before, asked)
+        if few:
+            break
+    rest = near(materialise(candidates(named, nodes, similarity), "asked"), sets, similarity)
     return components(found.unionByName(rest)).select(F.col("node").alias("of"), "root")
 
 
@@ -329,14 +395,15 @@ def keep_first(docs: DataFrame, k: int, distance: int, similarity: float) -> Dat
     """Of each group of near copies among docs (doc_id, text, any more columns) one row: groups join texts whose shingle
     sets have a Jaccard similarity of at least ``similarity``, and what is joined to those.
 
-    All pairs so similar count, found by shared shingles of their prefixes; fingerprints, whose ``distance`` only
-    makes such pairs likely, are not asked. The first, by doc_id (null first) and the text's hash, stays. Of
-    equal rows one stays; texts without words are equal.
+    Texts whose fingerprints are within ``distance`` bits are compared first, as op9 finds them. At
+    that similarity most pairs differ in more bits, so all others that share a shingle of their prefixes are
+    compared too, and no pair is missed. The first, by doc_id (null first) and the text's hash, stays. Of
+    equal rows one stays; null, empty and other texts without words are equal; no rows give none.
     """
     sets = shingle_sets(docs, k)
     grouped = sets.groupBy("sid").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.min(F.struct("doc_id", "version")).alias("first"))
     nodes = materialise(grouped, "sets")
-    roots = rooted_near(sets, nodes, similarity)
+    roots = rooted_near(sets, nodes, distance, similarity)
     owned = nodes.select("sid", "first").join(roots, F.col("sid") == F.col("of"), "left")
     return only(docs, sets, owned.groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("first")))
 
@@ -347,11 +414,11 @@ def only(docs: DataFrame, sets: DataFrame, stays: DataFrame) -> DataFrame:
     stays = stays.select(F.col("first.doc_id").alias("s_doc"), F.col("first.version").alias("s_version"))
     same = F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("version") == F.col("s_version"))
     later = materialise(rows.join(stays, same, "left_anti").distinct().select(F.col("doc_id").alias("l_doc"), F.col("version").alias("l_version")), "near-copies")
-    version = F.xxhash64("text")
-    kept = docs.join(later, F.col("doc_id").cast("long").eqNullSafe(F.col("l_doc")) & (version == F.col("l_version")), "left_anti")
-    if rows.groupBy("doc_id", "version").count().where("count > 1").isEmpty():
-        return kept
-    return kept.withColumn("l_version", version).dropDuplicates(["doc_id", "l_version"]).select(docs.columns)
+    held = boxed(docs, doc=F.col("doc_id").cast("long"), version=F.xxhash64("text"))
+    kept = held.join(later, F.col("doc").eqNullSafe(F.col("l_doc")) & (F.col("version") == F.col("l_version")), "left_anti")
+    if not rows.groupBy("doc_id", "version").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc", "version"])
+    return unboxed(kept, docs.columns)
 
 
 def op9_simhash(spark, sf_dir) -> DataFrame:
