@@ -15,7 +15,7 @@ from photark.llm.common import materialise, read
 
 TOXIC = 0.5
 SHINGLE, SIMILARITY = 5, 0.8
-DISTANCE = 10  # of 64 bits; about what texts of that similarity differ by
+DISTANCE = 3  # of 64 bits: such fingerprints are looked at first
 TOKENIZER, END_ID = "byte_bpe_50k.json", 1
 
 
