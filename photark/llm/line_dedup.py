@@ -18,6 +18,7 @@ from photark.llm.common import boxed, components, discard, materialise, read, un
 
 LETTERS = "etaonirshl"
 BITS = 6  # of a long, for each letter's count
+LINES = 1 << 31  # more than a text has
 LONGER = 1 << 61  # marks, beside the counts, a line as longer than those it is compared with
 #: Ids of candidate lines are broadcast up to this number (16 MB), and shuffled with the lines beyond it.
 MOST_BROADCAST = 2_000_000
@@ -48,8 +49,9 @@ def split(rows: DataFrame) -> DataFrame:
     key = F.xxhash64("key", "j", F.col("line").substr(F.col("at") + F.col("start") + F.col("e") + 1, F.col("size")))
     after = F.expr("m - start - size >= start")
     moved = lambda name, right, left: F.when(~F.col("open"), F.col(name)).when(after, F.expr(right)).otherwise(F.expr(left)).cast("int").alias(name)
+    more = [c for c in rows.columns if c in ("low", "high")]
     return each.select(
-        F.when(F.col("open"), key).otherwise(F.col("key")).alias("key"), "indexed", "open", "id", "line", "c",
+        *more, F.when(F.col("open"), key).otherwise(F.col("key")).alias("key"), "indexed", "open", "id", "line", "c",
         moved("at", "at + start + e + size", "at"), moved("n", "n - start - e - size", "start + e"),
         moved("m", "m - start - size", "start"), moved("t", "t - j", "j"),
     )
@@ -74,22 +76,54 @@ def stretches(lines: DataFrame, tau: int, per_edit: int, indexed: bool) -> DataF
     return out
 
 
-def parted(lines: DataFrame, tau: int, per_edit: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    """Index and probes (key, id, c). A key that over ``hot`` indexed stretches have is split further by what remains
-    of them, as often as need be, until that is too short; so no key stands for many lines that differ."""
-    index, probe = split(stretches(lines, tau, per_edit, True)), split(stretches(lines, tau, per_edit, False))
+def crowded(rows: DataFrame, hot: int, level: int) -> DataFrame:
+    """The keys that over ``hot`` open indexed stretches have."""
+    found = rows.where("indexed and open and m > t").groupBy("key").count().where(F.col("count") > hot)
+    return materialise(found.select(F.col("key").alias("hot_key")), f"hot-segments-{level}")
+
+
+def parted(lines: DataFrame, tau: int, per_edit: int, several: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """Index and probes as rows of split(), and, apart, those of keys that over ``several`` lines have.
+
+    Such stretches carry counts of their line's letter pairs. They are split further by what remains of them
+    while over ``hot`` lines have the same, until that is too short."""
+    whole = stretches(lines, tau, per_edit, True), stretches(lines, tau, per_edit, False)
+    first = split(whole[0]).unionByName(split(whole[1]))
+    keys = crowded(split(whole[0]), several, 0)
+    if keys.isEmpty():
+        return first, None
+    cold = first.join(keys, F.col("key") == F.col("hot_key"), "left_anti")
+    rows = first.join(keys, F.col("key") == F.col("hot_key"), "left_semi")
+    rows = rows.join(pair_counts(rows.select(F.col("id").alias("p_id"), "line").distinct()), F.col("id") == F.col("p_id")).drop("p_id")
     level = 0
     while True:
-        frequent = index.where("open").groupBy("key").count().where(F.col("count") > hot).select(F.col("key").alias("hot_key"))
-        frequent = materialise(frequent, f"hot-segments-{level}")
-        if frequent.isEmpty():
-            return index.select("key", "id", "c"), probe.select("key", "id", "c")
+        rows, level = materialise(rows, "hot-stretches", compression="zstd"), level + 1
+        keys = crowded(rows, hot, level)
+        if keys.isEmpty():
+            return cold, rows
+        again = rows.join(keys, (F.col("key") == F.col("hot_key")) & F.col("open") & (F.col("m") > F.col("t")), "left")
+        rows = split(again.withColumn("open", F.col("hot_key").isNotNull()).drop("hot_key"))
+
+
+def pair_counts(lines: DataFrame) -> DataFrame:
+    """lines (p_id, line) as (p_id, low, high): the two bits of the number, modulo 4, of neighbouring letters in each of 64
+    classes of such pairs."""
+    chars = lines.select("p_id", F.split("line", "").alias("x"))
+    classes = F.zip_with("x", F.slice("x", F.lit(2), F.size("x")), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(64)).cast("int"))
 
-        def deeper(rows: DataFrame, keys: DataFrame = frequent) -> DataFrame:
-            found = rows.join(keys, (F.col("key") == F.col("hot_key")) & F.col("open") & (F.col("m") > F.col("t")), "left")
-            return split(found.withColumn("open", F.col("hot_key").isNotNull()))
+    def count(state: Column, c: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), c)
+        return F.struct(state["low"].bitwiseXOR(bit).alias("low"), state["high"].bitwiseXOR(state["low"].bitwiseAND(bit)).alias("high"))
 
-        index, probe, level = deeper(index), deeper(probe), level + 1
+    zero = F.struct(F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"))
+    return chars.select("p_id", F.aggregate(classes, zero, count).alias("s")).select("p_id", "s.low", "s.high")
+
+
+def pairs_apart() -> Column:
+    """At least so many letter pairs differ, of lines (low, high) and (b_low, b_high); one edit changes 4 at most."""
+    odd = F.col("low").bitwiseXOR(F.col("b_low"))
+    two = F.col("high").bitwiseXOR(F.col("b_high")).bitwiseAND(F.bitwise_not(odd))
+    return F.bit_count(odd) + 2 * F.bit_count(two)
 
 
 def letters(line: Column) -> Column:
@@ -171,28 +205,38 @@ def blank(line: Column) -> Column:
     return F.translate(line, " \t\r", "") == ""
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, n, line) of each line that is not blank; version tells texts of one doc_id apart."""
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return parts.where(~blank(F.col("line")))
+def document_key(docs: DataFrame) -> Column:
+    """A number that orders docs by doc_id, null first, and tells texts of one doc_id apart by 30 bits of their hash."""
+    number = F.coalesce(F.col("doc_id").cast("long").cast("decimal(20,0)") + F.lit(str((1 << 63) + 1)).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    return (number.cast("decimal(38,0)") * F.lit(1 << 30).cast("decimal(10,0)") + F.xxhash64("text").bitwiseAND(F.lit((1 << 30) - 1))).cast("decimal(30,0)")
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """(id, first: (doc_id, version, n), line, len, c: letter counts) of each different line; ids are fixed once written."""
-    where = F.struct("doc_id", "version", "n", "line")
-    by = lines_of(docs).groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
-    found = by.agg(F.min(where).alias("m")).select(F.monotonically_increasing_id().alias("id"), F.struct("m.doc_id", "m.version", "m.n").alias("first"), F.col("m.line").alias("line"))
+    """(id, first, line, len, c: letter counts) of each different line that is not blank; first is the number of its first
+    place, the document's key times 2^31 plus the line's number in it. ids are fixed once written."""
+    parts = docs.select(document_key(docs).alias("doc"), F.posexplode(F.split("text", "\n")).alias("n", "line")).where(~blank(F.col("line")))
+    place = (F.col("doc") * F.lit(LINES).cast("decimal(10,0)")).cast("decimal(38,0)") + F.col("n")
+    # a decimal, unlike a struct, can be updated in place, so lines are grouped without sorting them
+    found = parts.groupBy("line").agg(F.min(place.cast("decimal(38,0)")).alias("first"))
+    found = found.select(F.monotonically_increasing_id().alias("id"), "first", "line")
     return materialise(found.withColumns({"len": F.char_length("line"), "c": letters(F.col("line"))}), "lines", compression="zstd")
 
 
-def near_lines(lines: DataFrame, tau: int, per_edit: int, hot: int = 500) -> DataFrame:
+def near_lines(lines: DataFrame, tau: int, per_edit: int, several: int = 12, hot: int = 200) -> DataFrame:
     """All pairs (a, b) of ids of different lines within tau edits and within one for each per_edit characters of the longer."""
-    index, probe = parted(lines, tau, per_edit, hot)
-    index = index.select("key", F.col("id").alias("a"), F.col("c").alias("a_c"))
-    probe = probe.select(F.col("key").alias("p_key"), F.col("id").alias("b"), F.col("c").alias("b_c"))
+    cold, crowd = parted(lines, tau, per_edit, several, hot)
     shorter = (F.col("a") < F.col("b")) | (F.col("b_c").bitwiseAND(F.lit(LONGER)) != 0)
     near = (F.col("key") == F.col("p_key")) & shorter & (letters_apart(F.col("a_c"), F.col("b_c")) <= 2 * tau)
-    pairs = materialise(index.join(probe, near).select("a", "b").distinct(), "line-candidates")
+
+    def met(rows: DataFrame, condition: Column, *more: str) -> DataFrame:
+        index = rows.where("indexed").select("key", F.col("id").alias("a"), F.col("c").alias("a_c"), *more)
+        probe = rows.where("not indexed").select(F.col("key").alias("p_key"), F.col("id").alias("b"), F.col("c").alias("b_c"), *[F.col(c).alias("b_" + c) for c in more])
+        return index.join(probe, condition).select("a", "b")
+
+    pairs = met(cold, near)
+    if crowd is not None:
+        pairs = pairs.unionByName(met(crowd, near & (pairs_apart() <= 4 * tau), "low", "high"))
+    pairs = materialise(pairs.distinct(), "line-candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if 2 * pairs.count() <= MOST_BROADCAST:
         asked = F.broadcast(asked)
@@ -207,7 +251,7 @@ def near_lines(lines: DataFrame, tau: int, per_edit: int, hot: int = 500) -> Dat
 
 
 def kept_lines(docs: DataFrame, tau: int, per_edit: int) -> DataFrame:
-    """(doc_id, version, kept: line numbers) of the lines that come first in their class, by doc_id, version
+    """(doc, kept: line numbers) of the lines that come first in their class, by document key
     and number; lines are in a class if near ones link them."""
     lines = distinct_lines(docs)
     roots = components(near_lines(lines, tau, per_edit))
@@ -216,7 +260,9 @@ def kept_lines(docs: DataFrame, tau: int, per_edit: int) -> DataFrame:
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     later = linked.join(least, "root").where("first <> least").select("id")
     kept = firsts.join(later, "id", "left_anti")
-    return kept.groupBy("first.doc_id", "first.version").agg(F.collect_list("first.n").alias("kept"))
+    n = (F.col("first") % F.lit(LINES).cast("decimal(10,0)")).cast("int").alias("n")
+    kept = kept.select("first", n).select(((F.col("first") - F.col("n")) / F.lit(LINES).cast("decimal(10,0)")).cast("decimal(30,0)").alias("doc"), "n")
+    return kept.groupBy("doc").agg(F.collect_list("n").alias("kept"))
 
 
 def dedup(docs: DataFrame, tau: int = 2, per_edit: int = 10) -> DataFrame:
@@ -230,9 +276,8 @@ def dedup(docs: DataFrame, tau: int = 2, per_edit: int = 10) -> DataFrame:
     Columns named n_lines or n_removed are replaced; any other name may occur.
     """
     kept = kept_lines(docs.select("doc_id", "text"), tau, per_edit)
-    kept = kept.select(F.col("doc_id").alias("k_doc"), F.col("version").alias("k_version"), "kept")
-    rows = boxed(docs, doc=F.col("doc_id").cast("long"), version=F.xxhash64("text"), whole=F.split("text", "\n"))
-    joined = rows.join(kept, F.col("doc").eqNullSafe(F.col("k_doc")) & (F.col("version") == F.col("k_version")), "left")
+    rows = boxed(docs, doc=document_key(docs), whole=F.split("text", "\n"))
+    joined = rows.join(kept.withColumnRenamed("doc", "k_doc"), F.col("doc") == F.col("k_doc"), "left")
     stays = F.filter("whole", lambda x, i: blank(x) | F.coalesce(F.array_contains("kept", i), F.lit(False)))
     joined = joined.withColumn("kept_whole", stays)
     count = lambda n: F.when(F.col("whole").isNull(), 0).otherwise(n).cast("long")

@@ -132,8 +132,8 @@ def test_line_dedup(spark, rows):
     assert line_dedup.dedup(table(spark, docs).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [500, 1])
-def test_near_lines_of_frequent_segments(spark, hot):
+@pytest.mark.parametrize(("several", "hot"), [(500, 500), (1, 500), (1, 1)])
+def test_near_lines_of_frequent_segments(spark, several, hot):
     """Lines that share two thirds, or all but a word, in groups; short ones, and of all lengths around the limits."""
     rng = random.Random(11)
     start, end = "a common beginning of lines ", " and a common end of these lines"
@@ -149,7 +149,7 @@ def test_near_lines_of_frequent_segments(spark, hot):
         if abs(len(x) - len(y)) <= 2 and brute.edits(x, y) <= min(2, max(len(x), len(y)) // 10)
     }
     assert len(want) > 100
-    assert {(r["a"], r["b"]) for r in line_dedup.near_lines(df, 2, 10, hot).collect()} == want
+    assert {(r["a"], r["b"]) for r in line_dedup.near_lines(df, 2, 10, several, hot).collect()} == want
 
 
 def test_line_dedup_blank_lines_and_clashing_names(spark):
