@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from photark.llm.common import materialise, partitions, read
-from photark.llm.tokens import encoded
+from photark.llm.tokens import encoded, encoder
 
 MAGIC = b"PTOKSHRD"
 HEAD = struct.Struct("<8sI32sIQ")
@@ -88,12 +88,17 @@ class Shard:
         return np.frombuffer(raw, f"<u{self.width}")
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2, level: int = 3, shard_bytes: int = 1 << 20) -> tuple[DataFrame, bytes]:
+def write(docs: DataFrame, tokenizer: str, end_id: int, width: int | None = None, level: int = 3, shard_bytes: int = 1 << 20) -> tuple[DataFrame, bytes]:
     """Shards of docs (doc_id, text, any more columns) in ascending doc_id order, null first and
     equal ids by text, as (part, number, n_docs, n_ids, blob), and their dictionary.
 
-    A null text counts as empty and is its end id alone. Equal rows are stored each for itself.
+    A null text counts as empty and is its end id alone. Equal rows are stored each for itself. An id
+    takes ``width`` bytes, 2 or 4: by default what the vocabulary needs; too few are an error.
     """
+    needed = 2 if max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    width = width or needed
+    if width not in (2, 4) or width < needed:
+        raise ValueError(f"ids of this vocabulary take {needed} bytes, not {width}")
     docs = docs.select("doc_id", "text")
     shared = train_dictionary(docs, tokenizer, end_id, width)
     hashed = hashlib.sha256(shared).digest()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -19,8 +20,27 @@ SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 VISIBLE = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
 
 
+#: The pattern of the one kind of pre-tokenizer that drops white space.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def kind(config: dict) -> str | None:
+    """'bytes' or 'words' for the two kinds of tokenizers whose texts may be cut at white space; None for others."""
+    normal, before = config["normalizer"], config["pre_tokenizer"] or {}
+    model = config["model"]
+    if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    if normal is None and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]:
+        return "bytes"
+    steps = before.get("pretokenizers", [])
+    lowers = normal is not None and [n["type"] for n in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+    splits = [b["type"] for b in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": WORD_PATTERN} and not steps[1]["use_regex"]
+    return "words" if lowers and splits else None
+
+
 class Encoder(dict):
-    """Ids of a text as little-endian uint32 bytes, equal to those of encoding it whole.
+    """Ids of a text as little-endian uint32 bytes, equal to those of the library's encode() of it whole.
+    Texts with strings of special tokens, and all texts of tokenizers of an unknown kind, are encoded whole.
 
     A cut between a character that is no white space and a space or line end after it is always
     a boundary of the pre-tokenizer, so the pieces between such cuts are encoded by themselves,
@@ -34,8 +54,10 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.lowers = "Lowercase" in str(self.tokenizer.normalizer)  # and drops white space
+        self.kind = kind(json.loads(self.tokenizer.to_str()))
+        self.lowers = self.kind == "words"  # and drops white space
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)
         self.tokenize = self.tokenizer.model.tokenize
         self.old: dict[str, bytes] = {}
         self.keep = keep
@@ -79,7 +101,7 @@ class Encoder(dict):
             if len(self) > self.keep:
                 self.old = dict(self)
                 self.clear()
-            if t and odd.search(t):
+            if t and (self.kind is None or odd.search(t) or self.special.search(t)):
                 out.append(array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes())
             else:
                 out.append(b"".join(map(get, cut(t))) if t else b"")

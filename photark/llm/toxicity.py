@@ -128,9 +128,11 @@ def sigmoid(x: float) -> float:
 
 
 def score(docs: DataFrame, chain: Chain, categories: tuple[str, ...]) -> DataFrame:
-    """docs (any columns with text) and p_<category> for each category. Null and empty texts have no words."""
+    """docs (any columns with text) and p_<category> for each category, in place of columns of that name. Null and empty
+    texts have no words."""
     known, models = chain
     names = [f"p_{c}" for c in categories]
+    docs = docs.drop(*names)
     shape = T.StructType([*docs.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
     sparse = [({int(i): float(w[i]) for i in np.flatnonzero(w[: len(known)])}, w[len(known) :].tolist(), b) for w, b in models]
     used = {t: i for t, i in known.items() if any(i in w for w, _, _ in sparse)}

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from photark.llm import common, line_dedup, media_chunks, mixing, packing, registry, simhash, suffix_dedup, token_store, topk, toxicity, url_filter
 from photark.llm.tokens import Encoder
@@ -33,7 +33,7 @@ def rows():
     base = [(i, text(rng, rng.choice([3, 40, 200]))) for i in range(40)]
     long = text(rng, 3000)
     copies = [(100 + i, base[5][1]) for i in range(6)] + [(120, base[7][1] + base[8][1]), (121, "start " + base[7][1])]
-    return [*base, *copies, (200, None), (201, ""), (202, long), (203, long[:9000]), (204, "a"), (205, "=" * 3000), (206, " \n\n "), (207, base[9][1].upper())]
+    return [*base, *copies, (200, None), (201, ""), (202, long), (203, long[:9000]), (204, "a"), (205, "=" * 3000), (206, " \n\n "), (207, base[9][1].upper()), (208, "a <|endoftext|> b<|startoftext|>, <|EndOfText|>"), (209, "x" * 120 + "<|endoftext|>")]
 
 
 @pytest.fixture(scope="module")
@@ -180,9 +180,26 @@ def test_encoder_equals_whole_texts(name):
             assert np.frombuffer(ids, "<u4").tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_unknown_tokenizers_encode_whole_texts_and_wide_ids_need_four_bytes(spark, tmp_path):
+    k = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    k.pre_tokenizer = pre_tokenizers.Split(" of ", "isolated")
+    k.save(str(tmp_path / "own.json"))
+    e = Encoder(str(tmp_path / "own.json"))
+    t = "one of them\n of those , x"
+    assert e.kind is None and np.frombuffer(e.encode([t])[0], "<u4").tolist() == k.encode(t, add_special_tokens=False).ids
+    k.add_tokens([f"own{i}" for i in range(20_000)])
+    k.save(str(tmp_path / "wide.json"))
+    docs = table(spark, [(1, "own19999 and own1"), (2, None)])
+    with pytest.raises(ValueError, match="4 bytes"):
+        token_store.write(docs, str(tmp_path / "wide.json"), 1, width=2)
+    shards, shared = token_store.write(docs, str(tmp_path / "wide.json"), 1)
+    want = {1: [*k.encode("own19999 and own1", add_special_tokens=False).ids, 1], 2: [1]}
+    assert max(want[1]) > 65_535
+    assert {r["doc_id"]: r["ids_crc32"] for r in token_store.contents(shards, shared).collect()} == {d: brute.crc(ids) for d, ids in want.items()}
+
+
 def ids_of(name, t, end):
     k = Tokenizer.from_file(public_tokenizers.path(name))
-    k.encode_special_tokens = True
     return [*k.encode(t or "", add_special_tokens=False).ids, end]
 
 
