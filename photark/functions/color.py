@@ -179,3 +179,59 @@ def linear_mask(x: Column, y: Column, x0: float, y0: float, x1: float, y1: float
 def radial_mask(x: Column, y: Column, cx: float, cy: float, radius: float) -> Column:
     dx, dy = x + 0.5 - cx, y + 0.5 - cy
     return F.floor(clamp(1 - F.sqrt(dx * dx + dy * dy) / radius, 0, 1) * 255).cast("int")
+
+
+#: Chromaticities (red, green, blue, white) of public colour spaces.
+PRIMARIES = {
+    "srgb": ((0.64, 0.33), (0.30, 0.60), (0.15, 0.06), (0.3127, 0.3290)),
+    "p3": ((0.680, 0.320), (0.265, 0.690), (0.150, 0.060), (0.3127, 0.3290)),
+    "adobe": ((0.64, 0.33), (0.21, 0.71), (0.15, 0.06), (0.3127, 0.3290)),
+    "prophoto": ((0.7347, 0.2653), (0.1596, 0.8404), (0.0366, 0.0001), (0.3457, 0.3585)),
+    "rec2020": ((0.708, 0.292), (0.170, 0.797), (0.131, 0.046), (0.3127, 0.3290)),
+    "working": ((0.713, 0.293), (0.165, 0.830), (0.128, 0.044), (0.32168, 0.33767)),
+}
+#: Exponents of the spaces that have a plain power curve; the others have that of sRGB.
+GAMMA = {"adobe": 2.19921875, "prophoto": 1.8}
+BRADFORD = ((0.8951, 0.2664, -0.1614), (-0.7502, 1.7135, 0.0367), (0.0389, -0.0685, 1.0296))
+
+
+def to_xyz(space: str):
+    """3 x 3 matrix from linear RGB of a space to XYZ under its white."""
+    import numpy as np
+
+    *rgb, white = [np.array([x / y, 1.0, (1 - x - y) / y]) for x, y in PRIMARIES[space]]
+    m = np.stack(rgb, axis=1)
+    return m * np.linalg.solve(m, white), white
+
+
+def matrix(source: str, target: str) -> list[list[float]]:
+    """3 x 3 matrix between linear RGB spaces, the white adapted in Bradford's cone space."""
+    import numpy as np
+
+    (a, white_a), (b, white_b), cones = to_xyz(source), to_xyz(target), np.array(BRADFORD)
+    adapt = np.linalg.solve(cones, np.diag((cones @ white_b) / (cones @ white_a)) @ cones)
+    return (np.linalg.solve(b, adapt @ a)).tolist()
+
+
+def multiplied(m: list[list[float]], p: Pixel) -> Pixel:
+    return tuple(p[0] * row[0] + p[1] * row[1] + p[2] * row[2] for row in m)
+
+
+def to_working(df: DataFrame, space: str) -> DataFrame:
+    """Encoded r, g, b of a space to linear values of the working space."""
+    linear = (lambda c: F.pow(F.greatest(c, F.lit(0.0)), F.lit(GAMMA[space]))) if space in GAMMA else srgb_decode
+    return stage(stage(df, lambda p: tuple(map(linear, p))), lambda p: multiplied(matrix(space, "working"), p))
+
+
+def from_working(df: DataFrame, space: str) -> DataFrame:
+    """Linear working values to encoded r, g, b of a space, clamped to 0 and 1."""
+    encoded = (lambda c: F.pow(clamp(c, 0, 1), F.lit(1 / GAMMA[space]))) if space in GAMMA else srgb_encode
+    return stage(stage(df, lambda p: multiplied(matrix("working", space), p)), lambda p: tuple(map(encoded, p)))
+
+
+def display_byte(v: Column, steps: int = 8192) -> Column:
+    """Linear to an sRGB byte, interpolated between ``steps`` evenly spaced points of the curve."""
+    at = clamp(v, 0, 1) * (steps - 1)
+    low = F.least(F.floor(at), F.lit(steps - 2))
+    a, b = srgb_encode(low / (steps - 1)), srgb_encode((low + 1) / (steps - 1))
+    return F.round((a + (b - a) * (at - low)) * 255).cast("int")
