@@ -83,12 +83,19 @@ def cascade_delete(parents: DataFrame, children: DataFrame, gone: DataFrame, key
 
 
 def insert_by_hash(known: DataFrame, added: DataFrame, hash_: str) -> DataFrame:
-    """Id of each different added content: that of the known row with its hash, else the next free ones by hash."""
-    last = known.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("last"))
+    """Id of each different added content: that of the known row with its hash, else the next free ones by hash.
+
+    hash_ is hexadecimal text: new ones are numbered within each of the 4096 ranges of its first three digits, from the number
+    of those in the ranges before, so no task numbers all."""
+    last = known.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
     have = known.groupBy(F.col(hash_).alias("k_hash")).agg(F.min("id").alias("k_id"))
     rows = added.select(hash_).distinct().join(have, F.col(hash_) == F.col("k_hash"), "left")
-    new = rows.where("k_id is null").withColumn("n", F.row_number().over(Window.orderBy(hash_))).crossJoin(F.broadcast(last))
-    return rows.where("k_id is not null").select(hash_, F.col("k_id").alias("id")).unionByName(new.select(hash_, (F.col("last") + F.col("n")).alias("id")))
+    new = rows.where("k_id is null").withColumn("start", F.substr(hash_, F.lit(1), F.lit(3)))
+    earlier = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # over at most 4096 rows
+    before = new.groupBy("start").agg(F.count("*").alias("n")).select(F.col("start").alias("b_start"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("start").orderBy(hash_))
+    numbered = new.withColumn("n", within).join(F.broadcast(before), F.col("start") == F.col("b_start"))
+    return rows.where("k_id is not null").select(hash_, F.col("k_id").alias("id")).unionByName(numbered.select(hash_, (F.col("before") + F.col("n") + last).alias("id")))
 
 
 def refreshed_names(stored: DataFrame, discovered: DataFrame, key: str, name: str) -> DataFrame:

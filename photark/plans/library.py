@@ -55,9 +55,9 @@ def current_versions(spark, sf_dir):
     return lb.with_current(t.table(spark, sf_dir, "events"), "user_id", "event_id", ["ts", "event_id"]).select("user_id", "event_id", "version", "is_current")
 
 
-@query("WITH r AS (SELECT n_name, row_number() OVER (ORDER BY n_name) AS n FROM nation) SELECT n_name, n FROM r WHERE n BETWEEN (SELECT min(n) FROM r WHERE n_name IN ('JAPAN', 'CANADA')) AND (SELECT max(n) FROM r WHERE n_name IN ('JAPAN', 'CANADA'))")
+@query("WITH r AS (SELECT n_name, row_number() OVER (ORDER BY n_name) AS n FROM nation) SELECT n_name, n FROM r WHERE n BETWEEN (SELECT min(n) FROM r WHERE n_name IN ('NATION_17', 'NATION_3')) AND (SELECT max(n) FROM r WHERE n_name IN ('NATION_17', 'NATION_3'))")
 def range_select(spark, sf_dir):
-    return lb.selected_between(t.table(spark, sf_dir, "nation").select("n_name"), "n_name", ["n_name"], "JAPAN", "CANADA")
+    return lb.selected_between(t.table(spark, sf_dir, "nation").select("n_name"), "n_name", ["n_name"], "NATION_3", "NATION_17")
 
 
 @query("SELECT p_partkey, CASE WHEN lower(p_name) LIKE '%ring%' THEN 2 WHEN lower(p_type) LIKE '%ring%' OR lower(p_type) LIKE '%ring%' THEN 1 ELSE 0 END AS rank FROM part")
@@ -78,10 +78,10 @@ def cascade_delete(spark, sf_dir):
     return lb.cascade_delete(c, o, c.where("c_acctbal < 0"), "c_custkey", "o_custkey")[1]
 
 
-@query("WITH k AS (SELECT md5(text) AS h, min(doc_id) AS id FROM documents WHERE doc_id < 100 GROUP BY 1), a AS (SELECT DISTINCT md5(text) AS h FROM documents WHERE doc_id >= 50) SELECT h, id FROM a JOIN k USING (h) UNION ALL SELECT h, (SELECT max(doc_id) FROM documents WHERE doc_id < 100) + row_number() OVER (ORDER BY h) FROM a WHERE h NOT IN (SELECT h FROM k)")
+@query("WITH k AS (SELECT md5(text) AS h, min(doc_id) AS id FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), a AS (SELECT DISTINCT md5(text) AS h FROM documents WHERE doc_id % 2 = 1) SELECT h, id FROM a JOIN k USING (h) UNION ALL SELECT h, (SELECT max(doc_id) FROM documents WHERE doc_id % 2 = 0) + row_number() OVER (ORDER BY h) FROM a WHERE h NOT IN (SELECT h FROM k)")
 def insert_by_hash(spark, sf_dir):
     d = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("h"))
-    return lb.insert_by_hash(d.where("id < 100"), d.where("id >= 50"), "h")
+    return lb.insert_by_hash(d.where("id % 2 = 0"), d.where("id % 2 = 1"), "h")
 
 
 @query("SELECT n_nationkey AS k, coalesce(s.name, n_name) AS name, s.name IS NOT NULL AND s.name <> n_name AS changed FROM nation LEFT JOIN (SELECT s_nationkey, min(s_name) AS name FROM supplier GROUP BY 1) s ON n_nationkey = s_nationkey")
