@@ -19,7 +19,7 @@ from photark.llm.common import boxed, components, discard, materialise, read, un
 LETTERS = "etaonirshl"
 BITS = 6  # of a long, for each letter's count
 LINES = 1 << 31  # more than a text has
-LONGER = 1 << 61  # marks, beside the counts, a line as longer than those it is compared with
+COUNTS = "struct<letters: bigint, low: bigint, high: bigint>"
 #: Ids of candidate lines are broadcast up to this number (16 MB), and shuffled with the lines beyond it.
 MOST_BROADCAST = 2_000_000
 
@@ -49,80 +49,84 @@ def split(rows: DataFrame) -> DataFrame:
     key = F.xxhash64("key", "j", F.col("line").substr(F.col("at") + F.col("start") + F.col("e") + 1, F.col("size")))
     after = F.expr("m - start - size >= start")
     moved = lambda name, right, left: F.when(~F.col("open"), F.col(name)).when(after, F.expr(right)).otherwise(F.expr(left)).cast("int").alias(name)
-    more = [c for c in rows.columns if c in ("low", "high")]
+    more = [c for c in rows.columns if c == "counts"]
     return each.select(
-        *more, F.when(F.col("open"), key).otherwise(F.col("key")).alias("key"), "indexed", "open", "id", "line", "c",
+        *more, F.when(F.col("open"), key).otherwise(F.col("key")).alias("key"), "indexed", "open", "id", "line",
         moved("at", "at + start + e + size", "at"), moved("n", "n - start - e - size", "start + e"),
         moved("m", "m - start - size", "start"), moved("t", "t - j", "j"),
     )
 
 
 def stretches(lines: DataFrame, tau: int, per_edit: int, indexed: bool) -> DataFrame:
-    """Whole lines as rows of split(): each once for the index, and as the longer one for each possible difference in length."""
+    """Whole lines as rows of split(): each once for the index, and as the longer one for each possible difference in length;
+    where it is longer by some, its id is told by -1 - id."""
     frames = []
     for t in range(1, tau + 1):
         most = F.lit(True) if t == tau else F.col("len") < (t + 1) * per_edit
         if indexed:
             own = lines.where((F.col("len") >= max(t * per_edit - t, t + 1)) & most).withColumn("m", F.col("len"))
-            frames.append(own.select(F.xxhash64(F.lit(t), "m").alias("key"), F.lit(True).alias("indexed"), F.lit(True).alias("open"), "id", "line", "c", F.lit(0).alias("at"), F.col("len").alias("n"), "m", F.lit(t).alias("t")))
+            frames.append(own.select(F.xxhash64(F.lit(t), "m").alias("key"), F.lit(True).alias("indexed"), F.lit(True).alias("open"), "id", "line", F.lit(0).alias("at"), F.col("len").alias("n"), "m", F.lit(t).alias("t")))
         else:
             own = lines.where((F.col("len") >= max(t * per_edit, t + 1)) & most).withColumn("less", F.explode(F.expr(f"sequence(0, {t})")))
             own = own.withColumn("m", F.col("len") - F.col("less"))
-            c = F.when(F.col("less") > 0, F.col("c").bitwiseOR(F.lit(LONGER))).otherwise(F.col("c"))
-            frames.append(own.where(f"m >= {t + 1}").select(F.xxhash64(F.lit(t), "m").alias("key"), F.lit(False).alias("indexed"), F.lit(True).alias("open"), "id", "line", c.alias("c"), F.lit(0).alias("at"), F.col("len").alias("n"), "m", F.lit(t).alias("t")))
+            marked = F.when(F.col("less") > 0, -1 - F.col("id")).otherwise(F.col("id"))
+            frames.append(own.where(f"m >= {t + 1}").select(F.xxhash64(F.lit(t), "m").alias("key"), F.lit(False).alias("indexed"), F.lit(True).alias("open"), marked.alias("id"), "line", F.lit(0).alias("at"), F.col("len").alias("n"), "m", F.lit(t).alias("t")))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
 
 
-def crowded(rows: DataFrame, hot: int, level: int) -> DataFrame:
-    """The keys that over ``hot`` open indexed stretches have."""
-    found = rows.where("indexed and open and m > t").groupBy("key").count().where(F.col("count") > hot)
-    return materialise(found.select(F.col("key").alias("hot_key")), f"hot-segments-{level}")
+def crowded(rows: DataFrame, least: int, level: int) -> DataFrame:
+    """(hot_key, n): the keys that over ``least`` open indexed stretches have."""
+    found = rows.where("indexed and open and m > t").groupBy("key").agg(F.count("*").alias("n"))
+    return materialise(found.where(F.col("n") > least).select(F.col("key").alias("hot_key"), F.col("n").alias("hot_n")), f"hot-segments-{level}")
 
 
-def parted(lines: DataFrame, tau: int, per_edit: int, several: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
-    """Index and probes as rows of split(), and, apart, those of keys that over ``several`` lines have.
+def parted(lines: DataFrame, tau: int, per_edit: int, several: int, hot: int) -> DataFrame:
+    """Index and probes as (key, indexed, id, counts).
 
-    Such stretches carry counts of their line's letter pairs. They are split further by what remains of them
-    while over ``hot`` lines have the same, until that is too short."""
-    whole = stretches(lines, tau, per_edit, True), stretches(lines, tau, per_edit, False)
-    first = split(whole[0]).unionByName(split(whole[1]))
-    keys = crowded(split(whole[0]), several, 0)
+    Rows of keys that over ``several`` lines have carry counts of their line's letters and letter pairs. Those of
+    over ``hot`` lines are split further by what remains of them, as often as need be until that is too short."""
+    index = split(stretches(lines, tau, per_edit, True))
+    keys = crowded(index, several, 0)
+    rows = index.unionByName(split(stretches(lines, tau, per_edit, False)))
+    columns = ["key", "indexed", "id", "counts"]
     if keys.isEmpty():
-        return first, None
-    cold = first.join(keys, F.col("key") == F.col("hot_key"), "left_anti")
-    rows = first.join(keys, F.col("key") == F.col("hot_key"), "left_semi")
-    rows = rows.join(pair_counts(rows.select(F.col("id").alias("p_id"), "line").distinct()), F.col("id") == F.col("p_id")).drop("p_id")
-    level = 0
+        return rows.withColumn("counts", F.lit(None).cast(COUNTS)).select(columns)
+    rows = rows.join(keys, F.col("key") == F.col("hot_key"), "left").withColumn("counts", F.when(F.col("hot_key").isNotNull(), counts(F.col("line"))))
+    heavy = keys.where(F.col("hot_n") > hot)
+    if heavy.isEmpty():
+        return rows.select(columns)
+    out, level = rows.where(F.coalesce("hot_n", F.lit(0)) <= hot).select(columns), 1
+    rows = split(rows.where(F.col("hot_n") > hot).drop("hot_key", "hot_n"))
     while True:
-        rows, level = materialise(rows, "hot-stretches", compression="zstd"), level + 1
+        rows = materialise(rows, "hot-stretches", compression="zstd")
         keys = crowded(rows, hot, level)
         if keys.isEmpty():
-            return cold, rows
+            return out.unionByName(rows.select(columns))
         again = rows.join(keys, (F.col("key") == F.col("hot_key")) & F.col("open") & (F.col("m") > F.col("t")), "left")
-        rows = split(again.withColumn("open", F.col("hot_key").isNotNull()).drop("hot_key"))
+        rows = split(again.withColumn("open", F.col("hot_key").isNotNull()).drop("hot_key", "hot_n"))
+        level += 1
 
 
-def pair_counts(lines: DataFrame) -> DataFrame:
-    """lines (p_id, line) as (p_id, low, high): the two bits of the number, modulo 4, of neighbouring letters in each of 64
-    classes of such pairs."""
-    chars = lines.select("p_id", F.split("line", "").alias("x"))
-    classes = F.zip_with("x", F.slice("x", F.lit(2), F.size("x")), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(64)).cast("int"))
+def counts(line: Column) -> Column:
+    """letters() of the line, and the two bits of the number, modulo 4, of neighbouring letters in each of 64 classes of such pairs."""
+    chars = F.split(line, "")
+    classes = F.zip_with(chars, F.slice(chars, F.lit(2), F.char_length(line)), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(64)).cast("int"))
 
     def count(state: Column, c: Column) -> Column:
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), c)
         return F.struct(state["low"].bitwiseXOR(bit).alias("low"), state["high"].bitwiseXOR(state["low"].bitwiseAND(bit)).alias("high"))
 
     zero = F.struct(F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"))
-    return chars.select("p_id", F.aggregate(classes, zero, count).alias("s")).select("p_id", "s.low", "s.high")
+    return F.aggregate(classes, zero, count, lambda s: F.struct(letters(line).alias("letters"), s["low"].alias("low"), s["high"].alias("high")))
 
 
-def pairs_apart() -> Column:
-    """At least so many letter pairs differ, of lines (low, high) and (b_low, b_high); one edit changes 4 at most."""
-    odd = F.col("low").bitwiseXOR(F.col("b_low"))
-    two = F.col("high").bitwiseXOR(F.col("b_high")).bitwiseAND(F.bitwise_not(odd))
+def pairs_apart(a: Column, b: Column) -> Column:
+    """At least so many letter pairs differ; one edit changes 4 at most."""
+    odd = a["low"].bitwiseXOR(b["low"])
+    two = a["high"].bitwiseXOR(b["high"]).bitwiseAND(F.bitwise_not(odd))
     return F.bit_count(odd) + 2 * F.bit_count(two)
 
 
@@ -202,7 +206,7 @@ def edit_distance(pairs: DataFrame, tau: int) -> DataFrame:
 
 
 def blank(line: Column) -> Column:
-    return F.translate(line, " \t\r", "") == ""
+    return F.btrim(line, F.lit(" \t\r")) == ""
 
 
 def document_key(docs: DataFrame) -> Column:
@@ -212,40 +216,36 @@ def document_key(docs: DataFrame) -> Column:
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """(id, first, line, len, c: letter counts) of each different line that is not blank; first is the number of its first
+    """(id, first, line, len) of each different line that is not blank; first is the number of its first
     place, the document's key times 2^31 plus the line's number in it. ids are fixed once written."""
     parts = docs.select(document_key(docs).alias("doc"), F.posexplode(F.split("text", "\n")).alias("n", "line")).where(~blank(F.col("line")))
     place = (F.col("doc") * F.lit(LINES).cast("decimal(10,0)")).cast("decimal(38,0)") + F.col("n")
     # a decimal, unlike a struct, can be updated in place, so lines are grouped without sorting them
     found = parts.groupBy("line").agg(F.min(place.cast("decimal(38,0)")).alias("first"))
     found = found.select(F.monotonically_increasing_id().alias("id"), "first", "line")
-    return materialise(found.withColumns({"len": F.char_length("line"), "c": letters(F.col("line"))}), "lines", compression="zstd")
+    return materialise(found.withColumn("len", F.char_length("line")), "lines", compression="zstd")
 
 
 def near_lines(lines: DataFrame, tau: int, per_edit: int, several: int = 12, hot: int = 200) -> DataFrame:
     """All pairs (a, b) of ids of different lines within tau edits and within one for each per_edit characters of the longer."""
-    cold, crowd = parted(lines, tau, per_edit, several, hot)
-    shorter = (F.col("a") < F.col("b")) | (F.col("b_c").bitwiseAND(F.lit(LONGER)) != 0)
-    near = (F.col("key") == F.col("p_key")) & shorter & (letters_apart(F.col("a_c"), F.col("b_c")) <= 2 * tau)
-
-    def met(rows: DataFrame, condition: Column, *more: str) -> DataFrame:
-        index = rows.where("indexed").select("key", F.col("id").alias("a"), F.col("c").alias("a_c"), *more)
-        probe = rows.where("not indexed").select(F.col("key").alias("p_key"), F.col("id").alias("b"), F.col("c").alias("b_c"), *[F.col(c).alias("b_" + c) for c in more])
-        return index.join(probe, condition).select("a", "b")
-
-    pairs = met(cold, near)
-    if crowd is not None:
-        pairs = pairs.unionByName(met(crowd, near & (pairs_apart() <= 4 * tau), "low", "high"))
+    rows = parted(lines, tau, per_edit, several, hot)
+    index = rows.where("indexed").select("key", F.col("id").alias("a"), F.col("counts").alias("x"))
+    probe = rows.where("not indexed").select(F.col("key").alias("p_key"), F.col("id").alias("b"), F.col("counts").alias("y"))
+    shorter = (F.col("b") < 0) | (F.col("a") < F.col("b"))
+    x, y = F.col("x"), F.col("y")
+    alike = x.isNull() | ((letters_apart(x["letters"], y["letters"]) <= 2 * tau) & (pairs_apart(x, y) <= 4 * tau))
+    own = F.when(F.col("b") < 0, -1 - F.col("b")).otherwise(F.col("b"))
+    pairs = index.join(probe, (F.col("key") == F.col("p_key")) & shorter & alike).select("a", own.alias("b"))
     pairs = materialise(pairs.distinct(), "line-candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if 2 * pairs.count() <= MOST_BROADCAST:
         asked = F.broadcast(asked)
-    texts = materialise(lines.select("id", "line").join(asked, "id", "left_semi"), "candidate-lines")
-    left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
+    texts = materialise(lines.select("id", "line").join(asked, "id", "left_semi").withColumn("c", letters(F.col("line"))), "candidate-lines")
+    left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("c").alias("a_c")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("c").alias("b_c"))
     allowed = F.least(F.lit(tau), F.call_function("div", F.greatest(F.char_length("x"), F.char_length("y")), F.lit(per_edit)))
-    compared = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", allowed.alias("allowed"))
+    compared = pairs.join(left, "a").join(right, "b").where(letters_apart(F.col("a_c"), F.col("b_c")) <= 2 * tau)
     # written before it is filtered: a filter would be pushed down with a copy of all of the above
-    checked = materialise(edit_distance(compared, tau), "line-distances")
+    checked = materialise(edit_distance(compared.select("a", "b", "x", "y", allowed.alias("allowed")), tau), "line-distances")
     discard(pairs, texts)
     return checked.where("distance <= allowed").select("a", "b")
 

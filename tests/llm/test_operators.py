@@ -142,7 +142,7 @@ def test_near_lines_of_frequent_segments(spark, several, hot):
     lines |= {"".join(rng.choice("ab") for _ in range(n)) for n in range(3, 25) for _ in range(4)} | {"x" * n for n in range(3, 30)}
     lines = sorted(lines)
     rows = [(i, x, len(x)) for i, x in enumerate(lines)]
-    df = spark.createDataFrame(rows, "id long, line string, len int").withColumn("c", line_dedup.letters(F.col("line")))
+    df = spark.createDataFrame(rows, "id long, line string, len int")
     want = {
         (a, b) if (len(x), a) < (len(y), b) else (b, a)
         for a, x in enumerate(lines) for b, y in enumerate(lines[:a])
