@@ -262,7 +262,9 @@ def kept_lines(docs: DataFrame, tau: int, per_edit: int) -> DataFrame:
     kept = firsts.join(later, "id", "left_anti")
     n = (F.col("first") % F.lit(LINES).cast("decimal(10,0)")).cast("int").alias("n")
     kept = kept.select("first", n).select(((F.col("first") - F.col("n")) / F.lit(LINES).cast("decimal(10,0)")).cast("decimal(30,0)").alias("doc"), "n")
-    return kept.groupBy("doc").agg(F.collect_list("n").alias("kept"))
+    found = materialise(kept.groupBy("doc").agg(F.collect_list("n").alias("kept")), "kept-lines")
+    discard(lines)
+    return found
 
 
 def dedup(docs: DataFrame, tau: int = 2, per_edit: int = 10) -> DataFrame:

@@ -39,7 +39,7 @@ def fingerprint(text: bytes, k: int) -> int:
     return majority([xxhash.xxh64_intdigest(s, 42) for s in shingles(text, k)])
 
 
-def majority(hashes: list[int], block: int = 1 << 16) -> int:
+def majority(hashes: list[int] | np.ndarray, block: int = 1 << 16) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), block):
         part = np.array(hashes[at : at + block], "<u8").view(np.uint8).reshape(-1, 8)
@@ -232,11 +232,11 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                hashes = [[xxhash.xxh64_intdigest(s, 42) for s in shingles(t, k)] for t in binary(part, "text")]
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                hashes = [np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles(t, k)), "<u8") for t in binary(part, "text")]
                 fps = pa.array([majority(h) for h in hashes], pa.int64())
-                sets = [np.unique(np.array(h, "<u8").view("<i8")) for h in hashes]
+                sets = [np.unique(h.view("<i8")) for h in hashes]
                 sid = [xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63) for h in sets]
                 odd = [np.packbits(np.bincount(h & 511, minlength=512) & 1, bitorder="little").view("<i8") for h in sets]
                 columns = [part.column("doc_id"), part.column("version"), fps, pa.array(sid, pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))]
@@ -254,8 +254,10 @@ def prefixes(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFram
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            if len(seen) > 100_000:
+                seen.clear()
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 new = []
                 for i in part.column("sid").to_pylist():
                     new.append(i not in seen)
@@ -316,7 +318,9 @@ def candidates(named: DataFrame, nodes: DataFrame, similarity: float, crowd: int
     right = right.select(*[F.col(c).alias("p_" + c) for c in right.columns])
     same = (F.col("v") == F.col("p_v")) & (F.col("x") == F.col("p_x")) & (F.col("y") == F.col("p_y"))
     pairs = left.join(right, same & (F.col("sid") < F.col("p_sid")) & (F.col("root") != F.col("p_root")) & reaches(similarity) & alike(similarity))
-    return pairs.select(F.col("sid").alias("a"), F.col("p_sid").alias("b")).distinct()
+    asked = materialise(pairs.select(F.col("sid").alias("a"), F.col("p_sid").alias("b")).distinct(), "asked")
+    discard(held)
+    return asked
 
 
 def near(asked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -387,7 +391,9 @@ def rooted_near(sets: DataFrame, nodes: DataFrame, distance: int, similarity: fl
         discard(before, asked)
         if few:
             break
-    rest = near(materialise(candidates(named, nodes, similarity), "asked"), sets, similarity)
+    asked = candidates(named, nodes, similarity)
+    rest = near(asked, sets, similarity)
+    discard(indexed, named, asked)
     return components(found.unionByName(rest)).select(F.col("node").alias("of"), "root")
 
 
@@ -405,12 +411,15 @@ def keep_first(docs: DataFrame, k: int, distance: int, similarity: float) -> Dat
     nodes = materialise(grouped, "sets")
     roots = rooted_near(sets, nodes, distance, similarity)
     owned = nodes.select("sid", "first").join(roots, F.col("sid") == F.col("of"), "left")
-    return only(docs, sets, owned.groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("first")))
+    stays = owned.groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("first"))
+    rows = materialise(sets.select("doc_id", "version"), "near-rows")
+    kept = only(docs, rows, stays)
+    discard(sets, nodes)  # what is left to do reads docs and the ids of copies
+    return kept
 
 
-def only(docs: DataFrame, sets: DataFrame, stays: DataFrame) -> DataFrame:
-    """The rows of docs that are the first of a row of stays (first), each once."""
-    rows = sets.select("doc_id", "version")
+def only(docs: DataFrame, rows: DataFrame, stays: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id and text's hash in rows) that are the first of a row of stays (first), each once."""
     stays = stays.select(F.col("first.doc_id").alias("s_doc"), F.col("first.version").alias("s_version"))
     same = F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("version") == F.col("s_version"))
     later = materialise(rows.join(stays, same, "left_anti").distinct().select(F.col("doc_id").alias("l_doc"), F.col("version").alias("l_version")), "near-copies")

@@ -143,7 +143,7 @@ def score(docs: DataFrame, chain: Chain, categories: tuple[str, ...]) -> DataFra
         def buckets(word: str) -> frozenset[int]:
             found = cache.get(word)
             if found is None:
-                if len(cache) >= 200_000:
+                if len(cache) >= 100_000:
                     cache.clear()
                 found = cache[word] = frozenset(used[t] for t in word_terms(word) if t in used)
             return found
