@@ -75,6 +75,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df in an eighth of the tasks, but one a core at least: for rows of a few numbers, whose files would else be tiny."""
+    spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, partitions(spark) // 8))
+
+
 def running_sums(batches: Iterator[pa.RecordBatch], value: str, group: str | None, out: str) -> Iterator[pa.RecordBatch]:
     """Within one sorted partition: the sum of ``value`` over earlier rows (of the same group)."""
     before, last = 0, object()
@@ -128,9 +134,8 @@ def components(links: DataFrame) -> DataFrame:
     neighbour, so hubs send one row a neighbour and no group is gathered. Each round is written
     to the shared folder. Nodes without links are absent. Stops when a round changes nothing.
     """
-    edges = materialise(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
-    )
+    edges = few(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = materialise(edges, "links")
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -146,8 +151,8 @@ def components(links: DataFrame) -> DataFrame:
 
     seen, now = None, mark(edges)
     while now != seen:  # each round takes nodes nearer to the least one of their component, so this ends
-        grown = materialise(star(edges, True), "large")
-        smaller = materialise(star(grown, False), "small")
+        grown = materialise(few(star(edges, True)), "large")
+        smaller = materialise(few(star(grown, False)), "small")
         discard(edges, grown)
         edges, seen, now = smaller, now, mark(smaller)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photark.llm.common import binary, boxed, components, discard, materialise, partitions, read, unboxed
+from photark.llm.common import binary, boxed, components, discard, few, materialise, partitions, read, unboxed
 
 #: A probe is written, sorted and read; a candidate is a comparison of two numbers.
 ROW_COST = 20
@@ -176,7 +176,7 @@ def links(distinct: DataFrame, distance: int, hot: int = 2000) -> DataFrame:
 
     indexed = union(index)
     crowded = indexed.groupBy("j", "v").count().where(F.col("count") > hot).select(F.col("j").alias("hj"), F.col("v").alias("hv"))
-    crowded = materialise(crowded, "crowded")
+    crowded = materialise(few(crowded), "crowded")
 
     def parts(j: int) -> Column:
         rest = [b for b in range(64) if b not in chosen[j][0]]
@@ -318,7 +318,7 @@ def candidates(named: DataFrame, nodes: DataFrame, similarity: float, crowd: int
     right = right.select(*[F.col(c).alias("p_" + c) for c in right.columns])
     same = (F.col("v") == F.col("p_v")) & (F.col("x") == F.col("p_x")) & (F.col("y") == F.col("p_y"))
     pairs = left.join(right, same & (F.col("sid") < F.col("p_sid")) & (F.col("root") != F.col("p_root")) & reaches(similarity) & alike(similarity))
-    asked = materialise(pairs.select(F.col("sid").alias("a"), F.col("p_sid").alias("b")).distinct(), "asked")
+    asked = materialise(few(pairs.select(F.col("sid").alias("a"), F.col("p_sid").alias("b")).distinct()), "asked")
     discard(held)
     return asked
 
@@ -329,29 +329,29 @@ def near(asked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     held = materialise(sets.select("sid", "has").join(ids, F.col("sid") == F.col("asked"), "left_semi").dropDuplicates(["sid"]), "asked-sets")
     compared = asked.join(held.select(F.col("sid").alias("a"), F.col("has").alias("a_has")), "a").join(held.select(F.col("sid").alias("b"), F.col("has").alias("b_has")), "b")
     both = F.size(F.array_intersect("a_has", "b_has"))
-    out = materialise(compared.where(both + 1e-9 >= similarity * (F.size("a_has") + F.size("b_has") - both)).select("a", "b"), "near")
+    out = materialise(few(compared.where(both + 1e-9 >= similarity * (F.size("a_has") + F.size("b_has") - both)).select("a", "b")), "near")
     discard(held)
     return out
 
 
-def beside(named: DataFrame, nodes: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """Pairs (a < b) of sets of different roots, next to each other among those that share a prefix's shingle, in an order of the turn's own."""
+def beside(named: DataFrame, nodes: DataFrame, similarity: float, turn: int, neighbours: int = 4) -> DataFrame:
+    """Pairs (a < b) of sets of different roots, among the nearest ``neighbours`` of those that share a prefix's shingle, in
+    an order of the turn's own."""
     order = Window.partitionBy("v").orderBy(F.xxhash64(F.lit(turn), "sid"))
-    rows = named.select("*", *[F.lag(c).over(order).alias("p_" + c) for c in ("sid", "size", "place", "root")])
-    pairs = rows.where(F.col("p_root").isNotNull() & (F.col("root") != F.col("p_root")) & reaches(similarity))
+    one = F.struct(*[F.col(c).alias("p_" + c) for c in ("sid", "size", "place", "root")])
+    rows = named.select("*", F.array(*[F.lag(one, j).over(order) for j in range(1, neighbours + 1)]).alias("before"))
+    rows = rows.select("sid", "size", "place", "root", F.inline(F.filter("before", lambda p: p.isNotNull())))
+    pairs = rows.where((F.col("root") != F.col("p_root")) & reaches(similarity))
     pairs = pairs.select(F.least("sid", "p_sid").alias("a"), F.greatest("sid", "p_sid").alias("b")).distinct()
     left = nodes.select(F.col("sid").alias("a"), "size", "bits")
     right = nodes.select(F.col("sid").alias("b"), F.col("size").alias("p_size"), F.col("bits").alias("p_bits"))
     return pairs.join(left, "a").join(right, "b").where(alike(similarity)).select("a", "b")
 
 
-def relabelled(named: DataFrame, found: DataFrame) -> DataFrame:
-    """named with, for each root that near pairs link to a lesser one, the least of these: one step towards components."""
-    label = named.select("sid", "root").distinct()
-    pairs = found.join(label.toDF("a", "a_root"), "a").join(label.toDF("b", "b_root"), "b").where("a_root <> b_root")
-    least = pairs.groupBy(F.greatest("a_root", "b_root").alias("was")).agg(F.min(F.least("a_root", "b_root")).alias("now"))
-    joined = named.join(least, F.col("root") == F.col("was"), "left")
-    return joined.select(*[F.coalesce("now", "root").alias("root") if c == "root" else F.col(c) for c in named.columns])
+def labelled(indexed: DataFrame, found: DataFrame) -> DataFrame:
+    """indexed with the root of each set: its component over the near pairs found, else itself."""
+    joined = indexed.join(components(found), F.col("sid") == F.col("node"), "left")
+    return materialise(joined.select(*indexed.columns, F.coalesce("root", "sid").alias("root")), "rooted-prefixes")
 
 
 def pairs_left(named: DataFrame) -> int:
@@ -377,19 +377,19 @@ def rooted_near(sets: DataFrame, nodes: DataFrame, distance: int, similarity: fl
     Pairs by fingerprints come first, then sets beside each other in the lists of shared shingles, in changing order, for as
     long as this joins a good part of what it compares and more pairs are left than rows: a dense group needs
     few of its pairs. Then all pairs that these did not join are compared, so none that joins two components is left out."""
-    found = near(materialise(fingerprint_pairs(sets, nodes, distance, similarity), "asked"), sets, similarity)
+    found = near(materialise(few(fingerprint_pairs(sets, nodes, distance, similarity)), "asked"), sets, similarity)
     indexed = index(sets, similarity)
-    named = materialise(relabelled(indexed.withColumn("root", F.col("sid")), found), "rooted-prefixes")
+    named = labelled(indexed, found)
     rows, turn = named.count(), 0
     while pairs_left(named) > rows:
         turn += 1
-        asked = materialise(beside(named, nodes, similarity, turn), "beside")
+        asked = materialise(few(beside(named, nodes, similarity, turn)), "beside")
         more = near(asked, sets, similarity)
         found, before = found.unionByName(more), named
-        named = materialise(relabelled(named, more), "rooted-prefixes")
-        few = 4 * more.count() < asked.count()
+        named = labelled(indexed, found)
+        rare = 4 * more.count() < asked.count()
         discard(before, asked)
-        if few:
+        if rare:
             break
     asked = candidates(named, nodes, similarity)
     rest = near(asked, sets, similarity)
