@@ -375,7 +375,7 @@ def rooted_near(sets: DataFrame, nodes: DataFrame, distance: int, similarity: fl
     """(of, root) of each set that is near another: its component over all near pairs.
 
     Pairs by fingerprints come first, then sets beside each other in the lists of shared shingles, in changing order, for as
-    long as this joins a good part of what it compares and more pairs are left than rows: a dense group needs
+    long as a turn joins a good part of what it compares and more pairs than the root of the rows, and more are left than rows: a dense group needs
     few of its pairs. Then all pairs that these did not join are compared, so none that joins two components is left out."""
     found = near(materialise(few(fingerprint_pairs(sets, nodes, distance, similarity)), "asked"), sets, similarity)
     indexed = index(sets, similarity)
@@ -387,9 +387,10 @@ def rooted_near(sets: DataFrame, nodes: DataFrame, distance: int, similarity: fl
         more = near(asked, sets, similarity)
         found, before = found.unionByName(more), named
         named = labelled(indexed, found)
-        rare = 4 * more.count() < asked.count()
+        n = more.count()
+        done = n * n <= rows or 4 * n < asked.count()
         discard(before, asked)
-        if rare:
+        if done:
             break
     asked = candidates(named, nodes, similarity)
     rest = near(asked, sets, similarity)
