@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from photark.llm import hard_negatives, line_dedup, media_chunks, mixing, packing, simhash, suffix_dedup, token_store, topk, toxicity, url_filter
+from photark.llm import hard_negatives, line_dedup, media_chunks, mixing, packing, simhash, spelling, suffix_dedup, token_store, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_simhash": simhash.op9_simhash,
     "op10_topk": topk.op10_topk,
+    "op11_spelling": spelling.op11_spelling,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
 }
 
