@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from photark.llm import hard_negatives, line_dedup, media_chunks, mixing, packing, simhash, spelling, suffix_dedup, token_store, topk, toxicity, url_filter
+from photark.llm import hard_negatives, language_id, line_dedup, media_chunks, mixing, packing, simhash, spelling, suffix_dedup, token_store, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_topk": topk.op10_topk,
     "op11_spelling": spelling.op11_spelling,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_language_id": language_id.op13_language_id,
 }
 
 SQL = {"op8_mixing": mixing.OP8_SQL, "op10_topk": topk.OP10_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL}
