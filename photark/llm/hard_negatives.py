@@ -75,22 +75,26 @@ def approximate(v: np.ndarray, cells: int) -> tuple[np.ndarray, list[tuple[np.nd
     return codes, spans
 
 
-def approximated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def approximated(size: int, cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Blocks with their approximations: codes, the number of cells of each dimension, and the cells' spans."""
-    for block in packed(BLOCK)(batches):
-        r = block.to_pylist()[0]
-        codes, spans = approximate(np.frombuffer(r["v"], "<i8").reshape(-1, r["dim"]), CELLS)
-        sizes = np.array([len(low) for low, _ in spans], "<i4")
-        cells = [codes.tobytes(), sizes.tobytes(), *(np.concatenate([s[i] for s in spans] or [np.zeros(0, np.int64)]).astype("<i8").tobytes() for i in (0, 1))]
-        for name, value in zip(("codes", "sizes", "lows", "highs"), cells, strict=True):
-            block = block.append_column(name, pa.array([value], pa.binary()))
-        yield block
+
+    def approximating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in packed(size)(batches):
+            r = block.to_pylist()[0]
+            codes, spans = approximate(np.frombuffer(r["v"], "<i8").reshape(len(r["rows"]) // 8, r["dim"]), cells)
+            sizes = np.array([len(low) for low, _ in spans], "<i4")
+            ends = [np.concatenate([s[i] for s in spans] or [np.zeros(0, np.int64)]).astype("<i8") for i in (0, 1)]
+            for name, value in zip(("codes", "sizes", "lows", "highs"), (codes, sizes, *ends), strict=True):
+                block = block.append_column(name, pa.array([value.tobytes()], pa.binary()))
+            yield block
+
+    return approximating
 
 
 def bounds(q: np.ndarray, r: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of the products of all q with the n rows of a block: per dimension a table of the
     products with each cell's ends, looked up by the rows' cell numbers."""
-    codes = np.frombuffer(r["codes"], np.uint8).reshape(-1, n)
+    codes = np.frombuffer(r["codes"], np.uint8).reshape(r["dim"], n)
     ends = np.cumsum(np.frombuffer(r["sizes"], "<i4"))
     lows, highs = np.frombuffer(r["lows"], "<i8"), np.frombuffer(r["highs"], "<i8")
     lower, upper, at = np.zeros((len(q), n), np.int64), np.zeros((len(q), n), np.int64), 0
@@ -126,7 +130,7 @@ class Best:
 def best_of(q: dict, r: dict, best: Best, windows: bool, percents: tuple[int, int]) -> None:
     """Adds a block's rows to what its queries have: rows of the query's label, or with ``windows`` those of other
     labels within the window of each of its positives."""
-    qv, v = (np.frombuffer(x["v"], "<i8").reshape(-1, q["dim"]) for x in (q, r))
+    qv, v = (np.frombuffer(x["v"], "<i8").reshape(len(x["rows"]) // 8, q["dim"]) for x in (q, r))
     qrow, qlabel, rows, ids, labels = (np.frombuffer(x, "<i8") for x in (q["rows"], q["labels"], r["rows"], r["ids"], r["labels"]))
     lower, upper = bounds(qv, r, len(rows))
     for i in range(len(qrow)):
@@ -187,7 +191,7 @@ def ranked(df: DataFrame, keys: list[str], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: int = 10, percents: tuple[int, int] = (30, 90), scale: int = 256) -> DataFrame:
+def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: int = 10, percents: tuple[int, int] = (30, 90), scale: int = 256, block: int = BLOCK, cells: int = CELLS) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 
     vectors has vec_id, embedding and an integer label (and any more columns). Rows with a null id or label, or whose
@@ -196,12 +200,12 @@ def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: in
     an anchor's positives are the first of the other rows of its label, by descending score, ties by smaller vec_id. For
     each positive come the first rows of other labels, in that order, whose score in percent of the positive's lies
     within ``percents``, ends included. A repeated vec_id is a row of its own. Only vectors of the same number of
-    dimensions meet. An anchor without a positive, or a positive with an empty window, gives no row; no anchor, no rows.
+    dimensions meet. ``block`` rows are approximated together, with up to ``cells`` (256 at most) cells a dimension. An anchor without a positive, or a positive with an empty window, gives no row; no anchor, no rows.
     """
     spark = vectors.sparkSession
     rows = materialise(integers(vectors, scale), "vectors")
     ranged = rows.repartitionByRange(partitions(spark), "label", "row").sortWithinPartitions("label", "row")
-    blocks = materialise(ranged.mapInArrow(approximated, SHAPE + ", codes binary, sizes binary, lows binary, highs binary"), "approximations")
+    blocks = materialise(ranged.mapInArrow(approximated(block, cells), SHAPE + ", codes binary, sizes binary, lows binary, highs binary"), "approximations")
     asked = few(rows.where(F.col("vec_id") % every == 0).repartitionByRange(partitions(spark), "label", "row").sortWithinPartitions("label", "row"))
     queries = materialise(asked.mapInArrow(packed(QUERIES), SHAPE), "anchors")
 
