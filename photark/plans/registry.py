@@ -1,6 +1,6 @@
 """All registered queries outside the training-data subpackage."""
 
-from photark.plans import catalog, images, items, library
+from photark.plans import catalog, files, images, items, library
 
-QUERIES = catalog.QUERIES | images.QUERIES | items.QUERIES | library.QUERIES
-SQL = catalog.SQL | images.SQL | items.SQL | library.SQL
+QUERIES = catalog.QUERIES | files.QUERIES | images.QUERIES | items.QUERIES | library.QUERIES
+SQL = catalog.SQL | files.SQL | images.SQL | items.SQL | library.SQL

@@ -2,7 +2,7 @@
 
 import pytest
 
-from photark.plans import registry
+from photark.plans import images, registry
 
 
 def rows(pdf):
@@ -22,7 +22,7 @@ def test_query_equals_its_sql(spark, duck, sf_dir, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
+@pytest.mark.parametrize("name", sorted(set(images.QUERIES) - set(images.SQL)))
 def test_query_without_sql_keeps_every_pixel(spark, duck, sf_dir, name):
     got = registry.QUERIES[name](spark, sf_dir).toPandas()
     assert len(got) == duck.execute("SELECT count(*) FROM orders").fetchone()[0] == len(got.drop_duplicates(["x", "y"]))
