@@ -36,9 +36,9 @@ def encode(v: Column) -> Column:
     return F.when(v <= CUT_LINEAR, v * SLOPE + OFFSET).otherwise((F.log2(F.greatest(v, F.lit(LEAST))) + LOG_SHIFT) / LOG_SCALE)
 
 
-def srgb_encode(v: Column) -> Column:
-    """Linear to sRGB, clamped to 0 and 1."""
-    x = clamp(v, 0, 1)
+def srgb_encode(v: Column, clamped: bool = True) -> Column:
+    """Linear to sRGB, clamped to 0 and 1, or else only to what is not negative."""
+    x = clamp(v, 0, 1) if clamped else F.greatest(v, F.lit(0.0))
     return F.when(x <= 0.0031308, x * 12.92).otherwise(1.055 * F.pow(x, F.lit(1 / 2.4)) - 0.055)
 
 
@@ -190,8 +190,6 @@ PRIMARIES = {
     "rec2020": ((0.708, 0.292), (0.170, 0.797), (0.131, 0.046), (0.3127, 0.3290)),
     "working": ((0.713, 0.293), (0.165, 0.830), (0.128, 0.044), (0.32168, 0.33767)),
 }
-#: Exponents of the spaces that have a plain power curve; the others have that of sRGB.
-GAMMA = {"adobe": 2.19921875, "prophoto": 1.8}
 BRADFORD = ((0.8951, 0.2664, -0.1614), (-0.7502, 1.7135, 0.0367), (0.0389, -0.0685, 1.0296))
 
 
@@ -215,23 +213,3 @@ def matrix(source: str, target: str) -> list[list[float]]:
 
 def multiplied(m: list[list[float]], p: Pixel) -> Pixel:
     return tuple(p[0] * row[0] + p[1] * row[1] + p[2] * row[2] for row in m)
-
-
-def to_working(df: DataFrame, space: str) -> DataFrame:
-    """Encoded r, g, b of a space to linear values of the working space."""
-    linear = (lambda c: F.pow(F.greatest(c, F.lit(0.0)), F.lit(GAMMA[space]))) if space in GAMMA else srgb_decode
-    return stage(stage(df, lambda p: tuple(map(linear, p))), lambda p: multiplied(matrix(space, "working"), p))
-
-
-def from_working(df: DataFrame, space: str) -> DataFrame:
-    """Linear working values to encoded r, g, b of a space, clamped to 0 and 1."""
-    encoded = (lambda c: F.pow(clamp(c, 0, 1), F.lit(1 / GAMMA[space]))) if space in GAMMA else srgb_encode
-    return stage(stage(df, lambda p: multiplied(matrix("working", space), p)), lambda p: tuple(map(encoded, p)))
-
-
-def display_byte(v: Column, steps: int = 8192) -> Column:
-    """Linear to an sRGB byte, interpolated between ``steps`` evenly spaced points of the curve."""
-    at = clamp(v, 0, 1) * (steps - 1)
-    low = F.least(F.floor(at), F.lit(steps - 2))
-    a, b = srgb_encode(low / (steps - 1)), srgb_encode((low + 1) / (steps - 1))
-    return F.round((a + (b - a) * (at - low)) * 255).cast("int")

@@ -164,10 +164,10 @@ def height(df: DataFrame) -> int:
     return (df.agg(F.max("y")).first()[0] or 0) + 1
 
 
-@query(RASTER + ", d AS (SELECT x, y, v, sqrt((x / 100.0::DOUBLE - 0.5) * 0.8 * ((x / 100.0::DOUBLE - 0.5) * 0.8) + (y / 150.0::DOUBLE - 0.5) * (y / 150.0::DOUBLE - 0.5)) AS d FROM f) SELECT x, y, round(v * (1 - " + smooth(0.3, 0.7, "d") + " * 0.7), 9) + 0.0 AS v FROM d")
+@query(RASTER + ", n AS (SELECT max(y) + 1 AS h FROM f), d AS (SELECT x, y, v, sqrt((x / 100.0::DOUBLE - 0.5) * 0.8 * ((x / 100.0::DOUBLE - 0.5) * 0.8) + (y / h::DOUBLE - 0.5) * (y / h::DOUBLE - 0.5)) AS d FROM f, n) SELECT x, y, round(v * (1 - " + smooth(0.3, 0.7, "d") + " * 0.7), 9) + 0.0 AS v FROM d")
 def px_vignette(spark, sf_dir):
     f = t.raster(spark, sf_dir)
-    return f.select("x", "y", rounded(color.vignette(F.col("v"), F.col("x"), F.col("y"), 100, 150, 0.7, roundness=0.8), 9).alias("v"))
+    return f.select("x", "y", rounded(color.vignette(F.col("v"), F.col("x"), F.col("y"), 100, height(f), 0.7, roundness=0.8), 9).alias("v"))
 
 
 @query(RASTER + " SELECT x, y, floor(greatest(least(((x + 0.5 - 10.0) * 70.0 + (y + 0.5 - 20.0) * 40.0) / 6500.0, 1.0), 0.0) * 255)::INTEGER AS m FROM f")

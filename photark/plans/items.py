@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from photark.functions import color, geometry
+from photark.functions import geometry
 from photark.functions.numeric import rounded
 from photark.operators import items as it
-from photark.plans.images import K, KEY, PIXELS, RASTER
+from photark.plans.images import RASTER, height
 from photark.sources import tables as t
 
 QUERIES: dict = {}
@@ -117,9 +117,10 @@ def zipped_scores(spark, sf_dir):
     return it.zipped(p.withColumn("scores", F.transform("words", lambda w: F.char_length(w))), "words", "scores", ["p_partkey"])
 
 
-@query(RASTER + ", b AS (SELECT *, (x < 10 OR x >= 90) AND (y < 10 OR y >= 5) AS corner, abs(x - 50.0) <= 10 AND abs(y - 7.5) <= 10 AS center FROM f) SELECT round(avg(v), 9) AS mean, round(var_pop(v), 9) AS variance, round(avg(v) FILTER (corner), 9) AS corner_mean, round(avg(v) FILTER (center), 9) AS center_mean, round(avg(v) FILTER (y < 7.5), 9) AS top_half_mean FROM b")
+@query(RASTER + ", n AS (SELECT max(y) + 1.0::DOUBLE AS h FROM f), b AS (SELECT *, (x < 10 OR x >= 90) AND (y < 10 OR y >= h - 10) AS corner, abs(x - 50.0) <= 10 AND abs(y - h / 2) <= 10 AS center FROM f, n) SELECT round(avg(v), 9) AS mean, round(var_pop(v), 9) AS variance, round(avg(v) FILTER (corner), 9) AS corner_mean, round(avg(v) FILTER (center), 9) AS center_mean, round(avg(v) FILTER (y < h / 2), 9) AS top_half_mean FROM b")
 def region_statistics(spark, sf_dir):
-    s = it.region_statistics(t.raster(spark, sf_dir), 100, 15)
+    f = t.raster(spark, sf_dir)
+    s = it.region_statistics(f, 100, height(f))
     return s.select(*[rounded(F.col(c), 9).alias(c) for c in s.columns])
 
 
@@ -264,35 +265,3 @@ _fall = lambda cx, cy, r: f"greatest(0.0, least(1.0, (sqrt((x - {cx}.0::DOUBLE)
 def mask_brush_additive(spark, sf_dir):
     m = geometry.brush(F.col("x"), F.col("y"), [(20.0, 5.0, 15.0, 0.7), (30.0, 8.0, 12.0, 0.6)])
     return t.raster(spark, sf_dir).select("x", "y", rounded(m).alias("m"), F.lit(1.0).alias("everything"), F.lit(0.0).alias("nothing"))
-
-
-def space_sql(space: str) -> str:
-    m = color.matrix(space, "working")
-    curve = (lambda c: f"pow(greatest({c}, 0.0), {color.GAMMA[space]!r})") if space in color.GAMMA else (lambda c: f"CASE WHEN {c} <= 0.04045 THEN {c} / 12.92 ELSE pow(({c} + 0.055) / 1.055, 2.4) END")
-    linear = f", a AS (SELECT {K}, {', '.join(f'{curve(c)} AS {c}' for c in 'rgb')} FROM p)"
-    rows = ", ".join(f"round(r * ({x!r})::DOUBLE + g * ({y!r})::DOUBLE + b * ({z!r})::DOUBLE, 6) + 0.0 AS {c}" for c, (x, y, z) in zip("rgb", m, strict=True))
-    return PIXELS + linear + f" SELECT {K}, {rows} FROM a"
-
-
-def space_query(space: str):
-    def run(spark, sf_dir):
-        return color.to_working(t.pixels(spark, sf_dir), space).select(*KEY, *[rounded(F.col(c)).alias(c) for c in "rgb"])
-
-    return run
-
-
-for _space in ("srgb", "p3", "adobe", "prophoto", "rec2020"):
-    QUERIES[f"px_working_{_space}"] = space_query(_space)
-    SQL[f"px_working_{_space}"] = space_sql(_space)
-
-
-@query(PIXELS + f", a AS (SELECT {K}, floor(least(greatest(r, 0.0), 1.0) * 8191) AS i, least(greatest(r, 0.0), 1.0) * 8191 AS w FROM p), b AS (SELECT *, least(i, 8190) AS lo FROM a), c AS (SELECT *, CASE WHEN lo / 8191 <= 0.0031308 THEN lo / 8191 * 12.92 ELSE 1.055 * pow(lo / 8191, 1 / 2.4) - 0.055 END AS e0, CASE WHEN (lo + 1) / 8191 <= 0.0031308 THEN (lo + 1) / 8191 * 12.92 ELSE 1.055 * pow((lo + 1) / 8191, 1 / 2.4) - 0.055 END AS e1 FROM b) SELECT {K}, round((e0 + (e1 - e0) * (w - lo)) * 255)::INTEGER AS r8 FROM c")
-def px_display_byte(spark, sf_dir):
-    return t.pixels(spark, sf_dir).select(*KEY, color.display_byte(F.col("r")).alias("r8"))
-
-
-@query(RASTER + ", t AS (SELECT DISTINCT (o_orderkey % 40)::INTEGER AS x, (o_orderkey // 40 % 6)::INTEGER AS y FROM orders) SELECT t.x, t.y, round(f.v, 9) AS v FROM t JOIN f ON f.x = floor((t.x + 0.5) * 100 / 40) AND f.y = floor((t.y + 0.5) * 15 / 6)")
-def mask_thumbnail(spark, sf_dir):
-    from photark.operators import resize
-
-    return resize.nearest(t.raster(spark, sf_dir), 100, 15, 40, 6).select("x", "y", rounded(F.col("v"), 9).alias("v"))
