@@ -1,6 +1,6 @@
 """All registered queries outside the training-data subpackage."""
 
-from photark.plans import catalog, colors, files, images, items, library, rasters
+from photark.plans import catalog, colors, files, glyphs, images, items, library, rasters
 
-QUERIES = catalog.QUERIES | colors.QUERIES | files.QUERIES | images.QUERIES | items.QUERIES | library.QUERIES | rasters.QUERIES
-SQL = catalog.SQL | colors.SQL | files.SQL | images.SQL | items.SQL | library.SQL | rasters.SQL
+QUERIES = catalog.QUERIES | colors.QUERIES | files.QUERIES | glyphs.QUERIES | images.QUERIES | items.QUERIES | library.QUERIES | rasters.QUERIES
+SQL = catalog.SQL | colors.SQL | files.SQL | glyphs.SQL | images.SQL | items.SQL | library.SQL | rasters.SQL
