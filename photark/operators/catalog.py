@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photark.functions import text as tx
+from photark.operators.prefix import running
 
 
 def latest_per(df: DataFrame, key: str, at: str = "created_at", tie: str = "id") -> DataFrame:
     """The newest row of each key; of equal times the greater tie column's."""
-    newest = Window.partitionBy(key).orderBy(F.desc(at), F.desc(tie))
-    return df.withColumn("newest_rank", F.row_number().over(newest)).where("newest_rank = 1").drop("newest_rank")
+    newest = F.max_by(F.struct("*"), F.struct(at, tie))  # kept per key before the shuffle, and nothing is sorted
+    return df.groupBy(F.col(key).alias("key_")).agg(newest.alias("newest_")).select("newest_.*")
 
 
 def tags_per(df: DataFrame, key: str, tag: str) -> DataFrame:
@@ -77,12 +78,25 @@ def starts_with_ignoring_case(value: Column, prefix: str) -> Column:
     return F.startswith(F.lower(value), F.lit(prefix.lower()))
 
 
+#: So many roots are told apart by one expression, more by joins.
+SHORT_LIST = 64
+
+
 def root_of(paths: DataFrame, roots: DataFrame, key: str, path: str) -> DataFrame:
-    """Of each row, told apart by key, the first root (by root_order) whose text starts the path; roots is the
-    short list of configured libraries."""
-    hits = paths.join(roots, F.startswith(F.col(path), F.col("root")), "left")
-    first = Window.partitionBy(key).orderBy(F.col("root_order").asc_nulls_last())
-    return hits.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    """paths with the first root (of root and root_order) whose text starts the path, nulls if none does.
+
+    A short list becomes an expression, so that nothing is shuffled; of a longer one each path is joined with its beginnings
+    of the lengths that roots have, on equal texts, and keeps the first hit."""
+    known = roots.select("root", "root_order").where("root is not null")
+    first = known.orderBy(F.col("root_order").asc_nulls_last(), "root").limit(SHORT_LIST + 1).collect()
+    kinds = {c: known.schema[c].dataType for c in ("root", "root_order")}
+    if len(first) <= SHORT_LIST:
+        hits = {c: F.coalesce(*[F.when(F.startswith(F.col(path), F.lit(r["root"])), F.lit(r[c])) for r in first if r[c] is not None], F.lit(None)).cast(k) for c, k in kinds.items()}
+        return paths.withColumns(hits)
+    lengths = known.agg(F.array_sort(F.collect_set(F.char_length("root"))).alias("lengths_"))  # a few hundred at most
+    begun = paths.select(F.col(key).alias("k_"), F.col(path).alias("p_")).crossJoin(F.broadcast(lengths)).select("k_", F.explode(F.transform(F.filter("lengths_", lambda n: n <= F.char_length("p_")), lambda n: F.left(F.col("p_"), n))).alias("root"))
+    best = begun.join(known, "root").groupBy("k_").agg(F.min_by(F.struct("root", "root_order"), F.struct(F.col("root_order").isNull(), "root_order", "root")).alias("b_"))
+    return paths.join(best, F.col(key) == F.col("k_"), "left").select(*paths.columns, "b_.root", "b_.root_order")
 
 
 def runs(df: DataFrame, order: list, value: str, partition: list[str]) -> DataFrame:
@@ -94,8 +108,8 @@ def runs(df: DataFrame, order: list, value: str, partition: list[str]) -> DataFr
 
 def grid(df: DataFrame, order: list, partition: list[str], columns: int) -> DataFrame:
     """Row and column of each item in a grid within its partition."""
-    n = F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1
-    return df.withColumn("n", n).withColumn("grid_row", F.expr(f"cast(n div {columns} as int)")).withColumn("grid_column", F.col("n") % columns).drop("n")
+    numbered = running(df.withColumn("grid_of_", F.struct(*partition)), order, {"n": F.lit(1)}, "grid_of_")
+    return numbered.withColumn("grid_row", F.expr(f"cast(n div {columns} as int)")).withColumn("grid_column", (F.col("n") % columns).cast("int")).drop("n", "grid_of_")
 
 
 def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
@@ -107,7 +121,7 @@ def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
 def ordered_by(df: DataFrame, key: str, known: list, then: str) -> DataFrame:
     """Position of each row: those of the known keys in their order, all others after them."""
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, known)), F.col(key)), F.lit(0)), F.lit(len(known) + 1))
-    return df.withColumn("place", F.row_number().over(Window.orderBy(place, then)))
+    return running(df, [place, F.col(then)], {"place": F.lit(1)}).withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def search(items: DataFrame, name: str, tags: str, terms: str) -> DataFrame:

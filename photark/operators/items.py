@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from photark.operators.prefix import running
 
 
 def with_heads(listing: DataFrame, heads: DataFrame, key: str, modified: str, override: str) -> DataFrame:
@@ -20,9 +26,43 @@ def flattened(groups: DataFrame, items: str, by: str, within: list[str]) -> Data
 
 
 def unique_names(df: DataFrame, stem: str, extension: str, order: list[str], out: str = "name") -> DataFrame:
-    """stem.ext for the first row of a name, then stem_1.ext, stem_2.ext, ... in order."""
-    n = F.row_number().over(Window.partitionBy(stem, extension).orderBy(*order)) - 1
-    return df.withColumn(out, F.concat(F.col(stem), F.when(n == 0, "").otherwise(F.concat(F.lit("_"), n.cast("string"))), F.lit("."), F.col(extension)))
+    """stem.ext for the first row of a name, in order; a row whose name is taken gets stem_1.ext, stem_2.ext, ..., the first that is
+    free then.
+
+    Names meet only within a family: what is left of a stem without its numbers, and the extension. In a family of one stem the
+    number is that of the rows before, by running sums over ranges. Where several stems could meet (a, a_1) rows are taken
+    in order, a family after the other in a stream, which holds a number for each stem but no rows."""
+    family = F.regexp_replace(F.col(stem), r"(_[1-9][0-9]*)+$", "")
+    rows = df.withColumn("family_", F.struct(family.alias("root"), F.col(extension).alias("ext")))
+    several = rows.groupBy("family_").agg((F.min(stem) != F.max(stem)).alias("several_")).where("several_").select(F.col("family_").alias("f_"), "several_")
+    marked = rows.join(several, F.col("family_") == F.col("f_"), "left").drop("f_")
+    alone = running(marked.where("several_ is null"), [F.col(c) for c in order], {"number_": F.lit(1)}, "family_")
+    name = F.concat(F.col(stem), F.when(F.col("number_") == 0, "").otherwise(F.concat(F.lit("_"), F.col("number_").cast("string"))), F.lit("."), F.col(extension))
+    kept = [c for c in df.columns if c != out]
+    shape = T.StructType([*[f for f in df.schema.fields if f.name != out], T.StructField(out, T.StringType())])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, plain, numbers = None, set(), {}
+        for b in batches:
+            names = []
+            for f, s, e in zip(b.column("family_").to_pylist(), b.column(stem).to_pylist(), b.column(extension).to_pylist(), strict=True):
+                if f != now:
+                    now, plain, numbers = f, set(), {}
+                before, _, last = s.rpartition("_")
+                by_number = last.isdecimal() and last[0] != "0" and numbers.get(before, 1) > int(last)
+                if s not in plain and not by_number:
+                    plain.add(s)
+                    names.append(f"{s}.{e}")
+                    continue
+                n = numbers.get(s, 1)
+                while f"{s}_{n}" in plain:
+                    n += 1
+                numbers[s] = n + 1
+                names.append(f"{s}_{n}.{e}")
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(names, pa.string())], names=shape.names)
+
+    together = marked.where("several_").repartition("family_").sortWithinPartitions("family_", *order)
+    return alone.withColumn(out, name).select(*kept, out).unionByName(together.select(*kept, "family_").mapInArrow(named, shape))
 
 
 def upload_names(incoming: DataFrame, existing: DataFrame, name: str, ms: Column) -> DataFrame:
@@ -121,7 +161,8 @@ def by_priority(jobs: DataFrame, group: str, priority: Column, order: list[Colum
 
 def lifo(requests: DataFrame, path: str, arrival: str, responder: str) -> DataFrame:
     """One row a path: its last arrival (the newest is served first), and all who wait for it, each once, sorted."""
-    return requests.groupBy(path).agg(F.max(arrival).alias("arrived"), F.sort_array(F.collect_set(responder)).alias("responders")).orderBy(F.desc("arrived"), path)
+    last = requests.groupBy(path, responder).agg(F.max(arrival).alias("arrived"))
+    return last.groupBy(path).agg(F.max("arrived").alias("arrived"), F.sort_array(F.collect_list(responder)).alias("responders")).orderBy(F.desc("arrived"), path)
 
 
 def unreferenced(fonts: DataFrame, key: str, *references: DataFrame) -> DataFrame:
@@ -146,10 +187,8 @@ def moved_map(pairs: Column, old: Column, new: Column) -> Column:
 def upserted(items: DataFrame, incoming: DataFrame, key: str, position: str) -> DataFrame:
     """(key, position, is_new): items keep their places, and new keys follow after the last, by key."""
     last = items.agg(F.coalesce(F.max(position), F.lit(-1))).first()[0]
-    new = incoming.select(key).distinct().join(items.select(key), key, "left_anti").withColumn("list", F.lit(0))
-    # a list that a user orders by hand: its new entries are numbered in one window
-    number = F.row_number().over(Window.partitionBy("list").orderBy(key))
-    added = new.select(key, (number + last).cast("long").alias(position), F.lit(True).alias("is_new"))
+    new = incoming.select(key).distinct().join(items.select(key), key, "left_anti")
+    added = running(new, [F.col(key)], {"number_": F.lit(1)}).select(key, (F.col("number_") + 1 + last).cast("long").alias(position), F.lit(True).alias("is_new"))
     return items.select(key, F.col(position).cast("long").alias(position), F.lit(False).alias("is_new")).unionByName(added)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from photark.operators.prefix import running
+
 
 def not_listed(rows: DataFrame, key: str, json_list: str) -> DataFrame:
     """Rows whose key is not in a JSON array of numbers."""
@@ -30,7 +32,8 @@ def all_sources(configured: DataFrame, discovered: DataFrame, key: str) -> DataF
 
 def merged_variants(vocabulary: DataFrame, label: str, variants: str) -> DataFrame:
     """Union of the variants of equal labels, sorted, each once."""
-    return vocabulary.groupBy(label).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(variants)))).alias("variants"))
+    each = vocabulary.select(label, F.explode(variants).alias("variant_")).distinct()
+    return each.groupBy(label).agg(F.array_sort(F.collect_list("variant_")).alias("variants"))
 
 
 def pass_averages(frames: DataFrame, frame: str, step: str, micros: str) -> DataFrame:
@@ -47,10 +50,10 @@ def with_current(versions: DataFrame, path: str, id_: str, order: list) -> DataF
     return numbered.withColumn("is_current", F.col("version") == F.max("version").over(w))
 
 
-def selected_between(rows: DataFrame, key: str, order: list, a, b) -> DataFrame:
-    """Rows from one key to another in order, both included, whichever comes first. The order is numbered over the list
-    that is shown, one page of a library."""
-    numbered = rows.withColumn("n", F.row_number().over(Window.orderBy(*order)))
+def selected_between(rows: DataFrame, key: str, order: list[str], a, b) -> DataFrame:
+    """Rows from one key to another in order (ties by key), both included, whichever comes first, and their number ``n`` in the
+    whole order, by running sums over ranges."""
+    numbered = running(rows, [F.col(c) for c in [*order, key]], {"n": F.lit(1)}).withColumn("n", (F.col("n") + 1).cast("int"))
     ends = numbered.where(F.col(key).isin(a, b)).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     return numbered.join(F.broadcast(ends), F.col("n").between(F.col("low"), F.col("high"))).drop("low", "high")
 
@@ -120,11 +123,8 @@ def etag_identity(size: Column, etag: Column, encryption: Column) -> Column:
 
 
 def bands(curves: DataFrame, low: str, high: str, size: float) -> DataFrame:
-    """One row for each strip of so much height that a curve's extent meets, with its place in the strip by the greatest end."""
+    """One row for each strip of so much height that a curve's extent meets, with its place in the strip by the greatest end.
+    Places come of running sums over ranges: there are as few strips as there may be, however many curves."""
     strips = curves.withColumn("band", F.explode(F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size))))
-    return strips.withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy(F.desc(high), low, *[c for c in curves.columns if c not in (low, high)])))
-
-
-def leading_u64(digest: Column) -> Column:
-    """The first 16 hex digits as an unsigned number."""
-    return F.conv(F.left(digest, F.lit(16)), 16, 10).cast("decimal(20,0)")
+    order = [F.desc(high), F.col(low), *[F.col(c) for c in curves.columns if c not in (low, high)]]
+    return running(strips, order, {"place": F.lit(1)}, "band").withColumn("place", (F.col("place") + 1).cast("int"))

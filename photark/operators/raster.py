@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from photark.functions import color
 from photark.functions.numeric import clamp
+from photark.operators.prefix import running
 
 
 def stencil(df: DataFrame, weights: dict[tuple[int, int], float], width: int, height: int, value: str, out: str) -> DataFrame:
@@ -110,8 +111,6 @@ def render(pixels: DataFrame, stack: str) -> DataFrame:
 
 
 def visible_window(rows: DataFrame, height: Column, order: list, top: float, bottom: float) -> DataFrame:
-    """Rows that a scroll window shows, by the running sum of heights before them."""
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.sum(height).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("offset", before).where((F.col("offset") < bottom) & (F.col("offset") + height > top))
+    """Rows that a scroll window shows, by the running sum of heights (whole pixels) before them."""
+    placed = running(rows, order, {"offset": height})
+    return placed.where((F.col("offset") < bottom) & (F.col("offset") + height > top))
