@@ -7,24 +7,28 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder that ``spark.checkpoint.dir`` names, so that lost executors cost no more than a read. On a
-    single machine without that setting a local folder is made and set; a cluster has to name one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. On a single machine without that setting a local one is made and set; a
+    cluster has to name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="photark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/photark-core/{name}-{uuid.uuid4().hex}"
+    return root
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that lost executors cost no more than a read."""
+    path = f"{shared_folder(df.sparkSession)}/photark-core/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column], group: str | None = None) -> DataFrame:

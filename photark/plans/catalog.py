@@ -278,9 +278,9 @@ def debounce_sessions(spark, sf_dir):
     return ch.debounced(t.table(spark, sf_dir, "events"), "user_id", "ts", "6 hours")
 
 
-@query("SELECT event_id, user_id FROM (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM events) WHERE event_type <> 'view' OR next IS NULL OR next <> 'view'")
+@query("SELECT event_id, user_id FROM (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE event_type <> 'view' OR next IS NULL OR next <> 'view'")
 def coalesce_runs(spark, sf_dir):
-    return ch.collapsed(t.table(spark, sf_dir, "events"), "ts", "event_type", "view", "user_id").select("event_id", "user_id")
+    return ch.collapsed(t.table(spark, sf_dir, "events"), ["ts", "event_id"], "event_type", "view", "user_id").select("event_id", "user_id")
 
 
 @query("SELECT event_id, user_id FROM (SELECT *, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) OVER (PARTITION BY user_id) AS newest FROM events) WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) = newest")
@@ -289,6 +289,6 @@ def stale_discard(spark, sf_dir):
     return ch.current(e, "user_id", "generation").select("event_id", "user_id")
 
 
-@query("SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'")
+@query("SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'")
 def peer_latest_state(spark, sf_dir):
-    return ch.latest_state(t.table(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") == "error").select("user_id", "event_type")
+    return ch.latest_state(t.table(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") == "error", "event_id").select("user_id", "event_type")

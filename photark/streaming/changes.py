@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def debounced(events: DataFrame, key: str, at: str, quiet: str) -> DataFrame:
@@ -16,9 +17,9 @@ def debounced(events: DataFrame, key: str, at: str, quiet: str) -> DataFrame:
     return events.groupBy(key, F.session_window(at, quiet)).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n_events")).select(key, "first", "last", "n_events")
 
 
-def collapsed(jobs: DataFrame, order: str, kind: str, preview: str, partition: str) -> DataFrame:
-    """Jobs in order, of each run of previews only the newest; other jobs all stay."""
-    w = Window.partitionBy(partition).orderBy(order)
+def collapsed(jobs: DataFrame, order: list[str], kind: str, preview: str, partition: str) -> DataFrame:
+    """Jobs in order (the last column of it tells jobs apart), of each run of previews only the newest; other jobs all stay."""
+    w = Window.partitionBy(partition).orderBy(*order)
     followed = F.lead(kind).over(w) == preview
     return jobs.withColumn("followed", F.coalesce(followed, F.lit(False))).where((F.col(kind) != preview) | ~F.col("followed")).drop("followed")
 
@@ -35,10 +36,10 @@ def since(rows: DataFrame, stored: DataFrame, at: str) -> DataFrame:
     return rows.join(mark).where(F.col("mark").isNull() | (F.col(at) > F.col("mark"))).drop("mark")
 
 
-def latest_state(changes: DataFrame, key: str, at: str, removed: Column) -> DataFrame:
-    """Keys that are present after all changes: the last change of each counts."""
-    last = Window.partitionBy(key).orderBy(F.desc(at))
-    return changes.withColumn("n", F.row_number().over(last)).where((F.col("n") == 1) & ~removed).drop("n")
+def latest_state(changes: DataFrame, key: str, at: str, removed: Column, tie: str) -> DataFrame:
+    """Keys that are present after all changes: the last change of each counts, of equal times the one with the greater tie column."""
+    last = changes.withColumn("removed_", removed).groupBy(F.col(key).alias("key_")).agg(F.max_by(F.struct("*"), F.struct(at, tie)).alias("last_"))
+    return last.select("last_.*").where(~F.col("removed_")).drop("removed_")
 
 
 def tag_stream(stream: DataFrame, key: str, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
@@ -51,12 +52,11 @@ def tag_stream(stream: DataFrame, key: str, score: Callable[[DataFrame], DataFra
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
-        try:
-            done = spark.read.parquet(path).where(F.col("batch") < number).select(F.col(key).alias("done"))
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            shape = T.StructType([score(fresh).schema[key], T.StructField("batch", T.LongType())])
+            done = spark.read.schema(shape).parquet(path).where(F.col("batch") < number).select(F.col(key).alias("done")).distinct()
             fresh = fresh.join(done, F.col(key) == F.col("done"), "left_anti")
-        except Exception as e:  # nothing is written before the first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
         score(fresh).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -36,6 +36,11 @@ def test_labels_and_tags(spark):
     assert one(spark, tx.normal_tags(F.array(F.lit(" b "), F.lit(""), F.lit("a"), F.lit("b")))) == ["a", "b"]
 
 
+@pytest.mark.parametrize(("head", "kind"), [(b"\0\0\0\x18ftypcrx ", "image/x-canon-cr3"), (b"\0\0\0\x1cftypavif", "image/avif"), (b"\0\0\0\x18ftypheic", "image/heic"), (b"RIFF1234WEBP", "image/webp"), (b"II*\0", "image/tiff"), (b"\0\0\0\x18ftypmp42", None), (b"", None)])
+def test_media_types(spark, head, kind):
+    assert one(spark, images.media_type(F.col("v")), v=F.lit(head)) == kind
+
+
 def test_timestamps(spark):
     for v in ("Mon, 01 Jan 2024 00:00:01 +0000", "2024-01-01T00:00:01Z", "2024-01-01 00:00:01", "2024-01-01T00:00:01"):
         assert one(spark, tx.timestamp_millis(F.col("v")), v=v) == 1704067201000
@@ -57,6 +62,8 @@ def test_previews(spark):
     html = '<meta property="og:image" content="a?x=1&amp;y=2"><meta property=\'og:image\' content=\'b\'>'
     assert one(spark, images.preview_images(F.col("v")), v=html) == ["a?x=1&y=2", "b"]
     assert one(spark, images.chosen_preview(F.col("v"), F.lit(9)), v=html) == "b"
+    turned = """<META content='c&amp;d' property="og:image"><meta property="og:image:width" content="9"><meta property=og:image content="">"""
+    assert one(spark, images.preview_images(F.col("v")), v=turned) == ["c&d", "9"]
     assert one(spark, images.chosen_preview(F.col("v"), F.lit(1)), v="<p>") is None
 
 
