@@ -99,17 +99,17 @@ def lut(values: list[float], x: Column) -> Column:
     return low + (high - low) * (x * n - at)
 
 
-def curve_lut(points: list[tuple[float, float]], size: int = 256) -> list[float]:
+def curve_lut(points: list[tuple[float, float]], size: int = 256, most: float = 1.0, left: float = 0.0) -> list[float]:
     """A monotone cubic curve through control points (x of 0 to 255, y of 0 to 1) as a table.
 
-    x is rounded and clamped; of equal x the first point counts; missing ends are (0, 0) and
-    (255, 1). Tangents are means of the neighbouring secants, zero where these differ in sign, and
+    x is rounded and clamped; of equal x the first point counts; missing ends are (0, left) and
+    (255, 1). Values stay between 0 and ``most``. Tangents are means of the neighbouring secants, zero where these differ in sign, and
     scaled back where they would overshoot.
     """
     seen: dict[int, float] = {}
     for x, y in sorted(((min(max(round(x), 0), size - 1), y) for x, y in points), key=lambda p: p[0]):
         seen.setdefault(x, y)
-    seen.setdefault(0, 0.0)
+    seen.setdefault(0, left)
     seen.setdefault(size - 1, 1.0)
     xs = sorted(seen)
     ys = [seen[x] for x in xs]
@@ -126,10 +126,16 @@ def curve_lut(points: list[tuple[float, float]], size: int = 256) -> list[float]
         h = xs[i + 1] - xs[i]
         t = (x - xs[i]) / h
         y = (1 + 2 * t) * (1 - t) ** 2 * ys[i] + t * (1 - t) ** 2 * h * slopes[i] + t * t * (3 - 2 * t) * ys[i + 1] + t * t * (t - 1) * h * slopes[i + 1]
-        out.append(min(max(y, 0.0), 1.0))
+        out.append(min(max(y, 0.0), most))
     return out
 
 
+def wide_curve_lut(points: list[tuple[float, float]], size: int = 256) -> list[float]:
+    """The table that an editor draws for a curve of saturation by lightness: up to twice, and 1 at the left end if no point
+    says otherwise. Rendering takes curve_lut, which cuts at 1 and begins at 0."""
+    return curve_lut([(x, min(max(y, 0.0), 2.0)) for x, y in points], size, 2.0, 1.0)
+
+
 def curves(df: DataFrame, master: list[float], channels: tuple[list[float], list[float], list[float]] | None = None) -> DataFrame:
     """The master table on each channel, then each channel's own."""
     out = stage(df, lambda p: tuple(lut(master, c) for c in p))

@@ -61,6 +61,14 @@ def pixel_keys(spark, sf_dir):
     return idy.pixel_keys(e, "embedding", "width", "height", "key").select("vec_id", "key")
 
 
+@query("SELECT p_partkey, lower(hex(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(p_name, ''), lambda c: unicode(c)::HUGEINT)), lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616)::UBIGINT)) AS font_id FROM part")
+def font_ids(spark, sf_dir):
+    """Ids of fonts by their bytes: names of parts as fonts."""
+    p = t.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").cast("binary").alias("bytes"))
+    found = idy.content_ids(p, "bytes", "font_id")
+    return found.select("p_partkey", F.ltrim(F.col("font_id"), F.lit("0")).alias("font_id"))
+
+
 def _bytes(n, size, big=True):
     """A whole number, a literal or a column, as bytes."""
     if isinstance(n, int):

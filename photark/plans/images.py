@@ -157,6 +157,16 @@ def px_lscurve(spark, sf_dir):
     return shown(hsl.saturation_curve(t.pixels(spark, sf_dir), CURVE))
 
 
+WIDE = color.wide_curve_lut([(40, 1.6), (128, 0.4), (220, 2.5)])
+_wide = "[" + ", ".join(map(repr, WIDE)) + "]"
+
+
+@query(PIXELS + _h + f", l AS (SELECT {_wide}::DOUBLE[] AS t), a AS (SELECT {K}, hdr, hue, light, greatest(least(sat * (t[{_la} + 1] + (t[{_la} + 2] - t[{_la} + 1]) * (light * 255 - {_la})), 1.0), 0.0) AS sat FROM {_hl}, l)" + rgb_sql("a", "o") + final("o"))
+def px_lscurve_wide(spark, sf_dir):
+    """Saturation by an editor's table, which goes up to twice."""
+    return shown(hsl.saturation_curve(t.pixels(spark, sf_dir), WIDE))
+
+
 RASTER = "WITH f AS (SELECT (o_orderkey % 100)::INTEGER AS x, (o_orderkey // 100)::INTEGER AS y, o_totalprice / 500000 AS v FROM orders)"
 
 

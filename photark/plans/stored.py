@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from photark.operators import vocabulary
 from photark.operators.prefix import shared_folder
 from photark.sources import stored
 from photark.sources import tables as t
@@ -31,6 +32,16 @@ def folder(spark, name: str) -> str:
     return f"{shared_folder(spark)}/photark-core/{name}-{uuid.uuid4().hex}"
 
 
+PARTS = {"small": ("ring", "bolt"), "shiny": ("Ring", "gear"), "other": ("valve", "washer", "pin")}
+
+
+@query("WITH c AS (SELECT * FROM (VALUES ('small', 'ring'), ('small', 'bolt'), ('shiny', 'ring'), ('shiny', 'gear'), ('other', 'valve'), ('other', 'washer'), ('other', 'pin')) v(category, label)), w AS (SELECT DISTINCT p_partkey, lower(unnest(string_split(p_name, ' '))) AS label FROM part) SELECT p_partkey, category, count(*) AS n FROM w JOIN c USING (label) GROUP BY 1, 2")
+def tagged_categories(spark, sf_dir) -> DataFrame:
+    """Words of parts' names as tags, counted by the category they belong to."""
+    tags = t.table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("tag"))
+    return vocabulary.in_category(tags, vocabulary.categories(spark, PARTS), "p_partkey", "tag")
+
+
 #: From numbered versions of a hash, by way of a new name and an origin, to versions with ids.
 STEPS = [
     stored.renamed("file_hash", "fingerprint"),

@@ -156,3 +156,9 @@ def test_content_fingerprint_takes_every_length(spark, tmp_path):
 
     assert [len(t) for t in texts.values() if t is not None] == [0, 1, 65536, 65537, 200000]
     assert got == {d: None if t is None else want(t.encode()) for d, t in texts.items()}
+
+
+def test_wide_curves():
+    table = color.wide_curve_lut([(128, 3.0)])
+    assert table[0] == 1 and table[128] == 2 and table[255] == 1 and max(table) == 2  # up to twice, and 1 at the left
+    assert color.curve_lut([(128, 0.5)])[0] == 0 and max(color.curve_lut([(128, 1.5)])) == 1

@@ -299,3 +299,16 @@ def test_queries_without_sql(spark, sf_dir, duck):
     assert got == {r[0]: plain("\n".join([r[1], r[2], str(r[3]), ""]).encode())[:16] for r in duck.execute("SELECT c_custkey, c_name, c_mktsegment, c_nationkey FROM customer").fetchall()}
     got = {r["vec_id"]: r["key"] for r in plans.pixel_keys(spark, sf_dir).collect()}
     assert got == {i: plain(struct.pack("<II", 8, len(e) // 8) + struct.pack(f"<{len(e)}f", *e)) for i, e in duck.execute("SELECT vec_id, embedding FROM embeddings").fetchall()}
+
+
+def test_fnv(spark):
+    def plain_fnv(data):
+        h = identity.FNV_START
+        for b in data:
+            h = (h ^ b) * identity.FNV_FACTOR % 2**64
+        return f"{h:016x}"
+
+    assert [plain_fnv(x) for x in (b"", b"a", b"foobar")] == ["cbf29ce484222325", "af63dc4c8601ec8c", "85944171f73967e8"]  # published
+    rows = [(i, counted(n)) for i, n in enumerate((0, 1, 5, 5, 300, 4097))] + [(9, None)]
+    got = {r["i"]: r["x"] for r in identity.content_ids(spark.createDataFrame(rows, "i int, c binary"), "c", "x").collect()}
+    assert got == {i: None if c is None else plain_fnv(c) for i, c in rows}

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from photark.operators import catalog, items, library, raster
+from photark.operators import catalog, items, library, raster, vocabulary
 
 
 def exported(names):
@@ -70,3 +70,13 @@ def test_bands_grid_and_window(spark):
     assert {(r["g"], r["i"]): (r["grid_row"], r["grid_column"]) for r in catalog.grid(df, [F.desc("i")], ["g"], 4).collect()} == {(g, i): divmod(n, 4) for g in (0, 1) for n, i in enumerate(sorted((i for i in range(21) if i % 2 == g), reverse=True))}
     shown = raster.visible_window(df, F.col("i"), [F.col("i")], 20, 40).collect()
     assert sorted(r["i"] for r in shown) == [i for i in range(21) if sum(range(i)) < 40 and sum(range(i + 1)) > 20]
+
+
+def test_vocabularies(spark):
+    assert len(vocabulary.CATEGORIES) == 10
+    asked = [tuple(r) for r in vocabulary.auto_tags(vocabulary.categories(spark)).collect()]
+    assert len(set(asked)) == len(asked) and {label for label, _ in asked} == {label.lower().replace("-", " ") for labels in vocabulary.CATEGORIES.values() for label in labels}
+    assert ("owl", "an owl") in [tuple(r) for r in vocabulary.auto_tags(vocabulary.categories(spark, {"a": (" Owl", "owl"), "b": ("OWL", "")})).collect()]
+    tags = spark.createDataFrame([(1, "Dog"), (1, "dog"), (1, "lake"), (2, "none"), (3, "star_trail")], "i int, t string")
+    got = sorted(map(tuple, vocabulary.in_category(tags, vocabulary.categories(spark), "i", "t").collect()))
+    assert got == [(1, "animals", 1), (1, "landscape", 1), (3, "sky", 1)]
