@@ -8,13 +8,16 @@ each comes from a model that has not seen the text (copies of a text share a fol
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,6 +74,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, folds: int) ->
 
 
 Chain = tuple[dict[str, int], list[tuple[np.ndarray, float]]]
+Fitted = LogisticRegressionModel | float
 
 
 def fit_chain(rows: DataFrame, categories: tuple[str, ...], folds: int, regularization: float = 2e-4, most_terms: int = 4096) -> Chain:
@@ -78,84 +82,80 @@ def fit_chain(rows: DataFrame, categories: tuple[str, ...], folds: int, regulari
     labels all agree gets zero weights and that answer. After the vocabulary's weights come those
     of the earlier categories."""
     known = vocabulary(rows, categories, most_terms)
-    size = len(known) + len(categories)
-
-    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = [sorted(known[t] for t in ts if t in known) for ts in batch.column("terms").to_pylist()]
-            columns = [batch.column("fold"), pa.array(at, pa.list_(pa.int32())), pa.array([[1.0] * len(a) for a in at], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*columns, *[batch.column(c) for c in categories]], names=["fold", "at", "x", *categories])
-
-    shape = "fold int, at array<int>, x array<double>, " + ", ".join(f"`{c}` double" for c in categories)
-    rows = materialise(rows.select("fold", "terms", *categories).mapInArrow(indexed, shape), "toxicity-rows")
-    models = []
+    held = CountVectorizerModel.from_vocabulary(list(known) or ["no term"], inputCol="terms", outputCol="held", binary=True)
+    rows = materialise(held.transform(rows.select("fold", "terms", *categories)).drop("terms"), "toxicity-rows")
+    models: list[tuple[np.ndarray, float]] = []
+    before: list[str] = []
     for n, c in enumerate(categories):
-        models.append(fit(rows, c, size, regularization))
+        made = VectorAssembler(inputCols=["held", *before], outputCol="features").transform(rows)
+        w, b = weights(fit(made, c, regularization), max(len(known), 1) + n)
+        models.append((np.concatenate([w[: len(known)], w[max(len(known), 1) :]]), b))
         if c != categories[-1]:
-            by_fold = [fit(rows.where(F.col("fold") != f), c, size, regularization) for f in range(folds)]
-            rows = materialise(rows.mapInArrow(out_of_fold(by_fold, len(known) + n), rows.schema), "toxicity-chain")
+            by_fold = [fit(made.where(F.col("fold") != f), c, regularization) for f in range(folds)]
+            before.append(f"chained_{n}")
+            rows = materialise(out_of_fold(made, by_fold, before[-1]).drop("features"), "toxicity-chain")
     return known, models
 
 
-def out_of_fold(models: list[tuple[np.ndarray, float]], at: int):
-    """Adds to each row, as feature ``at``, the probability by the model that was not trained on the row's fold."""
-
-    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ats, xs = batch.column("at").to_pylist(), batch.column("x").to_pylist()
-            for a, x, fold in zip(ats, xs, batch.column("fold").to_pylist(), strict=True):
-                w, b = models[fold]
-                x.append(sigmoid(w[a] @ np.array(x) + b))
-                a.append(at)
-            columns = {"at": pa.array(ats, pa.list_(pa.int32())), "x": pa.array(xs, pa.list_(pa.float64()))}
-            yield pa.RecordBatch.from_arrays([columns.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
-
-    return extended
+def out_of_fold(rows: DataFrame, models: list[Fitted], out: str) -> DataFrame:
+    """rows (fold, features, more columns) with ``out``: the probability by the model that was not trained on the row's fold."""
+    columns, probability = rows.columns, F.lit(None).cast("double")
+    for f, model in enumerate(models):
+        if isinstance(model, float):
+            mine = F.lit(sigmoid(model))
+        else:
+            rows = model.copy().setProbabilityCol(f"p_{f}").setRawPredictionCol("").setPredictionCol("").transform(rows)
+            mine = vector_to_array(f"p_{f}")[1]
+        probability = F.when(F.col("fold") == f, mine).otherwise(probability)
+    return rows.select(*columns, probability.alias(out))
 
 
-def fit(rows: DataFrame, label: str, size: int, regularization: float) -> tuple[np.ndarray, float]:
+def fit(rows: DataFrame, label: str, regularization: float) -> Fitted:
+    """A model of the column features, or a number of large size where all labels agree."""
     seen = [r[0] for r in rows.select(label).distinct().collect()]
     if len(seen) < 2:
-        return np.zeros(size), 20.0 if seen and seen[0] == 1 else -20.0
-    vector = F.udf(lambda at, x: SparseVector(size, at, x), VectorUDT())
-    train = rows.select(vector("at", "x").alias("features"), F.col(label).alias("label"))
-    model = LogisticRegression(maxIter=40, regParam=regularization, elasticNetParam=1.0, maxBlockSizeInMB=4.0).fit(train)
-    return model.coefficients.toArray(), float(model.intercept)
+        return 20.0 if seen and seen[0] == 1 else -20.0
+    return LogisticRegression(labelCol=label, maxIter=40, regParam=regularization, elasticNetParam=1.0, maxBlockSizeInMB=4.0).fit(rows)
+
+
+def weights(model: Fitted, size: int) -> tuple[np.ndarray, float]:
+    return (np.zeros(size), model) if isinstance(model, float) else (model.coefficients.toArray(), float(model.intercept))
 
 
 def sigmoid(x: float) -> float:
-    return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
+    return 1 / (1 + math.exp(-min(max(x, -30.0), 30.0)))
 
 
-def score(docs: DataFrame, chain: Chain, categories: tuple[str, ...]) -> DataFrame:
+def score(docs: DataFrame, fitted: Chain, categories: tuple[str, ...]) -> DataFrame:
     """docs (any columns with text) and p_<category> for each category, in place of columns of that name. Null and empty
     texts have no words."""
-    known, models = chain
+    known, models = fitted
     names = [f"p_{c}" for c in categories]
     docs = docs.drop(*names)
     shape = T.StructType([*docs.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
-    sparse = [({int(i): float(w[i]) for i in np.flatnonzero(w[: len(known)])}, w[len(known) :].tolist(), b) for w, b in models]
-    used = {t: i for t, i in known.items() if any(i in w for w, _, _ in sparse)}
+    by_term = np.stack([w[: len(known)] for w, _ in models], 1)
+    used = {t: i for t, i in known.items() if by_term[i].any()}
+    earlier = [(w[len(known) :].tolist(), b) for w, b in models]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, frozenset[int]] = {}
+        cache: dict[str, tuple[int, ...]] = {}
 
-        def buckets(word: str) -> frozenset[int]:
+        def places(word: str) -> tuple[int, ...]:
             found = cache.get(word)
             if found is None:
                 if len(cache) >= 100_000:
                     cache.clear()
-                found = cache[word] = frozenset(used[t] for t in word_terms(word) if t in used)
+                found = cache[word] = tuple(used[t] for t in word_terms(word) if t in used)
             return found
 
         for batch in batches:
             out: list[list[float]] = [[] for _ in names]
             for text in batch.column("text"):
-                present = frozenset().union(*map(buckets, set(WORDS.findall((text.as_py() or "").lower()))))
+                present = sorted(set(chain.from_iterable(map(places, set(WORDS.findall((text.as_py() or "").lower()))))))
+                sums = by_term[present].sum(0)
                 before: list[float] = []
-                for weights, chain, b in sparse:
-                    total = b + sum(weights[i] for i in present if i in weights) + sum(w * p for w, p in zip(chain, before, strict=False))
-                    before.append(sigmoid(total))
+                for total, (more, b) in zip(sums.tolist(), earlier, strict=True):
+                    before.append(sigmoid(b + total + sum(w * p for w, p in zip(more, before, strict=False))))
                 for o, p in zip(out, before, strict=True):
                     o.append(p)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(o, pa.float64()) for o in out]], names=shape.names)
@@ -167,7 +167,8 @@ def classify(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = C
     """docs with p_<category> of each category, from a chain trained on labels (doc_id, categories).
 
     At most about ``most`` labelled documents train it. Labels with a null count as none; no labels
-    at all give every category the probability of about zero. Rows keep all columns and repeats.
+    at all give every category the probability of about zero. Rows keep all columns and repeats; what a category's threshold
+    makes of a probability that equals it is the caller's (the queries here take 0.5 and more as toxic).
     """
     rows = training_rows(docs, labels.select("doc_id", *categories), most, folds)
     return score(docs, fit_chain(rows, categories, folds), categories)

@@ -271,13 +271,33 @@ def test_chain_on_held_out_rows(spark):
     assert {round(r["p_toxic"]) for r in none.collect()} == {0}
 
 
-def test_rows_out_of_fold_are_not_scored_by_their_own_model():
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_pylist([{"fold": f, "at": [0], "x": [1.0], "toxic": 1.0} for f in (0, 1)])
-    out = next(toxicity.out_of_fold([(np.array([-30.0]), 0.0), (np.array([30.0]), 0.0)], 7)(iter([batch]))).to_pylist()
-    assert [r["at"] for r in out] == [[0, 7], [0, 7]]
-    assert out[0]["x"][1] < 0.01 and out[1]["x"][1] > 0.99
+def test_rows_out_of_fold_are_not_scored_by_their_own_model(spark):
+    """What one fold teaches is the opposite of what the other does: each row's probability is the other fold's."""
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(f, Vectors.sparse(2, [x], [1.0]), float(x == f), f"{f}{x}") for f in (0, 1) for x in (0, 1) for _ in range(30)]
+    df = spark.createDataFrame(rows, ["fold", "features", "toxic", "name"])
+    models = [toxicity.fit(df.where(F.col("fold") != f), "toxic", 1e-4) for f in (0, 1)]
+    got = {r["name"]: r["p"] for r in toxicity.out_of_fold(df, models, "p").select("name", "p").distinct().collect()}
+    assert got["00"] < 0.05 and got["01"] > 0.95 and got["10"] > 0.95 and got["11"] < 0.05
+    same = toxicity.out_of_fold(df, [20.0, -20.0], "p")
+    assert {r["name"][0]: round(r["p"]) for r in same.collect()} == {"0": 1, "1": 0}
+
+
+def test_scores_equal_the_chain_worked_out_by_hand(spark, odd):
+    """The probabilities of all rows, repeated ones too, from the words, weights and earlier probabilities."""
+    known = {t: i for i, t in enumerate(sorted({"the", "of", "4wher", "5straß", "!!!", "über", "unused"}))}
+    rng = np.random.default_rng(5)
+    models = [(np.concatenate([rng.normal(size=len(known)), np.zeros(0)]), -0.3), (np.concatenate([rng.normal(size=len(known)), [1.5]]), 0.2)]
+    for w, _ in models:
+        w[known["unused"]] = 0
+    got = toxicity.score(table(spark, odd), (known, models), ("a", "b")).collect()
+    assert len(got) == len(odd)
+    for r in got:
+        present = [known[t] for t in toxicity.terms(r["text"]) if t in known]
+        first = 1 / (1 + np.exp(-(models[0][0][present].sum() - 0.3)))
+        second = 1 / (1 + np.exp(-(models[1][0][present].sum() + 1.5 * first + 0.2)))
+        assert r["p_a"] == pytest.approx(first) and r["p_b"] == pytest.approx(second)
 
 
 # 6: suffix dedup
