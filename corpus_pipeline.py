@@ -20,30 +20,37 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 1
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of being toxic is below TOXIC."""
+    """Documents whose probability of being toxic is below TOXIC; one of just TOXIC goes. Null and empty texts have no words and
+    are judged by that; a null doc_id has no label and is judged all the same; repeated rows are judged alike."""
     scored = toxicity.classify(docs, toxicity.table_labels(spark, sf_dir))
     return scored.where(F.col("p_toxic") < TOXIC).select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that came before; a document that had words and has none left goes. n_chars follows the text."""
+    """Texts without lines that came before; a document that had words and has none left goes. n_chars follows the text.
+
+    Lines come first by doc_id (null first), so of equal lines the least doc_id keeps its own. Null and empty texts stay as they are;
+    rows equal in doc_id and text are one document and fare alike."""
     kept = line_dedup.dedup(docs)
     kept = kept.where("n_removed = 0 or trim(replace(text, '\\n', '')) <> ''")
     return kept.select(*[F.char_length("text").cast(kept.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, joined by the similarity of their shingles, the first by doc_id."""
+    """Of each group of near copies, joined by the similarity of their shingles, the first by doc_id (null first; of equal ones by
+    the text's hash). Of repeated rows one stays, and of all rows with null, empty or wordless texts, which are copies of each other."""
     return simhash.keep_first(docs, SHINGLE, DISTANCE, SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole copies in the order of the mix; the copy that the end of the budget cuts stays if half of it or more is in."""
+    """Whole copies in the order of the mix; the copy that the end of the budget cuts stays if half of it or more is in. Texts without
+    words take no part. Null sources are one source, the last; a null doc_id is a value like others; repeated rows share their copies."""
     mixed = mixing.mix(docs)
     return mixed.where(2 * F.col("taken_words") >= mixing.words(F.col("text"))).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences. A null or empty text is its end id alone; each row, repeated or without a doc_id, is packed for itself."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), END_ID)
 
 
