@@ -6,44 +6,42 @@ import json
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photark.functions import color
 from photark.functions.numeric import clamp
+from photark.operators import tiles
 from photark.operators.prefix import running
 
 
 def stencil(df: DataFrame, weights: dict[tuple[int, int], float], width: int, height: int, value: str, out: str) -> DataFrame:
     """(x, y, value, out): the weighted mean of each pixel's neighbours at the offsets; beyond an edge the edge repeats.
 
-    Every pixel sends its value to the pixels it is a neighbour of, so the work is one shuffle of
-    as many rows as weights a pixel, combined before it; for some dozens of offsets or more use tiles.
-    """
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w).alias("w")) for (dx, dy), w in weights.items()])
-    asked = df.select(F.col("x").alias("px"), F.col("y").alias("py"), F.explode(offsets).alias("o"))
-    clamped = lambda at, d, n: F.least(F.greatest(F.col(at) + F.col(d), F.lit(0)), F.lit(n - 1))
-    asked = asked.select("px", "py", F.col("o.w").alias("w"), clamped("px", "o.dx", width).alias("x"), clamped("py", "o.dy", height).alias("y"))
-    summed = asked.join(df.select("x", "y", value), ["x", "y"]).groupBy("px", "py").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias(out))
-    return df.join(summed.withColumnsRenamed({"px": "x", "py": "y"}), ["x", "y"]).select("x", "y", value, out)
+    One shuffle deals pixels to square tiles and their borders, whatever the number of weights; a tile is a group of bounded size."""
+    border = max(max(abs(dx), abs(dy)) for dx, dy in weights)
+    total = sum(weights.values())
 
+    def kernel(pixels: np.ndarray) -> np.ndarray:
+        return sum(w * tiles.window(pixels, dy, dx, border) for (dx, dy), w in weights.items()) / total
+
+    return over_tiles(df, border, kernel, width, height, value, out)
 
-def box(radius: int = 1) -> dict[tuple[int, int], float]:
-    return {(dx, dy): 1.0 for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1)}
 
+def over_tiles(df: DataFrame, border: int, kernel: Callable[[np.ndarray], np.ndarray], width: int, height: int, value: str, out: str) -> DataFrame:
+    """(x, y, value, out) of a raster of one channel, which goes through the kernel as the first of three."""
+    one = df.select("x", "y", F.col(value).cast("double").alias("r"), F.lit(0.0).alias("g"), F.lit(0.0).alias("b"), F.col(value).cast("double").alias("own_"))
+    return tiles.tiled(one, border, kernel, width, height, carry=["own_"]).select("x", "y", F.col("own_").alias(value), F.col("r").alias(out))
 
-#: The blur that sharpening compares with, along one axis.
-TAPS = (1.0, 2.0, 3.0, 4.0, 3.0, 2.0, 1.0)
+
+def box(radius: int = 1) -> dict[tuple[int, int], float]:
+    return {(dx, dy): 1.0 for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1)}
 
 
 def sharpen(df: DataFrame, amount: float, threshold: float, width: int, height: int, value: str = "v") -> DataFrame:
     """Unsharp mask against a separable blur; differences up to the threshold are masked out smoothly."""
-    rows = stencil(df, {(i - 3, 0): w for i, w in enumerate(TAPS)}, width, height, value, "across").select("x", "y", value, "across")
-    down = stencil(rows.select("x", "y", "across"), {(0, i - 3): w for i, w in enumerate(TAPS)}, width, height, "across", "blurred")
-    edge = F.col(value) - F.col("blurred")
-    t = clamp(F.abs(edge) / (threshold + 0.001), 0, 1)
-    joined = df.join(down.select("x", "y", "blurred"), ["x", "y"])
-    return joined.select("x", "y", value, (F.col(value) + edge * (t * t * (3 - 2 * t)) * amount).alias("sharp"))
+    return over_tiles(df, *tiles.sharpening(amount, threshold), width, height, value, "sharp")
 
 
 def resample(df: DataFrame, value: str, size: tuple[int, int], out_size: tuple[int, int], crop: tuple[float, float, float, float], degrees: float) -> DataFrame:
