@@ -2,6 +2,7 @@
 
 import pytest
 
+from photark.plans import library_api
 from photark.plans.library_api import Library
 
 
@@ -36,3 +37,11 @@ def test_peer_and_preset(lib):
     now = now.merge_peer(now.rows("ratings", [("/a/owl.jpg", 1, 5), ("/a/dog.jpg", 2, 1)]), now.rows("tags", [("/a/dog.jpg", "pet")]))
     assert sorted((r["path"], r["rating"]) for r in now.ratings.collect()) == [("/a/dog.jpg", 2), ("/a/owl.jpg", 4)]
     assert now.apply_preset(["/a/owl.jpg", "/a/cat.jpg"], "[]", 9).clear_versions(["/a/cat.jpg"]).versions.count() == 1
+
+
+def test_plans_do_not_grow_without_end(spark):
+    own = library_api.Library.empty(spark)
+    for i in range(2 * library_api.CUT + 1):
+        own = own.rate(f"p{i % 3}", 1 + i % 5, i)
+    assert own.ratings.count() == 3 and own.changes["ratings"] == 1
+    assert len(own.ratings._jdf.queryExecution().logical().toString()) < 3000
