@@ -20,9 +20,11 @@ def with_heads(listing: DataFrame, heads: DataFrame, key: str, modified: str, ov
 
 
 def flattened(groups: DataFrame, items: str, by: str, within: list[str]) -> DataFrame:
-    """Each item of the arrays of structs, with its place: descending by ``by``, nulls last."""
-    each = groups.select(*within, F.explode(items).alias("item")).select(*within, "item.*")
-    return each.withColumn("place", F.row_number().over(Window.partitionBy(*within).orderBy(F.desc_nulls_last(by), *[c for c in each.columns if c not in within and c != by])))
+    """Each item of the arrays of structs, with its place: descending by ``by``, nulls last, then by its other fields. Places are
+    running sums over ranges, so one of ``within`` may have any number of items."""
+    each = groups.select(*within, F.explode(items).alias("item")).select(*within, "item.*").withColumn("within_", F.struct(*within))
+    order = [F.desc_nulls_last(by), *[F.col(c) for c in each.columns if c not in (*within, by, "within_")]]
+    return running(each, order, {"place": F.lit(1)}, "within_").withColumn("place", (F.col("place") + 1).cast("int")).drop("within_")
 
 
 def unique_names(df: DataFrame, stem: str, extension: str, order: list[str], out: str = "name") -> DataFrame:

@@ -34,7 +34,7 @@ def object_listing(spark, sf_dir):
 @query("SELECT c AS o_custkey, row_number() OVER (PARTITION BY c ORDER BY m DESC NULLS LAST, k) AS place, k AS o_orderkey, m AS modified_at FROM (SELECT o_custkey AS c, o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END AS m FROM orders)")
 def nested_listing(spark, sf_dir):
     o = t.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("modified_at"))
-    groups = o.groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "modified_at")).alias("items"))
+    groups = o.select("o_custkey", F.array(F.struct("o_orderkey", "modified_at")).alias("items"))  # as a device lists them: a folder at a time
     return it.flattened(groups, "items", "modified_at", ["o_custkey"])
 
 
@@ -143,8 +143,7 @@ def lifo_queue(spark, sf_dir):
 
 @query("SELECT DISTINCT p_brand, p_type FROM part")
 def flattened_categories(spark, sf_dir):
-    groups = t.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_set("p_type").alias("entries"))
-    return groups.select("p_brand", F.explode("entries").alias("p_type"))
+    return t.table(spark, sf_dir, "part").select("p_brand", "p_type").distinct()
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AND p_partkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
