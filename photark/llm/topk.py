@@ -2,13 +2,15 @@
 
 Vectors are range-sorted by length and kept in blocks. The block of longest vectors gives each
 query a first threshold. A query meets a block only if |q| times the block's greatest length can
-reach it; inside, coordinates rotated by the SVD basis of all vectors are summed up to a few leading
+reach it: blocks of queries are dealt to the blocks by shuffle, and each task holds one block at a
+time and lets its queries pass by. Inside, coordinates rotated by the SVD basis of all vectors are summed up to a few leading
 ones, and what |q| and |x| have left bounds the rest, so that most vectors are dropped before their
 integer product is taken. The kept ones' integer products are exact.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from photark.llm.common import materialise, partitions, read
+from photark.llm.common import few, materialise, partitions, read
 
 BLOCK, QUERIES, HEADS = 4096, 256, (8, 24)
 
@@ -113,12 +115,13 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024)
 
             part = TaskContext.get().partitionId()
             held: dict[int, list] = {}
+            number = itertools.count()
 
             def flush(dim: int) -> pa.RecordBatch:
                 ids, nth, floats, v = zip(*held.pop(dim), strict=True)
-                values = [part, dim, float(max(floats)), np.array(ids, "<i8").tobytes(), np.array(nth, "<i8").tobytes(), np.array(v, "<i8").tobytes()]
-                kinds = [pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
-                return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], names=["part", "dim", "longest", "ids", "nth", "v"])
+                values = [part + next(number) * dealt, dim, float(max(floats)), np.array(ids, "<i8").tobytes(), np.array(nth, "<i8").tobytes(), np.array(v, "<i8").tobytes()]
+                kinds = [pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
+                return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], names=["block", "dim", "longest", "ids", "nth", "v"])
 
             for b in batches:
                 for i, n, dim, length, v in zip(*(b.column(c).to_pylist() for c in ("vec_id", "nth", "dim", "length", "v")), strict=True):
@@ -130,15 +133,16 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024)
 
         return pack
 
-    shape = "part int, dim int, longest double, ids binary, nth binary, v binary"
-    ranged = rows.repartitionByRange(partitions(spark), F.desc("length"), "vec_id", "nth").sortWithinPartitions(F.desc("length"), "vec_id", "nth")
+    dealt = partitions(spark)
+    shape = "block long, dim int, longest double, ids binary, nth binary, v binary"
+    ranged = rows.repartitionByRange(dealt, F.desc("length"), "vec_id", "nth").sortWithinPartitions(F.desc("length"), "vec_id", "nth")
     blocks = materialise(ranged.mapInArrow(packed(BLOCK), shape), "blocks")
 
     def load(ids: bytes, nth: bytes, v: bytes, dim: int) -> Block:
         n = len(ids) // 8
         return Block(np.frombuffer(ids, "<i8"), np.frombuffer(nth, "<i8"), np.frombuffer(v, "<i8").reshape(n, dim), basis if dim == d else None)
 
-    head = blocks.where(F.col("dim") == d).orderBy(F.desc("longest"), "part").limit(1).collect()  # one block
+    head = blocks.where(F.col("dim") == d).orderBy(F.desc("longest"), "block").limit(1).collect()  # one block
 
     def with_floor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The k-th best score within the longest block: no smaller one can be among the k best."""
@@ -154,26 +158,31 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024)
             need = float((floor / np.maximum(q.length, 1e-9)).min()) if (floor > 0).all() else 0.0
             yield batch.append_column("floor", pa.array([floor.tobytes()], pa.binary())).append_column("need", pa.array([need * (1 - 1e-6)], pa.float64()))
 
-    asked = rows.where(F.col("vec_id") % every == 0)
+    asked = few(rows.where(F.col("vec_id") % every == 0))
     queries = materialise(asked.mapInArrow(with_floor, shape + ", floor binary, need double"), "queries")
-    spread = queries.select(
-        F.explode(F.sequence(F.lit(0), F.lit((blocks.agg(F.max("part")).first()[0] or 0)))).alias("to"), F.col("dim").alias("q_dim"),
-        F.col("ids").alias("q_ids"), F.col("nth").alias("q_nth"), F.col("v").alias("q_v"), "floor", "need",
-    )
-    pairs = blocks.join(spread, (F.col("part") == F.col("to")) & (F.col("dim") == F.col("q_dim")) & (F.col("longest") >= F.col("need")))
+    # a few numbers for each block are broadcast; vectors of queries and of blocks meet by shuffle
+    known = F.broadcast(blocks.select("block", F.col("dim").alias("b_dim"), "longest"))
+    asking = queries.drop("block", "longest").join(known, (F.col("dim") == F.col("b_dim")) & (F.col("longest") >= F.col("need")))
+    columns = ["block", "dim", "ids", "nth", "v"]
+    both = blocks.select(*columns, F.lit(None).cast("binary").alias("floor")).unionByName(asking.select(*columns, "floor"))
+    met = both.repartitionById(dealt, F.pmod("block", F.lit(dealt)).cast("int")).sortWithinPartitions("block", F.col("floor").isNotNull())
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["query_id", "query_nth", "vec_id", "score"]
+        block = None
         for batch in batches:
             for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                q = load(r["q_ids"], r["q_nth"], r["q_v"], r["dim"])
+                own = load(r["ids"], r["nth"], r["v"], r["dim"])
+                if r["floor"] is None:  # the block itself comes first, and its queries after it
+                    block = own
+                    continue
                 out: list[tuple] = []
-                for row, ids, scores in top(q, np.frombuffer(r["floor"], "<i8"), load(r["ids"], r["nth"], r["v"], r["dim"]), k):
-                    out += [(int(q.ids[row]), int(q.nth[row]), i, s) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)]
+                for row, ids, scores in top(own, np.frombuffer(r["floor"], "<i8"), block, k):
+                    out += [(int(own.ids[row]), int(own.nth[row]), i, s) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)]
                 columns = zip(*out, strict=True) if out else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    best = pairs.select("dim", "ids", "nth", "v", "q_ids", "q_nth", "q_v", "floor").mapInArrow(scored, "query_id long, query_nth long, vec_id long, score long")
+    best = met.select("dim", "ids", "nth", "v", "floor").mapInArrow(scored, "query_id long, query_nth long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "query_nth").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "query_nth", "rank", "vec_id", "score")
 
