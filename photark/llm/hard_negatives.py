@@ -9,6 +9,7 @@ positives, the k best rows of other labels within its window of scores.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from photark.llm.common import few, materialise, partitions, read
 
 BLOCK, QUERIES, CELLS = 2048, 128, 256
 BLOBS = ("rows", "ids", "labels", "v")
-SHAPE = "part int, dim int, least_label long, most_label long, " + ", ".join(f"{c} binary" for c in BLOBS)
+SHAPE = "block long, dim int, least_label long, most_label long, " + ", ".join(f"{c} binary" for c in BLOBS)
 
 
 def integers(vectors: DataFrame, scale: int) -> DataFrame:
@@ -33,20 +34,21 @@ def integers(vectors: DataFrame, scale: int) -> DataFrame:
     return kept.select(F.monotonically_increasing_id().alias("row"), "vec_id", "label", F.size("x").alias("dim"), v.alias("v"))
 
 
-def packed(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of one dimension, ``size`` at a time, as one row of arrays each."""
+def packed(size: int, dealt: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of one dimension, ``size`` at a time, as one row of arrays each. Its number modulo ``dealt`` is its partition."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         held: dict[int, list] = {}
+        number = itertools.count()
 
         def flush(dim: int) -> pa.RecordBatch:
             rows, ids, labels, v = (np.array(c, "<i8") for c in zip(*held.pop(dim), strict=True))
-            values = [part, dim, int(labels.min()), int(labels.max()), rows.tobytes(), ids.tobytes(), labels.tobytes(), v.tobytes()]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], names=["part", "dim", "least_label", "most_label", *BLOBS])
+            values = [part + next(number) * dealt, dim, int(labels.min()), int(labels.max()), rows.tobytes(), ids.tobytes(), labels.tobytes(), v.tobytes()]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], names=["block", "dim", "least_label", "most_label", *BLOBS])
 
         for b in batches:
             for dim, *own in zip(*(b.column(c).to_pylist() for c in ("dim", "row", "vec_id", "label", "v")), strict=True):
@@ -75,11 +77,11 @@ def approximate(v: np.ndarray, cells: int) -> tuple[np.ndarray, list[tuple[np.nd
     return codes, spans
 
 
-def approximated(size: int, cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def approximated(size: int, cells: int, dealt: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Blocks with their approximations: codes, the number of cells of each dimension, and the cells' spans."""
 
     def approximating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in packed(size)(batches):
+        for block in packed(size, dealt)(batches):
             r = block.to_pylist()[0]
             codes, spans = approximate(np.frombuffer(r["v"], "<i8").reshape(len(r["rows"]) // 8, r["dim"]), cells)
             sizes = np.array([len(low) for low, _ in spans], "<i4")
@@ -157,33 +159,35 @@ def best_of(q: dict, r: dict, best: Best, windows: bool, percents: tuple[int, in
 
 
 def meet(queries: DataFrame, blocks: DataFrame, k: int, windows: bool, percents: tuple[int, int], shape: str) -> DataFrame:
-    """Each query block beside each block of its dimension that it may need, and per task the k best for each key."""
-    last = blocks.agg(F.max("part")).first()[0] or 0
-    other = ["q_rows", "q_labels", "q_v", *(["q_positives"] if windows else [])]
-    spread = queries.select(F.explode(F.sequence(F.lit(0), F.lit(last))).alias("to"), *[F.col(c).alias(f"q_{c}") for c in queries.columns if c != "part"])
-    mixed = (F.col("least_label") != F.col("q_most_label")) | (F.col("most_label") != F.col("q_least_label"))
-    apart = (F.col("least_label") > F.col("q_most_label")) | (F.col("most_label") < F.col("q_least_label"))
-    pairs = spread.join(blocks, (F.col("to") == F.col("part")) & (F.col("dim") == F.col("q_dim")) & (mixed if windows else ~apart))
+    """Each query block beside each block of its dimension that it may need, and for each two the k best for each key.
+
+    A few numbers for each block are broadcast. Vectors of queries and of blocks meet by shuffle: a task holds one block at
+    a time, and its queries pass by."""
+    dealt = partitions(queries.sparkSession)
+    mixed = (F.col("least") != F.col("most_label")) | (F.col("most") != F.col("least_label"))
+    apart = (F.col("least") > F.col("most_label")) | (F.col("most") < F.col("least_label"))
+    known = F.broadcast(blocks.select("block", F.col("dim").alias("b_dim"), F.col("least_label").alias("least"), F.col("most_label").alias("most")))
+    asking = queries.drop("block").join(known, (F.col("dim") == F.col("b_dim")) & (mixed if windows else ~apart))
+    asked = ["block", "dim", "rows", "labels", "v", *(["positives"] if windows else [])]
+    held = ["block", "dim", *BLOBS, "codes", "sizes", "lows", "highs"]
+    both = blocks.select(F.lit(False).alias("asks"), *held).unionByName(asking.select(F.lit(True).alias("asks"), *asked), allowMissingColumns=True)
+    met = both.repartitionById(dealt, F.pmod("block", F.lit(dealt)).cast("int")).sortWithinPartitions("block", "asks")
     names = [c.split()[0] for c in shape.split(", ")]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, now = Best(k), None
-
-        def flush() -> pa.RecordBatch:
-            out = [(*key, *one) for key, held in best.held.items() for one in held]
-            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(len(names))], names=names)
-
+        block = None
         for batch in batches:
             for at in range(batch.num_rows):
                 r = batch.slice(at, 1).to_pylist()[0]
-                if r["q_rows"] != now:
-                    yield flush()
-                    best, now = Best(k), r["q_rows"]
-                q = {"rows": now, "labels": r["q_labels"], "v": r["q_v"], "dim": r["dim"], "positives": [[tuple(p.values()) for p in one] for one in r.get("q_positives", ())]}
-                best_of(q, r, best, windows, percents)
-        yield flush()
+                if not r["asks"]:  # the block itself comes first, and its queries after it
+                    block = r
+                    continue
+                best = Best(k)
+                best_of(r | {"positives": [[tuple(p.values()) for p in one] for one in r.get("positives") or ()]}, block, best, windows, percents)
+                out = [(*key, *one) for key, held in best.held.items() for one in held]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(len(names))], names=names)
 
-    return pairs.select("dim", *other, *BLOBS, "codes", "sizes", "lows", "highs").mapInArrow(found, shape)
+    return met.mapInArrow(found, shape)
 
 
 def ranked(df: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -204,17 +208,18 @@ def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: in
     """
     spark = vectors.sparkSession
     rows = materialise(integers(vectors, scale), "vectors")
-    ranged = rows.repartitionByRange(partitions(spark), "label", "row").sortWithinPartitions("label", "row")
-    blocks = materialise(ranged.mapInArrow(approximated(block, cells), SHAPE + ", codes binary, sizes binary, lows binary, highs binary"), "approximations")
-    asked = few(rows.where(F.col("vec_id") % every == 0).repartitionByRange(partitions(spark), "label", "row").sortWithinPartitions("label", "row"))
-    queries = materialise(asked.mapInArrow(packed(QUERIES), SHAPE), "anchors")
+    dealt = partitions(spark)
+    ranged = rows.repartitionByRange(dealt, "label", "row").sortWithinPartitions("label", "row")
+    blocks = materialise(ranged.mapInArrow(approximated(block, cells, dealt), SHAPE + ", codes binary, sizes binary, lows binary, highs binary"), "approximations")
+    asked = few(rows.where(F.col("vec_id") % every == 0).repartitionByRange(dealt, "label", "row").sortWithinPartitions("label", "row"))
+    queries = materialise(asked.mapInArrow(packed(QUERIES, dealt), SHAPE), "anchors")
 
     near = meet(queries, blocks, positives, False, percents, "anchor long, minus long, id long, row long")
     near = ranked(near, ["anchor"], positives).select("anchor", F.struct("row", "id", (-F.col("minus")).alias("score")).alias("positive"))
     near = materialise(near.groupBy("anchor").agg(F.sort_array(F.collect_list("positive")).alias("positives")), "positives")  # a few each
 
     with_positives = rows.where(F.col("vec_id") % every == 0).join(near, F.col("row") == F.col("anchor")).drop("anchor")
-    asked = few(with_positives.repartitionByRange(partitions(spark), "label", "row").sortWithinPartitions("label", "row"))
+    asked = few(with_positives.repartitionByRange(dealt, "label", "row").sortWithinPartitions("label", "row"))
     kind = "array<array<struct<row:long,id:long,score:long>>>"
 
     def with_positives_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +230,7 @@ def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: in
                 kept.update(zip(b.column("row").to_pylist(), b.column("positives").to_pylist(), strict=True))
                 yield b
 
-        for block in packed(QUERIES)(seen()):
+        for block in packed(QUERIES, dealt)(seen()):
             own = [kept.pop(x) for x in np.frombuffer(block.column("rows")[0].as_py(), "<i8").tolist()]
             struct = pa.struct([("row", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
             yield block.append_column("positives", pa.array([own], pa.list_(pa.list_(struct))))
