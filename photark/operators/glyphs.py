@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from photark.functions.geometry import quadratic_extent
 from photark.functions.numeric import clamp
-from photark.operators.prefix import running
+from photark.operators.prefix import running, written
 
 #: How far a quadratic curve may be from its cubic one, in units of the outline, and how often one is halved.
 TOLERANCE, DEPTH = 1.0, 10
 NEARLY_LINEAR = 1 / 65536
+#: About as many pixels a task, lines in a strip of an instance, and instances laid over each other at once.
+PIXELS, STRIP, GROUP = 1 << 18, 64, 512
 
 
 def quadratics(cubics: DataFrame, tolerance: float = TOLERANCE, depth: int = DEPTH) -> DataFrame:
@@ -57,14 +59,6 @@ def packed_glyphs(uses: DataFrame, key: list[str], order: list[str], curves: str
     return running(first, [F.col("first_"), *map(F.col, key)], {"meta_index": F.lit(1), "curves_offset": F.col(curves), "band_headers_offset": F.col(bands), "band_curves_offset": F.col(band_curves)}).drop("first_")
 
 
-def banded(curves: DataFrame, glyph: str, axis: str, bands: int) -> DataFrame:
-    """Each curve (px0 .. py2) in all bands across the axis that its extent meets, of ``bands`` equal ones over its glyph's
-    box (low_x, low_y, high_x, high_y)."""
-    low, high = quadratic_extent(*[F.col(f"p{axis}{i}") for i in range(3)])
-    inside = lambda v: band_of(v, axis, bands)
-    return curves.withColumn("band", F.explode(F.sequence(inside(low), inside(high))))
-
-
 def band_of(v: Column, axis: str, bands: int) -> Column:
     span = F.greatest(F.col(f"high_{axis}") - F.col(f"low_{axis}"), F.lit(1e-9))
     return F.least(F.greatest(F.floor((v - F.col(f"low_{axis}")) / span * bands), F.lit(0)), F.lit(bands - 1)).cast("int")
@@ -92,51 +86,81 @@ def crossings(across: list[Column], along: list[Column]) -> tuple[Column, Column
     return falls, rises, place(root(-1)), place(root(1))
 
 
+def in_bands(curves: DataFrame, glyph: str, bands: int) -> DataFrame:
+    """One row for each glyph: its box, and for each axis across (``bands_y``, ``bands_x``) an array of ``bands`` arrays, which hold
+    the curves whose extents meet that band: across0 .. 2, along0 .. 2 and if the axis across is y."""
+    boxed = curves.join(boxes(curves, glyph).withColumnRenamed(glyph, "glyph_"), F.col(glyph).eqNullSafe(F.col("glyph_")))
+    lists = []
+    for across, along in ("yx", "xy"):
+        low, high = quadratic_extent(*[F.col(f"p{across}{i}") for i in range(3)])
+        curve = F.struct(*[F.col(f"p{across}{i}").alias(f"across{i}") for i in range(3)], *[F.col(f"p{along}{i}").alias(f"along{i}") for i in range(3)], F.lit(across == "y").alias("level"))
+        lists.append(F.struct(band_of(low, across, bands).alias("first"), band_of(high, across, bands).alias("last"), curve.alias("curve")))
+    box = ["low_x", "low_y", "high_x", "high_y"]
+    found = boxed.groupBy(glyph, *box).agg(*[F.collect_list(c).alias(f"bands_{a}") for c, a in zip(lists, "yx", strict=True)])  # a glyph's curves are one row's worth
+    inside = lambda c: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda n: F.transform(F.filter(c, lambda x: n.between(x["first"], x["last"])), lambda x: x["curve"]))
+    return found.select(glyph, *box, *[inside(F.col(f"bands_{a}")).alias(f"bands_{a}") for a in "yx"])
+
+
+def covered(placed: DataFrame, curves: DataFrame, instance: str, glyph: str, bands: int, part: str, clip: tuple[int, int] | None = None) -> DataFrame:
+    """(part, strip, instance, x, y, coverage) as in coverage(), dealt by (part, strip), with only the pixels of a canvas of ``clip`` (width, height) if given.
+
+    A glyph's curves come to its instances once, and these are dealt in so many parts that a task has about PIXELS pixels. All that
+    belongs to a pixel then comes from one row, so samples are neither shuffled nor sorted, and no task holds more of them as the input grows."""
+    shapes = in_bands(curves, glyph, bands)
+    own = placed.select(F.col(part).alias("part_"), instance, glyph, *[F.col(c).cast("double").alias(c) for c in ("pen_x", "pen_y", "scale")]).join(shapes, glyph)
+    ends = {
+        "from_x": F.ceil(F.col("pen_x") + F.col("low_x") * F.col("scale") - 1), "to_x": F.floor(F.col("pen_x") + F.col("high_x") * F.col("scale")),
+        "from_y": F.ceil(F.col("pen_y") - F.col("high_y") * F.col("scale") - 1), "to_y": F.floor(F.col("pen_y") - F.col("low_y") * F.col("scale")),
+    }
+    if clip is not None:
+        ends = {n: (F.greatest(c, F.lit(0)) if n[0] == "f" else F.least(c, F.lit(clip["xy".index(n[-1])] - 1))) for n, c in ends.items()}
+    own = own.withColumns({n: c.cast("int") for n, c in ends.items()}).where("from_x <= to_x and from_y <= to_y")
+    pixels = own.agg(F.sum((F.col("to_x") - F.col("from_x") + 1).cast("long") * (F.col("to_y") - F.col("from_y") + 1))).first()[0] or 0
+    tasks = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pixels // PIXELS))
+    strips = own.withColumn("strip", F.explode(F.expr(f"sequence(cast(floor(from_y / {STRIP}) as int), cast(floor(to_y / {STRIP}) as int))"))).repartition(tasks, "part_", "strip")
+    lines = strips.withColumn("y", F.explode(F.sequence(F.greatest("from_y", F.col("strip") * STRIP), F.least("to_y", F.col("strip") * STRIP + STRIP - 1))))
+    lines = lines.withColumn("at_y", (F.col("pen_y") - F.col("y") - 0.5) / F.col("scale"))
+    lines = lines.withColumn("level_", F.get("bands_y", band_of(F.col("at_y"), "y", bands))).drop("bands_y")
+    samples = lines.withColumn("x", F.explode(F.sequence("from_x", "to_x"))).withColumn("at_x", (F.col("x") + 0.5 - F.col("pen_x")) / F.col("scale"))
+    key = ["part_", "strip", instance, "x", "y"]
+    met = samples.select(*key, "scale", "at_x", "at_y", F.inline(F.concat("level_", F.get("bands_x", band_of(F.col("at_x"), "x", bands)))))
+    across, along = (F.when(F.col("level"), F.col(f"at_{a}")).otherwise(F.col(f"at_{b}")) for a, b in ("yx", "xy"))
+    met = met.withColumns({"across_": across, "along_": along})
+    met = met.select(*key, "scale", "level", *[(F.col(f"{n}{i}") - F.col(f"{n}_")).alias(f"{n}{i}") for n in ("across", "along") for i in range(3)])
+    falls, rises, first, second = crossings([F.col(f"across{i}") for i in range(3)], [F.col(f"along{i}") for i in range(3)])
+    met = met.withColumns({"falls": falls, "rises": rises, "first": first * F.col("scale"), "second": second * F.col("scale")})
+    share = lambda c, on: F.when(F.col(on), clamp(F.col(c) + 0.5, 0, 1)).otherwise(0.0)
+    near = lambda c, on: F.when(F.col(on), clamp(1 - F.abs(F.col(c)) * 2, 0, 1)).otherwise(0.0)
+    met = met.select(*key, "level", (share("first", "falls") - share("second", "rises")).alias("cov"), F.greatest(near("first", "falls"), near("second", "rises")).alias("near"))
+    of = lambda level, c: F.when(F.col("level") if level else ~F.col("level"), F.col(c)).otherwise(0.0)
+    sums = met.groupBy(*key).agg(F.sum(of(True, "cov")).alias("xc"), F.sum(-of(False, "cov")).alias("yc"), F.max(of(True, "near")).alias("xw"), F.max(of(False, "near")).alias("yw"))
+    weighed = F.abs(F.col("xc") * F.col("xw") + F.col("yc") * F.col("yw")) / F.greatest(F.col("xw") + F.col("yw"), F.lit(NEARLY_LINEAR))
+    out = clamp(F.greatest(weighed, F.least(F.abs("xc"), F.abs("yc"))), 0, 1)
+    return sums.select(*key, out.alias("coverage")).where("coverage > 0")
+
+
 def coverage(placed: DataFrame, curves: DataFrame, instance: str, glyph: str, bands: int = 8) -> DataFrame:
     """(instance, x, y, coverage): how much (0 to 1) of each pixel a placed glyph covers, where it covers any.
 
     placed has instance, glyph, pen_x, pen_y (pixels, y down) and scale (pixels a unit); curves has glyph and px0 .. py2 (units, y up),
-    closed outlines. A pixel meets the curves of the two bands of its glyph that it lies in: joins on (glyph, band), so no
+    closed outlines. A pixel meets the curves of the two bands of its glyph that it lies in, so no
     pixel meets a curve that its lines do not come near. A ray along each axis counts the outline's crossings, each softened
     over a pixel; the two sums are weighed by how near the crossings are."""
-    boxed = curves.join(boxes(curves, glyph), glyph)
-    own = placed.select(instance, glyph, *[F.col(c).cast("double").alias(c) for c in ("pen_x", "pen_y", "scale")]).join(boxes(curves, glyph), glyph)
-    edge = lambda v, up: F.ceil(v - 1).cast("int") if not up else F.floor(v).cast("int")
-    xs = F.sequence(edge(F.col("pen_x") + F.col("low_x") * F.col("scale"), False), edge(F.col("pen_x") + F.col("high_x") * F.col("scale"), True))
-    ys = F.sequence(edge(F.col("pen_y") - F.col("high_y") * F.col("scale"), False), edge(F.col("pen_y") - F.col("low_y") * F.col("scale"), True))
-    samples = own.withColumn("x", F.explode(xs)).withColumn("y", F.explode(ys))
-    samples = samples.withColumns({"at_x": (F.col("x") + 0.5 - F.col("pen_x")) / F.col("scale"), "at_y": (F.col("pen_y") - F.col("y") - 0.5) / F.col("scale")})
-
-    def along(axis: str, across: str) -> DataFrame:
-        """Sums over the crossings of the line along ``axis`` through each sample."""
-        held = banded(boxed, glyph, across, bands).select(glyph, "band", *[f"p{a}{i}" for a in "xy" for i in range(3)])
-        met = samples.withColumn("band", band_of(F.col(f"at_{across}"), across, bands)).join(held, [glyph, "band"])
-        met = met.select(instance, "x", "y", "scale", *[(F.col(f"p{a}{i}") - F.col(f"at_{a}")).alias(f"{a}{i}") for a in "xy" for i in range(3)])
-        falls, rises, first, second = crossings([F.col(f"{across}{i}") for i in range(3)], [F.col(f"{axis}{i}") for i in range(3)])
-        met = met.withColumns({"falls": falls, "rises": rises, "first": first * F.col("scale"), "second": second * F.col("scale")})
-        part = lambda c, on: F.when(F.col(on), clamp(F.col(c) + 0.5, 0, 1)).otherwise(0.0)
-        near = lambda c, on: F.when(F.col(on), clamp(1 - F.abs(F.col(c)) * 2, 0, 1)).otherwise(0.0)
-        sign = 1 if axis == "x" else -1
-        cov = (part("first", "falls") - part("second", "rises")) * sign
-        none = F.lit(0.0)
-        values = {"x": (cov, none), "y": (none, cov)}[axis], {"x": (F.greatest(near("first", "falls"), near("second", "rises")), none), "y": (none, F.greatest(near("first", "falls"), near("second", "rises")))}[axis]
-        return met.select(instance, "x", "y", values[0][0].alias("x_cov"), values[0][1].alias("y_cov"), values[1][0].alias("x_near"), values[1][1].alias("y_near"))
-
-    both = along("x", "y").unionByName(along("y", "x"))
-    sums = both.groupBy(instance, "x", "y").agg(F.sum("x_cov").alias("xc"), F.sum("y_cov").alias("yc"), F.max("x_near").alias("xw"), F.max("y_near").alias("yw"))
-    weighed = F.abs(F.col("xc") * F.col("xw") + F.col("yc") * F.col("yw")) / F.greatest(F.col("xw") + F.col("yw"), F.lit(NEARLY_LINEAR))
-    out = clamp(F.greatest(weighed, F.least(F.abs("xc"), F.abs("yc"))), 0, 1)
-    return sums.select(instance, "x", "y", out.alias("coverage")).where("coverage > 0")
+    return covered(placed, curves, instance, glyph, bands, instance).select(instance, "x", "y", "coverage")
 
 
 def text_layer(placed: DataFrame, curves: DataFrame, instance: str, glyph: str, width: int, height: int, shift: tuple[float, float] = (0.0, 0.0), bands: int = 8) -> DataFrame:
     """(x, y, r, g, b, a): the pixels of a canvas that placed glyphs (with red, green, blue, alpha, and their order in ``instance``)
-    cover, each over those before it, straight alpha. Only the shift of a layer's placement counts; glyphs without curves draw nothing."""
+    cover, each over those before it, straight alpha. Only the shift of a layer's placement counts; glyphs without curves draw nothing.
+
+    Laying one over another can be grouped in any way that keeps the order: GROUP instances in a row are laid over each other where their
+    coverage is made, then GROUP of these groups, and so on, so no row holds more than GROUP colours of a pixel."""
     moved = placed.withColumns({"pen_x": F.col("pen_x") + shift[0], "pen_y": F.col("pen_y") + shift[1]})
-    found = coverage(moved, curves, instance, glyph, bands).where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
-    colored = found.join(placed.select(instance, "red", "green", "blue", "alpha"), instance)
-    one = F.struct(F.col(instance).alias("i"), *[F.col(c).cast("double").alias(c[0]) for c in ("red", "green", "blue")], (F.col("alpha") * F.col("coverage")).alias("a"))
-    drawn = F.sort_array(F.collect_list(one))  # as many as overlap in a pixel
+    paint = ["red", "green", "blue", "alpha"]
+    columns = [instance, glyph, "pen_x", "pen_y", "scale", *paint]
+    moved = running(moved.select(*columns), [F.col(instance)], {"nth_": F.lit(1)}).withColumn("part", F.expr(f"nth_ div {GROUP}"))
+    found = covered(moved.withColumn("drawn_", F.struct(instance, *paint)), curves, "drawn_", glyph, bands, "part", (width, height))
+    one = F.struct(F.col(f"drawn_.{instance}").alias("i"), *[F.col(f"drawn_.{c}").cast("double").alias(c[0]) for c in paint[:3]], (F.col("drawn_.alpha") * F.col("coverage")).alias("a"))
     start = F.struct(*[F.lit(0.0).alias(c) for c in "rgba"])
 
     def over(base: Column, top: Column) -> Column:
@@ -144,4 +168,11 @@ def text_layer(placed: DataFrame, curves: DataFrame, instance: str, glyph: str,
         mix = lambda c: F.when(a > 0, (top[c] * top["a"] + base[c] * base["a"] * (1 - top["a"])) / F.when(a > 0, a)).otherwise(0.0)
         return F.struct(*[mix(c).alias(c) for c in "rgb"], a.alias("a"))
 
-    return colored.groupBy("x", "y").agg(F.aggregate(drawn, start, over).alias("p")).select("x", "y", "p.*")
+    laid = lambda drawn: F.aggregate(F.sort_array(F.collect_list(drawn)), start, over).alias("p")
+    layers = written(found.groupBy("part_", "strip", "x", "y").agg(laid(one)).select("part_", "x", "y", "p.*"), "layers")
+    groups = (layers.agg(F.max("part_")).first()[0] or 0) + 1
+    while groups > 1:
+        one = F.struct(F.col("part_").alias("i"), *"rgba")
+        layers = layers.groupBy(F.expr(f"part_ div {GROUP}").alias("part_"), "x", "y").agg(laid(one)).select("part_", "x", "y", "p.*")
+        groups = -(-groups // GROUP)
+    return layers.select("x", "y", *"rgba")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -125,3 +126,12 @@ def test_running_sums(spark):
     keys = sorted(rows, key=lambda r: (r[0] or "", r[1]))
     assert {(r["g"], r["i"]): r["n"] for r in whole} == {(g, i): n for n, (g, i, _) in enumerate(keys)}
     assert running(df.limit(0), [F.col("i")], {"n": F.lit(1)}).count() == 0
+
+
+def test_samples_are_not_shuffled(spark):
+    curves = spark.createDataFrame([(g, *map(float, c)) for g, cs in SHAPES.items() for c in cs], "glyph int, px0 double, py0 double, px1 double, py1 double, px2 double, py2 double")
+    df = spark.createDataFrame([(i, 1 + i % 4, i + 0.25, 19.5, 0.15) for i in range(30)], "i int, glyph int, pen_x double, pen_y double, scale double")
+    found = glyphs.coverage(df, curves, "i", "glyph")
+    plan = found._jdf.queryExecution().explainString(found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    sent = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert sent and not [s for s in sent if re.search(r"\bx#", s)], sent
