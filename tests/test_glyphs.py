@@ -135,3 +135,18 @@ def test_samples_are_not_shuffled(spark):
     plan = found._jdf.queryExecution().explainString(found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     sent = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
     assert sent and not [s for s in sent if re.search(r"\bx#", s)], sent
+
+
+def test_layers_in_groups(spark, monkeypatch):
+    """Pixels that many glyphs cover, laid over each other a few at a time."""
+    monkeypatch.setattr(glyphs, "GROUP", 3)
+    curves = spark.createDataFrame([(3, *map(float, c)) for c in SHAPES[3]], "glyph int, px0 double, py0 double, px1 double, py1 double, px2 double, py2 double")
+    rng = random.Random(5)
+    rows = [(i, 3, 10.0, 10.0, 0.1, rng.random(), rng.random(), rng.random(), rng.random()) for i in range(31)]
+    df = spark.createDataFrame(rows, "i int, glyph int, pen_x double, pen_y double, scale double, red double, green double, blue double, alpha double").repartition(5)
+    want = np.zeros(4)
+    for *_, r, g, b, a in rows:
+        out = a + want[3] * (1 - a)
+        want = np.array([*((np.array([r, g, b]) * a + want[:3] * want[3] * (1 - a)) / out), out])
+    got = {(r["x"], r["y"]): tuple(r)[2:] for r in glyphs.text_layer(df, curves, "i", "glyph", 12, 100).collect()}
+    assert np.allclose(got[9, 9], want) and len(got) == len(set(got))
