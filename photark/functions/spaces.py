@@ -60,6 +60,19 @@ def transformed(df: DataFrame, mode: int, gamma: float = 1.0, m: Matrix = IDENTI
     return stage(df, each({"srgb": lambda c: srgb_encode(c, clamped=False), "log": encode}[last])) if last else df
 
 
+def side_by_side(df: DataFrame, kept: list[str], gamma: float = 1.0, m: Matrix = IDENTITY) -> DataFrame:
+    """kept, mode, r, g, b: each row after each mode of MODES. What modes share is computed once, and the last curves come after
+    the modes have become rows: code that holds all modes' curves is too long for the JVM to compile."""
+    first = {"srgb": srgb_decode, "log": decode, "power": power(gamma)}
+    needed = {f: f"{f}_" for f, _, _ in MODES.values() if f}
+    firsts = df.withColumns({f"{prefix}{c}": first[f](F.col(c)) for f, prefix in needed.items() for c in "rgb"})
+    own = lambda f: tuple(F.col(needed.get(f, "") + c) for c in "rgb")
+    rows = [F.struct(F.lit(n).alias("mode"), F.lit(last).alias("last_"), *[v.alias(c) for c, v in zip("rgb", multiplied(m, own(f)) if mixed else own(f), strict=True)]) for n, (f, mixed, last) in MODES.items()]
+    rows = firsts.select(*kept, F.inline(F.array(*rows)))
+    lasts = lambda c: F.when(F.col("last_") == "srgb", srgb_encode(c, clamped=False)).when(F.col("last_") == "log", encode(c)).otherwise(c)
+    return stage(rows, each(lasts)).drop("last_")
+
+
 def into_working(space: str) -> tuple[int, float, Matrix]:
     """(mode, exponent, matrix) from a space to the working space."""
     if space == "acescct":

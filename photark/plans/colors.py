@@ -90,14 +90,8 @@ def modes_sql() -> str:
 
 def px_transform_modes(spark, sf_dir):
     """All modes side by side, from one scan."""
-    p = t.pixels(spark, sf_dir)
-    names = []
-    for mode in range(len(MODES)):
-        made = spaces.transformed(p.withColumns({"keep_" + c: F.col(c) for c in "rgb"}), mode, 2.2, spaces.into_working("display_p3")[2])
-        p = made.withColumn(f"m{mode}", F.struct(F.lit(mode).alias("mode"), *[rounded(F.col(c)).alias(c) for c in "rgb"]))
-        p = p.withColumns({c: F.col("keep_" + c) for c in "rgb"}).drop(*["keep_" + c for c in "rgb"])
-        names.append(f"m{mode}")
-    return p.select(*KEY, F.inline(F.array(*names))).select(*KEY, "mode", "r", "g", "b")
+    made = spaces.side_by_side(t.pixels(spark, sf_dir), KEY, 2.2, spaces.into_working("display_p3")[2])
+    return made.select(*KEY, "mode", *[rounded(F.col(c)).alias(c) for c in "rgb"])
 
 
 QUERIES["px_transform_modes"] = px_transform_modes

@@ -1,6 +1,8 @@
 """Colour spaces, sizes of rasters and masks against hand-worked values and NumPy."""
 
 import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from photark.functions import masks, spaces
 from photark.operators import resize
+from photark.plans import colors
 
 
 def pixels(spark, rows):
@@ -175,3 +178,17 @@ def test_restored_masks(spark):
     bad = spark.createDataFrame([(0, 1)], "layer int, mask int").join(params.withColumn("c", F.lit(0.0)).where("kind = 'linear'"), "mask")
     with pytest.raises(Exception, match="two different points"):
         grid.crossJoin(bad).select(m).collect()
+
+
+def test_modes_side_by_side(spark, sf_dir):
+    """As each mode by itself, in code that the JVM compiles: it leaves methods of 8000 bytes and more as they are."""
+    rng = random.Random(4)
+    m = spaces.into_working("display_p3")[2]
+    df = spark.createDataFrame([(i, *[rng.uniform(-0.2, 1.4) for _ in "rgb"]) for i in range(50)], "i int, r double, g double, b double")
+    found = spaces.side_by_side(df, ["i"], 2.2, m)
+    got = {(r["mode"], r["i"]): (r["r"], r["g"], r["b"]) for r in found.collect()}
+    want = {(n, r["i"]): (r["r"], r["g"], r["b"]) for n in spaces.MODES for r in spaces.transformed(df, n, 2.2, m).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=0, atol=1e-12, equal_nan=True) for k in want)
+    query = colors.QUERIES["px_transform_modes"](spark, sf_dir)
+    code = query._jdf.queryExecution().explainString(query._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
