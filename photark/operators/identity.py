@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from photark.functions import blake3
 from photark.operators.fingerprints import SAMPLE, sample_plan
 
+SLICE = 4 << 20  # bytes that are hashed together
 PIECE = 1 << 20  # bytes of a piece of a long file: a power of two, and a chunk's at least
 
 
@@ -43,14 +45,28 @@ def tag_message(size: Column, tag: Column, domain: bytes) -> Column:
     return F.concat(F.lit(domain + b"\0"), little_endian(size, 8), F.encode(F.regexp_replace(F.trim(tag), '^"+|"+$', ""), "UTF-8"))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices of SLICE bytes of ``column`` (or of one row): what hashing needs beside a batch does not grow with it."""
+    for b in batches:
+        given = b.column(column)
+        lists = pa.types.is_list(given.type) or pa.types.is_large_list(given.type)
+        sizes = pc.fill_null(pc.list_value_length(given) if lists else pc.binary_length(given), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes.astype(np.int64) * (4 if lists else 1) + blake3.CHUNK)  # a chunk is hashed for each
+        at = 0
+        while at < b.num_rows:
+            to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")), at + 1)
+            yield b.slice(at, to - at)
+            at = to
+
+
 def digests(df: DataFrame, message: str, out: str) -> DataFrame:
     """df with the column ``message`` (binary) replaced by ``out``, its BLAKE3-256 as 64 hex digits; null for null. All messages
-    of a batch are hashed together; a message is a value of a row, so what is longer than that comes in pieces (piece_digests)."""
+    of a slice are hashed together; a message is a value of a row, so what is longer than that comes in pieces (piece_digests)."""
     kept = [f for f in df.schema.fields if f.name not in (message, out)]
     shape = T.StructType([*kept, T.StructField(out, T.StringType())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, message):
             given = b.column(message).to_pylist()
             found = iter(blake3.tops([g for g in given if g is not None]))
             new = pa.array([None if g is None else next(found).hex() for g in given], pa.string())
@@ -77,7 +93,7 @@ def piece_digests(pieces: DataFrame, key: str, piece: int = PIECE) -> DataFrame:
     shape = T.StructType([T.StructField(key, kind), *[T.StructField(c, T.LongType()) for c in ("at", "last")], T.StructField("node", T.BinaryType())])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, "data"):
             at = b.column("at").to_pylist()
             found = blake3.tops(b.column("data").to_pylist(), [a * piece // blake3.CHUNK for a in at], [n == 0 for n in b.column("last").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(key), b.column("at"), b.column("last"), pa.array(found, pa.binary())], names=shape.names)
@@ -122,7 +138,7 @@ def pixel_keys(images: DataFrame, pixels: str, width: str, height: str, out: str
     shape = T.StructType([*kept, T.StructField(out, T.StringType())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, pixels):
             sizes = zip(b.column(width).to_pylist(), b.column(height).to_pylist(), strict=True)
             data = [None if p.as_py() is None else np.array([w, h], "<u4").tobytes() + np.array(p.as_py(), "<f4").tobytes() for p, (w, h) in zip(b.column(pixels), sizes, strict=True)]
             found = iter(blake3.tops([d for d in data if d is not None]))
@@ -157,7 +173,7 @@ def content_ids(df: DataFrame, content: str, out: str) -> DataFrame:
     shape = T.StructType([*kept, T.StructField(out, T.StringType())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, content):
             given = [None if c is None else c if isinstance(c, bytes) else c.encode() for c in b.column(content).to_pylist()]
             found = iter(fnv([g for g in given if g is not None]).tolist())
             ids = [None if g is None else f"{next(found):016x}" for g in given]

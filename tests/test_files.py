@@ -1,7 +1,9 @@
 """Identity by BLAKE3, ranged reads and container parsers: published vectors, a plain version, handmade bytes, truncations."""
 
+import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,3 +314,12 @@ def test_fnv(spark):
     rows = [(i, counted(n)) for i, n in enumerate((0, 1, 5, 5, 300, 4097))] + [(9, None)]
     got = {r["i"]: r["x"] for r in identity.content_ids(spark.createDataFrame(rows, "i int, c binary"), "c", "x").collect()}
     assert got == {i: None if c is None else plain_fnv(c) for i, c in rows}
+
+
+def test_batches_are_hashed_in_slices():
+    rng = random.Random(1)
+    sizes = [0, 9 << 20, *[rng.randrange(300_000) for _ in range(100)]]
+    batch = pa.RecordBatch.from_arrays([pa.array([None, *[b"x" * n for n in sizes]], pa.binary()), pa.array(range(len(sizes) + 1))], names=["message", "i"])
+    got = list(identity.sliced(iter([batch, batch.slice(0, 0)]), "message"))
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches([batch]))
+    assert len(got) > 4 and all(b.num_rows == 1 or sum(len(m or b"") for m in b.column("message").to_pylist()) <= identity.SLICE for b in got)
