@@ -142,7 +142,9 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024)
         n = len(ids) // 8
         return Block(np.frombuffer(ids, "<i8"), np.frombuffer(nth, "<i8"), np.frombuffer(v, "<i8").reshape(n, dim), basis if dim == d else None)
 
-    head = blocks.where(F.col("dim") == d).orderBy(F.desc("longest"), "block").limit(1).collect()  # one block
+    # its number first: an ordered limit would send the first block of every task to the driver
+    longest = blocks.where(F.col("dim") == d).select("block", "longest").orderBy(F.desc("longest"), "block").first()
+    head = blocks.where(F.col("block") == longest["block"]).collect() if longest is not None else []  # one block
 
     def with_floor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The k-th best score within the longest block: no smaller one can be among the k best."""
